@@ -189,33 +189,3 @@ def with_resolved(df: DataFrame, raw: str, base: str, out: str, sort: bool = Tru
         accepted = f"{rlike(raw, '^data:(?i:image)/')} AND length({raw}) <= {MAX_DATA_URI}"
         href = f"CASE WHEN {data} THEN CASE WHEN {accepted} THEN {raw} END ELSE {href} END"
     return s.selectExpr(*keep, f"{href} AS {out}")
-
-
-def image_id(url: str) -> str:
-    """FNV-1a, 64 bits over UTF-16 units, as 16 hex digits.
-
-    The 64-bit product is formed from two 32-bit halves, which cannot overflow a BIGINT:
-    the prime is 2^40 + 435, so the low half also enters the high half shifted by 8.
-    """
-    mask = 0xFFFFFFFF
-    # Characters beyond the basic plane count as their two surrogates.
-    code = "CAST(ascii(c_) AS BIGINT)"
-    units = (
-        f"flatten(transform(split({url}, ''), c_ -> CASE WHEN ascii(c_) > 65535 THEN "
-        f"array(55296L + shiftright({code} - 65536L, 10), 56320L + (({code} - 65536L) & 1023L)) "
-        f"ELSE array({code}) END))"
-    )
-    # The state is the pair of halves; the product of the low half is bound once.
-    step = (
-        f"transform(array(((h_.lo ^ u_) * 435L)), p_ -> struct("
-        f"((h_.hi * 435L + shiftleft(h_.lo ^ u_, 8) + shiftrightunsigned(p_, 32)) & {mask}L) AS hi, "
-        f"(p_ & {mask}L) AS lo))[0]"
-    )
-    fold = f"(h_, u_) -> {step}"
-    plain_fold = f"(h_, c_) -> {step.replace('u_', code)}"
-    zero = f"struct({0xCBF29CE4}L AS hi, {0x84222325}L AS lo)"
-    hexed = "h_ -> lower(concat(lpad(hex(h_.hi), 8, '0'), lpad(hex(h_.lo), 8, '0')))"
-    return (
-        f"CASE WHEN octet_length({url}) = length({url}) THEN aggregate(split({url}, ''), {zero}, {plain_fold}, {hexed}) "
-        f"ELSE aggregate({units}, {zero}, {fold}, {hexed}) END"
-    )

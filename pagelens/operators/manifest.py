@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import MAX_UNITS
 from ..functions import values as V
-from ..functions.urls import image_id, with_resolved
+from ..functions.image_id import image_id
+from ..functions.urls import with_resolved
 
 MANIFEST = [
     "page_id", "id", "url", "filename", "ext", "source", "width", "height", "dimension_source",
@@ -56,9 +57,9 @@ def manifest_rows(rows: DataFrame) -> DataFrame:
         "*", f"CASE WHEN inline THEN {inline_name} ELSE {V.base_filename('image_url', 'ext')} END AS name"
     )
     rows = rows.selectExpr("*", "row_number() OVER (PARTITION BY page_id, lower(name) ORDER BY seq) AS name_no")
-    return rows.selectExpr(
+    # The id is the last column computed, so that it is pruned where nothing asks for it.
+    rows = rows.selectExpr(
         "page_id",
-        f"{image_id('image_url')} AS id",
         "image_url AS url",
         f"{V.numbered_filename('name', 'name_no')} AS filename",
         "ext",
@@ -69,6 +70,7 @@ def manifest_rows(rows: DataFrame) -> DataFrame:
         "variant_group",
         "doc_order",
     )
+    return rows.withColumn("id", image_id("url")).select(*MANIFEST)
 
 
 def page_scan(rows: DataFrame) -> DataFrame:
