@@ -35,3 +35,14 @@ def in_list(expr: str, values) -> str:
 def lookup(table: dict[str, str], key: str) -> str:
     """Literal map lookup, NULL when the key is unknown."""
     return f"try_element_at(map({', '.join(f'{q(k)}, {q(v)}' for k, v in table.items())}), {key})"
+
+
+def settled(df, keep: list[str], columns: dict[str, str]):
+    """``keep`` plus computed columns that later filters cannot be rewritten into.
+
+    Catalyst pushes a filter below projections by copying the expressions it mentions. For a staged
+    computation that multiplies the work (and the planning time) with every stage. A one-element
+    generator keeps the filter above and evaluates each column once.
+    """
+    fields = ", ".join(f"{expr} AS {name}" for name, expr in columns.items())
+    return df.selectExpr(*keep, f"inline_outer(array(struct({fields})))")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..constants import MAX_DATA_URI
-from .sqltext import extract, q, rlike, sub
+from .sqltext import extract, q, rlike, settled, sub
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
 _HOST_OK = r"^(?:\[[0-9a-fA-F:.]+\]|[^\x00-\x20#/:<>?@\[\\\]^|%\x7f]+)(?::[0-9]*)?$"
@@ -188,4 +188,4 @@ def with_resolved(df: DataFrame, raw: str, base: str, out: str, sort: bool = Tru
         # Data URIs keep their text, '#' included; the prefix test is case-sensitive for 'data:'.
         accepted = f"{rlike(raw, '^data:(?i:image)/')} AND length({raw}) <= {MAX_DATA_URI}"
         href = f"CASE WHEN {data} THEN CASE WHEN {accepted} THEN {raw} END ELSE {href} END"
-    return s.selectExpr(*keep, f"{href} AS {out}")
+    return settled(s, keep, {out: href})

@@ -1,0 +1,6 @@
+"""Whole plans and the registered queries."""
+
+from .registry import ORACLE, QUERIES
+from . import queries_extract  # noqa: F401  (registers queries)
+
+__all__ = ["ORACLE", "QUERIES"]
