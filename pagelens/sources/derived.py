@@ -174,7 +174,7 @@ PREFIX_HEX = (
     f"WHEN 2 THEN '524946460000000057454250565038580A00000010000000' || {_B} || '0300' || {_B} || '0400' "
     f"WHEN 3 THEN 'FFD8FFE000104A46494600010100000100010000FFC0001108' || '01' || {_B} || '02' || {_B} || '03000000000000' "
     f"WHEN 4 THEN '000001000200' || '1010000000000000' || '0000000000000000' || {_B} || '20000000000000' || '0000000000000000' "
-    f"WHEN 5 THEN '000000206674797061766966000000006D696631' || '0000001469737065' || '00000000' || '000001' || {_B} || '000003' || {_B} "
+    f"WHEN 5 THEN '000000206674797061766966000000006D696631' || '0000001469737065' || '00000000' || '000001' || {_B} || '000003' || {_B} || '00000000' "
     f"WHEN 6 THEN hex('<svg xmlns=\"x\" width=\"' || (doc_order + 10) || 'px\" height=\"20.6\">') "
     f"WHEN 7 THEN 'DEADBEEF' WHEN 8 THEN hex('<svg width=\"100%\" height=\"5\"/>') ELSE '89504E470D0A1A0A0000' END"
 )
