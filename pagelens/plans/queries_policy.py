@@ -9,7 +9,8 @@ from ..functions import hosts as A
 from ..operators import policy as P, rate as R
 from ..sources import derived as D
 from ..streaming import jobs as S
-from .registry import add, crawl, man
+from .queries_extract import COLS, MAN
+from .registry import add
 
 AGENT = "pagelens"
 
@@ -170,5 +171,6 @@ add("stream_volume",
     lambda s, d: S.run_to_table(S.request_volume(S.event_stream(s, d)), "stream_volume"),
     """SELECT epoch_ms(date_trunc('hour', ts)) AS window_ms, event_type AS kind, count(*) AS n FROM events
     WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
-add("stream_manifest", lambda s, d: S.manifest_once(s, d))
-add("stream_rate_limit", lambda s, d: S.rate_limit_once(s, d))
+add("stream_manifest", lambda s, d: S.manifest_once(s, d), MAN + f"SELECT {COLS} FROM man")
+add("stream_rate_limit", lambda s, d: S.rate_limit_once(s, d),
+    RATE_SQL.split("UNION ALL SELECT request_id, kind, client, ts_ms, true")[0])

@@ -127,21 +127,20 @@ add("sort_tiles", tiles_sorted,
     MAN + f""", {TILES} SELECT page_id, id, row_number() OVER (PARTITION BY page_id ORDER BY width * height DESC NULLS LAST, tile_order) AS rank
     FROM tiles WHERE pick = 1""")
 
+# Unicode collation puts the punctuation of these names before digits, in this order.
+UNICODE = "translate(lower(filename), '_-.', '!\"#')"
+
 # -- sorts -------------------------------------------------------------------------------------
 for key, order, spark_key, direction in [
     ("sort_document", "doc_order", "document", "largest"),
-    ("sort_name", "lower(filename), doc_order", "name", "largest"),
-    ("sort_type", "ext, lower(filename), doc_order", "type", "largest"),
+    ("sort_name", f"{UNICODE}, doc_order", "name", "largest"),
+    ("sort_type", f"ext, {UNICODE}, doc_order", "type", "largest"),
     ("sort_width", "width DESC NULLS LAST, doc_order", "width", "largest"),
     ("sort_height", "height ASC NULLS LAST, doc_order", "height", "smallest"),
     ("sort_area", "width * height DESC NULLS LAST, doc_order", "imagesize", "largest"),
 ]:
     fn = lambda m, k=spark_key, dr=direction: VW.ranked(m, k, dr).select("page_id", "doc_order", "rank")
-    # Unicode collation places punctuation apart from ASCII order, so names get a rows-only check.
-    if key in ("sort_name", "sort_type"):
-        add(key, lambda s, d, f=fn: f(man(s, d)))
-    else:
-        over(key, fn, f"SELECT page_id, doc_order, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS rank FROM man")
+    over(key, fn, f"SELECT page_id, doc_order, row_number() OVER (PARTITION BY page_id ORDER BY {order}) AS rank FROM man")
 AREA = "row_number() OVER (PARTITION BY page_id ORDER BY width * height DESC NULLS LAST, doc_order)"
 over("topk_images", lambda m: VW.top_images(m, 3).select("page_id", "doc_order", "rank"),
      f"SELECT page_id, doc_order, {AREA} AS rank FROM man QUALIFY rank <= 3")
@@ -198,7 +197,13 @@ def scans(s, d):
     return VW.page_status(rows).select("page_id", "n_images", "truncated", "status")
 
 
-add("page_status", scans)
+add("page_status", scans,
+    f"""WITH {O.CANDIDATES}, capped AS (SELECT * FROM cands WHERE seq <= 45), {O.manifest_cte('capped', 20, with_id=False)}, {VERDICT_SQL},
+    per AS (SELECT c.page_id, strlen(html) > 12000 AS size_hit, (SELECT count(*) FROM man m WHERE m.page_id = c.page_id) AS n,
+      (SELECT count(*) FROM cands x WHERE x.page_id = c.page_id) > 45 OR (SELECT max(uno) FROM ranked r WHERE r.page_id = c.page_id) > 20 AS image_hit FROM crawl c)
+    SELECT page_id, CASE WHEN robots_allowed THEN n ELSE 0 END AS n_images,
+      CASE WHEN size_hit THEN 'size-cap' WHEN image_hit THEN 'image-cap' END AS truncated,
+      CASE WHEN NOT robots_allowed THEN 'robots-blocked' WHEN n = 0 THEN 'empty' ELSE 'results' END AS status FROM per JOIN judged USING (page_id)""")
 add("page_scan", lambda s, d: PL.scan_pages(crawl(s, d), raw_cap=45, max_units=20).select("page_id", "n_images", "truncated"),
     f"""WITH {O.CANDIDATES}, capped AS (SELECT * FROM cands WHERE seq <= 45), {O.manifest_cte('capped', 20, with_id=False)}
     SELECT c.page_id, (SELECT count(*) FROM man m WHERE m.page_id = c.page_id) AS n_images,
