@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.shared import persist
+from .skew import join_dimension
 
 KEY = ["kind", "client"]
 
@@ -64,15 +65,19 @@ def rate_limit(
     """
     known = requests.filter("client IS NOT NULL AND client <> ''")
     sizes = known.groupBy(*KEY).agg(F.count("*").alias("n"))
-    hot = sizes.filter(F.col("n") > hot_rows).select(*KEY)
-    starts = _window_starts_small(known.join(hot, KEY, "left_anti"), window_ms)
-    if hot.limit(1).count():
-        starts = starts.unionByName(_window_starts_hot(known.join(hot, KEY, "left_semi"), window_ms))
+    hot = persist(sizes.filter(F.col("n") > hot_rows).selectExpr(*KEY, "true AS hot"), "rate-keys")
+    if hot.isEmpty():
+        starts = _window_starts_small(known, window_ms)
+    else:
+        marked = join_dimension(known, hot, KEY, salt_from="request_id")
+        starts = _window_starts_small(marked.filter("hot IS NULL"), window_ms).unionByName(
+            _window_starts_hot(marked.filter("hot"), window_ms)
+        )
     # A request's window opened in its own bucket or in the one before.
     starts = starts.selectExpr(*KEY, "start", f"explode(array(start div {window_ms}, start div {window_ms} + 1)) AS bucket")
     windows = starts.groupBy(*KEY, "bucket").agg(F.expr("array_sort(collect_list(start)) AS starts"))
     rows = known.withColumn("bucket", F.expr(f"ts_ms div {window_ms}"))
-    rows = rows.join(windows, [*KEY, "bucket"]).selectExpr(
+    rows = join_dimension(rows, windows, [*KEY, "bucket"], salt_from="request_id", how="inner").selectExpr(
         "request_id", *KEY, "ts_ms", "array_max(filter(starts, s -> s <= ts_ms)) AS start"
     )
     if isinstance(limits, int):
@@ -85,7 +90,7 @@ def rate_limit(
         "*", "row_number() OVER (PARTITION BY kind, client, start ORDER BY ts_ms, request_id) AS nth"
     ).filter(f"nth <= {top}").filter(f"nth <= {limit}")
     last = nth.groupBy(*KEY, "start").agg(F.expr("max(struct(ts_ms, request_id)) AS last"))
-    judged = rows.join(last, [*KEY, "start"], "left").selectExpr(
+    judged = join_dimension(rows, last, [*KEY, "start"], salt_from="request_id").selectExpr(
         "request_id", *KEY, "ts_ms", "struct(ts_ms, request_id) <= last AS admitted",
         f"CAST(greatest(1, ceil((start + {window_ms} - ts_ms) / 1000D)) AS BIGINT) AS wait",
     )

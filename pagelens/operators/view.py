@@ -53,16 +53,21 @@ def icons_only(m: DataFrame) -> DataFrame:
     return m.filter(F.col("source").isin(ICON_SOURCES))
 
 
-def saved_filter_matches(m: DataFrame, presets: DataFrame) -> DataFrame:
-    """Every preset applied to every image; presets are ``(preset, formats, groups)``.
+def saved_filter_matches(m: DataFrame, presets: dict[str, tuple[list[str], list[str]]]) -> DataFrame:
+    """Every preset ``name -> (formats, groups)`` applied to every image, one row per match.
 
-    The preset table is a configuration of a few rows made by the caller, hence the broadcast.
+    The presets are configuration, so they become a literal in the projection: no join, no shuffle.
     """
-    rows = with_source_group(m)
-    match = F.expr(
-        "(size(formats) = 0 OR array_contains(formats, ext)) AND (size(groups) = 0 OR array_contains(groups, source_group))"
+    words = lambda ws: f"CAST(array({', '.join(q(w) for w in ws)}) AS array<string>)"
+    literal = ", ".join(
+        f"struct({q(n)} AS preset, {words(f)} AS formats, {words(g)} AS groups)" for n, (f, g) in presets.items()
+    )
+    match = (
+        "(size(p.formats) = 0 OR array_contains(p.formats, ext)) "
+        "AND (size(p.groups) = 0 OR array_contains(p.groups, source_group))"
     )
-    return rows.join(F.broadcast(presets), match, "inner")
+    rows = with_source_group(m)
+    return rows.selectExpr("*", f"explode(transform(filter(array({literal}), p -> {match}), p -> p.preset)) AS preset")
 
 
 def with_source_group(m: DataFrame) -> DataFrame:

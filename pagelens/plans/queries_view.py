@@ -34,13 +34,8 @@ listing("filter_icons", VW.icons_only, "source IN ('favicon', 'inline-svg')")
 PRESETS = ", ".join(f"('{k}', {f or '[]::VARCHAR[]'}, {g or '[]::VARCHAR[]'})" for k, (f, g) in SAVED_FILTERS.items())
 
 
-def presets(s):
-    rows = [(k, f, g) for k, (f, g) in SAVED_FILTERS.items()]
-    return s.createDataFrame(rows, "preset string, formats array<string>, groups array<string>")
-
-
 add("saved_filters",
-    lambda s, d: VW.saved_filter_matches(man(s, d), presets(s)).groupBy("preset").agg(
+    lambda s, d: VW.saved_filter_matches(man(s, d), SAVED_FILTERS).groupBy("preset").agg(
         F.count("*").alias("n"), F.count_distinct("page_id").alias("n_pages")),
     MAN + f""", presets(preset, formats, groups) AS (VALUES {PRESETS})
     SELECT preset, count(*) AS n, count(DISTINCT page_id) AS n_pages FROM (SELECT *, {G} AS grp FROM man) m JOIN presets p
