@@ -23,7 +23,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = get_spark("bench", os.environ.get("BENCH_CPUS", "8"))
-    # One small extraction starts the Python workers and loads classes; it is not timed.
+    # One small tokenization loads classes; it is not timed.
     T.page_tokens(crawl_pages(spark, sf_dir)).limit(10).count()
     times: dict[str, float] = {}
     # The shared manifest table is written once and reported on its own.

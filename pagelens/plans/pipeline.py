@@ -59,7 +59,7 @@ def candidates_with_sheets(
     cands = C.raw_candidates(pages, raw_cap, keep_all_pages)
     if sheets is None:
         return cands
-    # The elements are derived again for the links: the same exchange, which Spark reuses.
+    # A second pass over the pages finds the links; only link tags reach its shuffle.
     extra = stylesheet_candidates(C.page_elements(pages), sheets)
     base = "named_struct('scheme', '', 'authority', '', 'path', '', 'query', '')"
     # Sheet URLs are absolute already; they follow all document candidates, in sheet order.
