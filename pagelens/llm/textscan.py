@@ -63,16 +63,17 @@ class Scan:
     def word(self, i: int) -> str:
         return self.data[self.starts[i] : self.ends[i]].tobytes().decode("utf-8", "replace")
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each word's bytes: a polynomial over its bytes, by differences of one running sum."""
+    def hashes(self, first: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of its first ones: a polynomial, by differences of one running sum."""
         n = len(self.data)
         if not len(self.starts):
             return np.empty(0, np.uint64)
+        ends = self.ends if first is None else np.minimum(self.ends, self.starts + first)
         sums = np.empty(n + 1, np.uint64)
         sums[0] = 0
         np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n + 1)[:n], out=sums[1:])
-        value = (sums[self.ends] - sums[self.starts]) * _power_table(_INVERSE, n + 1)[self.starts]
-        return mix(value + (self.ends - self.starts).astype(np.uint64))
+        value = (sums[ends] - sums[self.starts]) * _power_table(_INVERSE, n + 1)[self.starts]
+        return mix(value + (ends - self.starts).astype(np.uint64))
 
     def grams(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of k successive words of one text, and for each the index of its first word."""
