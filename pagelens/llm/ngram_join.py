@@ -2,7 +2,7 @@
 
 Sets are ordered by shingle hash. If the sets x and y reach the threshold, x holds at most e(x) = |x| - ceil(t |x|) shingles
 that y lacks, so the j-th shingle they share stands among the first e + j of both. Each document keeps its first
-``2 e + 4`` shingles (the extended prefix); linked sets share at least ``min(e) + 4`` of them.
+``e + e / 2 + 4`` shingles (the extended prefix); linked sets share at least ``min(e) / 2 + 4`` of them.
 
 Shingles are classed by how many sets hold them in the extended prefix:
 
@@ -87,7 +87,7 @@ def _sketches(width: int, num: int, den: int):
                 slack = n - (n * num + den - 1) // den
                 digests = [_digest(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(first, len(sets)), pa.array(n), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), _lists([x[: 2 * e + 4] for x, e in zip(sets, slack.tolist())])],
+                    [batch.column("doc").slice(first, len(sets)), pa.array(n), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), _lists([x[: e + e // 2 + 4] for x, e in zip(sets, slack.tolist())])],
                     ["doc", "n", "d1", "d2", "low"],
                 )
 
@@ -100,7 +100,8 @@ def _whole(width: int, bitmap: np.ndarray):
             slot = np.asarray(batch.column("slot")).astype(np.int64)
             part = pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text")], ["doc", "text"]).filter(pa.array(((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) > 0))
             for first, sets in _sets(part.column("text"), width):
-                yield pa.RecordBatch.from_arrays([part.column("doc").slice(first, len(sets)), _lists(sets)], ["doc", "shingles"])
+                digests = pa.array([_digest(x)[0] for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc").slice(first, len(sets)), digests, _lists(sets)], ["doc", "digest", "shingles"])
 
     return run
 
@@ -127,74 +128,82 @@ def id_slot(column: str):
     return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS)).cast("int")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs that reach the threshold; first by their extended prefixes, which can only rule pairs out, then by whole sets."""
-    low = reps.select("rep", "n", "low")
+def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that their extended prefixes don't rule out. Upper halves of hashes keep the order, and can only agree too often."""
+    low = reps.select("rep", "n", F.expr("transform(low, v -> cast(shiftright(v, 32) AS int))").alias("low"))
     both = pairs.join(low.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("low").alias("lx")), "x").join(
         low.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("low").alias("ly")), "y"
     )
     need = F.expr(f"cast(ceil({num} * (nx + ny) / {num + den}.0) AS bigint)")
-    edge = F.expr("least(if(size(lx) = nx, 9223372036854775807, array_max(lx)), if(size(ly) = ny, 9223372036854775807, array_max(ly)))")
-    near = (
+    edge = F.expr("least(if(size(lx) = nx, 2147483647, array_max(lx)), if(size(ly) = ny, 2147483647, array_max(ly)))")
+    return (
         both.withColumns({"need": need, "edge": edge})
-        .withColumns({"lx": F.expr("filter(lx, v -> v <= edge)"), "ly": F.expr("filter(ly, v -> v <= edge)")})
-        .withColumn("same", F.expr("size(array_intersect(lx, ly))"))
-        .filter("size(lx) - same <= nx - need AND size(ly) - same <= ny - need")
+        .withColumns({"lx": F.expr("filter(lx, v -> v < edge)"), "ly": F.expr("filter(ly, v -> v < edge)")})
+        .filter("size(array_except(lx, ly)) <= nx - need AND size(array_except(ly, lx)) <= ny - need")
         .select("x", "y").distinct()
     )
+
+
+def _verified(near: DataFrame, source: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs whose whole sets, fetched for the documents in these pairs only, reach the threshold."""
+    near = settled(near)
+    members = near.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+    bitmap = id_bitmap(members)
+    sets = (
+        source.withColumn("slot", id_slot("doc")).mapInArrow(_whole(width, bitmap), "doc bigint, digest bigint, shingles array<bigint>")
+        .repartition("doc").dropDuplicates(["doc", "digest"])
+    )
     a, b = sets.select(F.col("doc").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("doc").alias("y"), F.col("shingles").alias("sy"))
     whole = near.join(a, "x").join(b, "y").select("x", "y", F.expr("size(sx) AS nx"), F.expr("size(sy) AS ny"), F.expr("size(array_intersect(sx, sy)) AS same"))
-    return whole.filter(f"{den} * same >= {num} * (nx + ny - same)").select("x", "y")
+    return settled(whole.filter(f"{den} * same >= {num} * (nx + ny - same)").select("x", "y").distinct())
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (8, 10), doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
     """Per document ``(doc_id, n_shingles, component_id)``; the threshold is a fraction, compared in whole numbers."""
     num, den = threshold
+    if 2 * num <= den:
+        raise ValueError("the threshold must be over one half")
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
     every = settled(source.mapInArrow(_sketches(width, num, den), "doc bigint, n bigint, d1 bigint, d2 bigint, low array<bigint>"))
     reps = settled(
         every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.first("low").alias("low")).filter("rep IS NOT NULL")
-        .withColumn("e", F.expr(f"n - (n * {num} + {den - 1}) div {den}"))
     )
 
-    tokens = reps.select("rep", "n", "e", F.posexplode("low").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
+    tokens = reps.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("low").alias("pos", "token"))
+    shared = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
     placed = tokens.join(shared, "token").withColumn("hot", F.col("df") > frequent)
     # Linked sets have at least ceil(t n) shingles, so their own slack is at least that of the smallest possible partner.
-    ahead = f"(PARTITION BY rep, n ORDER BY pos ROWS UNBOUNDED PRECEDING)"
+    least = f"(n * {num} + {den - 1}) div {den}"
+    slack = lambda n: f"({n} - ({n} * {num} + {den - 1}) div {den})"
     placed = placed.select(
-        "rep", "n", "e", "token", "pos", "hot", F.expr(f"count_if(hot) OVER {ahead}").alias("hot_before"), F.expr("count_if(hot) OVER (PARTITION BY rep, n)").alias("hots"),
-        F.expr(f"(n * {num} + {den - 1}) div {den}").alias("partner"),
-    ).withColumn("dense", F.expr(f"hots >= least(partner - (partner * {num} + {den - 1}) div {den}, e) + least(4, n)"))
-    placed = settled(placed.filter("(NOT hot AND pos + 1 - hot_before <= e + 1) OR (hot AND dense AND pos < e + 2)").select("rep", "n", "token", "pos", "hot"))
-    single = placed.filter(f"NOT hot OR n >= {SINGLE_FROM}").select("rep", "n", F.col("token").alias("key"))
-    combined = (
-        placed.filter(f"hot AND n <= {COMBINED_UP_TO}").groupBy("rep", "n").agg(F.array_sort(F.collect_list("token")).alias("t"))
-        .select("rep", "n", F.explode(F.expr("flatten(transform(t, (v, i) -> transform(slice(t, 1, i), u -> xxhash64(u, v))))")).alias("key"))
+        "rep", "n", "token", "pos", "hot", F.expr(f"{slack('n')} AS e"), F.expr(f"least({slack(f'({least})')} div 2 + 4, {least}) AS shared_least"),
+        F.expr("count_if(hot) OVER (PARTITION BY rep, n ORDER BY pos ROWS UNBOUNDED PRECEDING)").alias("hot_before"), F.expr("count_if(hot) OVER (PARTITION BY rep, n)").alias("hots"),
     )
-    keys = single.unionByName(combined)
-    keys = settled(keys.join(keys.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1"), "key"))
+    placed = placed.filter("(NOT hot AND pos + 1 - hot_before <= e + 1) OR (hot AND hots >= shared_least AND pos < e + 2)").select("rep", "n", "token", "pos", "hot")
+    # A frequent shingle is one row as a key by itself, and an entry of its set's list for the combinations.
+    per = F.expr(f"if(hot AND n < {SINGLE_FROM}, NULL, token)")
+    lists = placed.groupBy("rep", "n").agg(F.collect_list(per).alias("single"), F.array_sort(F.collect_list(F.expr(f"if(hot AND n <= {COMBINED_UP_TO}, token, NULL)"))).alias("t"))
+    combined = F.expr("flatten(transform(t, (v, i) -> transform(slice(t, 1, i), u -> xxhash64(u, v))))")
+    keys = settled(lists.select("rep", "n", F.explode(F.concat("single", combined)).alias("key")))
+    keys = keys.join(keys.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key"), "key")
 
     weight = keys.groupBy("rep").agg(F.count("*").alias("weight"))
-    centres = keys.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"))
+    centres = keys.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"), F.count("*").alias("sets"))
     fits = f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
-    star = keys.join(centres, "key").filter("rep <> centre").selectExpr("least(rep, centre) AS x", "greatest(rep, centre) AS y").distinct()
-    members = settled(keys.select(F.col("rep").alias("doc")).distinct())
-    bitmap = id_bitmap(members)
-    sets = settled(
-        source.withColumn("slot", id_slot("doc")).mapInArrow(_whole(width, bitmap), "doc bigint, shingles array<bigint>").join(members, "doc", "left_semi").distinct()
-    )
-    first = settled(_verified(star, sets, reps, num, den))
+    star = settled(keys.join(centres, "key").filter("rep <> centre").selectExpr("least(rep, centre) AS x", "greatest(rep, centre) AS y").distinct())
+    first = _verified(_near(star, reps, num, den), source, width, num, den)
     roots = components(first, "x", "y")
 
-    labelled = keys.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # The star has compared all sets of a key of two; larger keys stay open while their sets are not connected.
+    several = keys.join(centres.filter("sets > 2").select("key"), "key", "left_semi")
+    labelled = several.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
     rest = settled(labelled.join(open_keys, "key", "left_semi").select("key", "rep", "n", "root"))
     pairs = (
         rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key AND a.rep < b.rep AND a.root <> b.root AND {fits}"))
         .selectExpr("a.rep AS x", "b.rep AS y").distinct().join(star, ["x", "y"], "left_anti")
     )
-    second = _verified(pairs, sets, reps, num, den)
+    second = _verified(_near(pairs, reps, num, den), source, width, num, den)
     # Classes that share an id are one document; so are all classes of its rows.
     final = components(first.unionByName(second), "x", "y")
     found = reps.select("n", "d1", "d2", F.col("rep").alias("node")).join(final, "node", "left").select("n", "d1", "d2", F.coalesce("root", "node").alias("component"))
