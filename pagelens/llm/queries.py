@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import contamination
+from .language_id import page_languages
 from .ngram_join import near_duplicates
 from .pack import packed
 from .toxicity import toxicity
@@ -56,3 +57,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn_from=id_remainder(4) != 2)
     return scored.select("doc_id", F.coalesce(id_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
