@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import contamination
 from .language_id import page_languages
+from .line_dedup import ORACLE as LINE_DEDUP_SQL, line_dedup
 from .ngram_join import near_duplicates
 from .pack import packed
 from .toxicity import toxicity
@@ -62,3 +63,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("text", F.coalesce("text", F.lit("")))
+
+
+ORACLE["op8_line_dedup"] = f"SELECT doc_id, coalesce(text, '') AS text, n_chunks, n_removed FROM ({LINE_DEDUP_SQL})"
