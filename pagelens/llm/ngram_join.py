@@ -135,11 +135,10 @@ def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
         low.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("low").alias("ly")), "y"
     )
     need = F.expr(f"cast(ceil({num} * (nx + ny) / {num + den}.0) AS bigint)")
-    edge = F.expr("least(if(size(lx) = nx, 2147483647, array_max(lx)), if(size(ly) = ny, 2147483647, array_max(ly)))")
+    edge = "least(if(size(lx) = nx, 2147483647, array_max(lx)), if(size(ly) = ny, 2147483647, array_max(ly)))"
+    lacking = lambda a, b: f"transform(array({edge}), g -> size(array_except(filter({a}, v -> v < g), {b})))[0]"  # noqa: E731  the border is found once a pair
     return (
-        both.withColumns({"need": need, "edge": edge})
-        .withColumns({"lx": F.expr("filter(lx, v -> v < edge)"), "ly": F.expr("filter(ly, v -> v < edge)")})
-        .filter("size(array_except(lx, ly)) <= nx - need AND size(array_except(ly, lx)) <= ny - need")
+        both.withColumn("need", need).filter(f"{lacking('lx', 'ly')} <= nx - need AND {lacking('ly', 'lx')} <= ny - need")
         .select("x", "y").distinct()
     )
 
