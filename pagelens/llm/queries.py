@@ -11,6 +11,7 @@ from .language_id import page_languages
 from .line_dedup import ORACLE as LINE_DEDUP_SQL, line_dedup
 from .ngram_join import near_duplicates
 from .pack import packed
+from .pii import pseudonymized
 from .toxicity import toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +72,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op8_line_dedup"] = f"SELECT doc_id, coalesce(text, '') AS text, n_chunks, n_removed FROM ({LINE_DEDUP_SQL})"
+
+
+@query
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), secret="key of the registered query")
