@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import contamination
 from .language_id import page_languages
+from .licenses import license_scan
 from .line_dedup import ORACLE as LINE_DEDUP_SQL, line_dedup
 from .ngram_join import near_duplicates
 from .pack import packed
@@ -77,3 +78,9 @@ ORACLE["op8_line_dedup"] = f"SELECT doc_id, coalesce(text, '') AS text, n_chunks
 @query
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), secret="key of the registered query")
+
+
+@query
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("whole", ",").alias("whole"), F.array_join("parts", ",").alias("parts"), "n_lines")
