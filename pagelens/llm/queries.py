@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import contamination
+from .embedding_join import ORACLE as EMBEDDING_SQL, embedding_duplicates
 from .language_id import page_languages
 from .licenses import license_scan
 from .line_dedup import ORACLE as LINE_DEDUP_SQL, line_dedup
@@ -84,3 +85,11 @@ def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = license_scan(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.array_join("whole", ",").alias("whole"), F.array_join("parts", ",").alias("parts"), "n_lines")
+
+
+@query
+def op2_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+ORACLE["op2_embedding_join"] = EMBEDDING_SQL
