@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .decontaminate import contamination
 from .embedding_join import ORACLE as EMBEDDING_SQL, embedding_duplicates
 from .language_id import page_languages
+from .language_model import lm_scores
 from .licenses import license_scan
 from .line_dedup import ORACLE as LINE_DEDUP_SQL, line_dedup
 from .ngram_join import near_duplicates
@@ -93,3 +94,9 @@ def op2_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op2_embedding_join"] = EMBEDDING_SQL
+
+
+@query
+def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores(table(spark, sf_dir, "documents"), learn_from=id_remainder(10) != 0)
+    return scored.select("doc_id", F.coalesce(id_remainder(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
