@@ -66,7 +66,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long
     out = chunked(with_marks(wrapped, gone), long_words)
     left = F.expr("if(gone IS NULL, text, array_join(filter(chunks, (c, i) -> NOT array_contains(gone, i)), '\n'))")
     return out.select(
-        F.col("doc").alias(doc_id), left.alias(text), *(F.col(f"rest.`{c}`").alias(c) for c in rest), F.coalesce(F.size("chunks"), F.lit(0)).cast("bigint").alias("n_chunks"),
+        F.col("doc").alias(doc_id), left.alias(text), *(F.col(f"rest.`{c}`").alias(c) for c in rest if c not in ("n_chunks", "n_removed")), F.coalesce(F.size("chunks"), F.lit(0)).cast("bigint").alias("n_chunks"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
 

@@ -35,14 +35,19 @@ def id_remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
-@query
-def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"), window=2048, end_id=1).select(
+def pieces_digest(docs: DataFrame) -> DataFrame:
+    """Pieces of packed sequences with a checksum in place of their ids."""
+    return packed(docs, window=2048, end_id=1).select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("bigint").alias("length"), F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id",
         F.col("offset").cast("bigint").alias("offset"),
     )
 
 
+@query
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces_digest(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
