@@ -37,7 +37,7 @@ from .storage import settled
 from .textscan import NOT_SPACE, scan
 
 #: A shingle in more extended prefixes than this is frequent.
-FREQUENT = 64
+FREQUENT = 16
 #: Sets of up to this size are indexed by combinations of frequent shingles; from 9/10 of the lower bound on by single ones.
 COMBINED_UP_TO, SINGLE_FROM = 1100, 900
 #: Bits of the bitmap of ids whose whole sets are fetched; a crowded bitmap only lets more rows pass to the exact join.
@@ -130,17 +130,14 @@ def id_slot(column: str):
 
 def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that their extended prefixes don't rule out. Upper halves of hashes keep the order, and can only agree too often."""
-    low = reps.select("rep", "n", F.expr("transform(low, v -> cast(shiftright(v, 32) AS int))").alias("low"))
-    both = pairs.join(low.select(F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("low").alias("lx")), "x").join(
-        low.select(F.col("rep").alias("y"), F.col("n").alias("ny"), F.col("low").alias("ly")), "y"
-    )
-    need = F.expr(f"cast(ceil({num} * (nx + ny) / {num + den}.0) AS bigint)")
-    edge = "least(if(size(lx) = nx, 2147483647, array_max(lx)), if(size(ly) = ny, 2147483647, array_max(ly)))"
-    lacking = lambda a, b: f"transform(array({edge}), g -> size(array_except(filter({a}, v -> v < g), {b})))[0]"  # noqa: E731  the border is found once a pair
-    return (
-        both.withColumn("need", need).filter(f"{lacking('lx', 'ly')} <= nx - need AND {lacking('ly', 'lx')} <= ny - need")
-        .select("x", "y").distinct()
-    )
+    upper = "array_distinct(transform(low, v -> cast(shiftright(v, 32) AS int)))"
+    low = reps.select("rep", "n", F.expr(f"{upper} AS low"), F.expr("if(size(low) = n, 2147483647, cast(shiftright(element_at(low, -1), 32) AS int)) AS known"))
+    both = pairs.join(low.selectExpr("rep AS x", "n AS nx", "low AS lx", "known AS kx"), "x").join(low.selectExpr("rep AS y", "n AS ny", "low AS ly", "known AS ky"), "y")
+    need = f"cast(ceil({num} * (nx + ny) / {num + den}.0) AS bigint)"
+    # Up to the smaller border both sets are known whole there, so what one holds and the other lacks can be counted.
+    upto = lambda low, own, other: f"if({own} <= {other}, size({low}), size(filter({low}, v -> v <= {other})))"
+    test = f"transform(array(size(array_intersect(lx, ly))), s -> {upto('lx', 'kx', 'ky')} - s <= nx - {need} AND {upto('ly', 'ky', 'kx')} - s <= ny - {need})[0]"
+    return both.filter(test).select("x", "y").distinct()
 
 
 def _verified(near: DataFrame, source: DataFrame, width: int, num: int, den: int) -> DataFrame:
