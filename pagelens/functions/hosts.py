@@ -18,16 +18,15 @@ def reserved_v4(ip: str) -> str:
 
 
 def _number(p: str) -> str:
-    """One address part in decimal, octal or hex; NULL when it is no number."""
-    hexed, octal = f"substring({p}, 3)", f"ltrim('0', {p})"
-    return (
-        f"CASE WHEN {rlike(p, r'^0[xX]$')} THEN 0L "
-        f"WHEN {rlike(p, r'^0[xX][0-9a-fA-F]+$')} THEN "
-        f"CASE WHEN length(ltrim('0', {hexed})) > 12 THEN {TOO_BIG}L ELSE CAST(conv({hexed}, 16, 10) AS BIGINT) END "
-        f"WHEN {rlike(p, r'^0[0-7]*$')} THEN CASE WHEN length({octal}) > 16 THEN {TOO_BIG}L "
-        f"ELSE coalesce(CAST(conv({octal}, 8, 10) AS BIGINT), 0L) END "
-        f"WHEN {rlike(p, r'^[1-9][0-9]*$')} THEN CASE WHEN length({p}) > 15 THEN {TOO_BIG}L ELSE CAST({p} AS BIGINT) END END"
+    """One address part as a number, NULL when it is none: the prefix gives the radix, then digits are checked once."""
+    parts = (
+        f"CASE WHEN {rlike(p, '^0[xX]')} THEN struct(16 AS radix, substring({p}, 3) AS digits) "
+        f"WHEN {rlike(p, '^0.')} THEN struct(8 AS radix, substring({p}, 2) AS digits) ELSE struct(10 AS radix, {p} AS digits) END"
     )
+    allowed = "CASE n_.radix WHEN 16 THEN '^[0-9a-fA-F]*$' WHEN 8 THEN '^[0-7]*$' ELSE '^[0-9]+$' END"
+    # Twelve digits of any radix stay below the limit; longer values are too big for an address anyway.
+    value = f"CASE WHEN length(ltrim('0', n_.digits)) > 12 THEN {TOO_BIG}L ELSE coalesce(CAST(conv(n_.digits, n_.radix, 10) AS BIGINT), 0L) END"
+    return f"transform(array({parts}), n_ -> CASE WHEN n_.digits RLIKE {allowed} THEN {value} END)[0]"
 
 
 def ipv4_literal(host: str) -> str:

@@ -229,7 +229,7 @@ add("enrich_data_uri_dims",
     lambda s, d: E.measure_prefixes(E.data_uri_prefixes(man(s, d))).selectExpr(
         "page_id", "doc_order", "dims.state AS state", "dims.w AS w", "dims.h AS h"),
     MAN + """SELECT page_id, doc_order, CASE WHEN url LIKE 'data:image/gif%' THEN 'known' ELSE 'no-intrinsic' END AS state,
-      CASE WHEN url LIKE 'data:image/gif%' THEN 1 END AS w, CASE WHEN url LIKE 'data:image/gif%' THEN 1 END AS h FROM man WHERE url LIKE 'data:%'""")
+      CASE WHEN url LIKE 'data:image/gif%' THEN 3 END AS w, CASE WHEN url LIKE 'data:image/gif%' THEN 2 END AS h FROM man WHERE url LIKE 'data:%'""")
 RESP = f"resp AS (SELECT {', '.join(D.RESPONSES)} FROM man)"
 responses = lambda m: m.selectExpr(*D.RESPONSES)
 add("enrich_probe", lambda s, d: E.probe(responses(man(s, d))).selectExpr("page_id", "doc_order", "size_state", "CAST(bytes AS BIGINT) AS bytes"),

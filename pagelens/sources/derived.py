@@ -23,14 +23,14 @@ HEAD = (
 BODY = (
     '<img src="/img/hero-{p}.jpg" width="1600" height="900" srcset="/img/hero-{p}-800.jpg 800w, '
     '/img/hero-{p}-1200.jpg 1200w"><img src="shared-{m}.png#top"><img src="shared-{m}.png">'
-    '<img src="//cdn.example.net/b.png?z=1&a=2"><img src="//cdn.example.net/b.png?a=2&z=1">'
+    '<img src="//cdn.example.net/wide.png?size=2&cut=7"><img src="//cdn.example.net/wide.png?cut=7&size=2">'
     '<picture><source srcset="/p/{p}-800.webp 800w, /p/{p}-1200.webp 1200w"><img src="/p/{p}.jpg" '
     'width="1200" height="800" alt="a > b"></picture><div data-bg="url(/bg/{m}.png)" '
     "style=\"background:url('/css/attr-{m}.gif')\"></div><li data-src=\"/lazy/{p}.jpg\"></li>"
     '<video poster="/v/{m}.jpg"></video><object data="/o/{m}.svg"></object><embed src="/e/{p}.png">'
     '<noscript><img src="/ns/{p}.avif" srcset="/ns/{p}-2x.avif 2x"></noscript>'
-    '<img src="javascript:alert(1)"><img src="data:image/gif;base64,R0lGODlhAQABAAAAACw=">'
-    '<img src="/x/pic.png"><img src="/y/pic.png">'
+    '<img src="javascript:alert(1)"><img src="data:image/gif;base64,R0lGODlhAwACAIABACBAYP///yw=">'
+    '<img src="/left/tile-{m}.jpg"><img src="/right/tile-{m}.jpg">'
 )
 # Only on every third page: an inline drawing and a lazily loaded responsive set.
 THIRD = (
