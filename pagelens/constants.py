@@ -125,6 +125,17 @@ ERROR_CATALOG = {
     "upstream-error": (502, "The image's server responded with an error.", False),
     "upstream-network": (
         502, "That server couldn't be reached — it may be down or refusing connections.", True),
+    "invalid-request": (400, "That doesn't look like a valid web address.", False),
+    "rate-limited": (429, None, False),
+}
+
+# Messages of the rate limits by kind; {m} is the time to wait in minutes (fixed values).
+RATE_MESSAGES = {
+    "scan": "This tool allows 30 page scans per hour for each network connection, and the allowance is shared — on mobile "
+            "networks and shared Wi-Fi, many people can count against the same connection. The limit resets within the "
+            "hour; try again in about {m}.",
+    "proxy": "The hourly image limit (1,000 image requests per network connection) was reached. The allowance is shared by "
+             "everyone on your network connection, and resets within the hour — try again in about {m}.",
 }
 
 # Footnotes of the bundle's skip report, in report order (fixed values).

@@ -9,7 +9,7 @@ swallows the remainder instead of being re-read as markup.
 
 from __future__ import annotations
 
-from ..constants import HTML_VOID_TAGS, MAX_DATA_URI, SVG_ATTRIBUTE_NAMES, SVG_NAMESPACE
+from ..constants import HTML_VOID_TAGS, SVG_ATTRIBUTE_NAMES, SVG_NAMESPACE
 from .sqltext import extract, extract_all, in_list, lookup, q, rlike, sub
 
 WS = r" \t\n\f\r"
@@ -140,12 +140,12 @@ def _svg_piece(tok: str, is_root: str) -> str:
     )
 
 
-def svg_islands(toks: str) -> str:
+def svg_islands(toks: str, max_data_uri: int | None = None) -> str:
     """Outermost <svg>…</svg> spans of a token array: ARRAY<STRUCT<pos, uri>>.
 
     Nesting is tracked over the svg tags alone, so the fold is as short as their number; each span
     is then cut out with ``slice`` and serialized. ``pos`` is the closing token's position.
-    Drawings over the data-URI limit are left out, as are ones never closed.
+    Drawings never closed are left out, as are ones longer than ``max_data_uri``, if given.
     """
     closes = rlike("t_", rf"^</(?i:svg)[{WS}/>]")
     delta = (
@@ -172,18 +172,20 @@ def svg_islands(toks: str) -> str:
         f"concat('data:image/svg+xml,', {encode_uri_component(markup)}) AS uri))"
     )
     found = f"exists({toks}, t_ -> {starts_tag('t_', 'svg')})"
-    return (
-        f"CASE WHEN {found} THEN filter({islands}, s_ -> length(s_.uri) <= {MAX_DATA_URI}) "
-        "ELSE array() END"
-    )
+    if max_data_uri is not None:
+        islands = f"filter({islands}, s_ -> length(s_.uri) <= {max_data_uri})"
+    return f"CASE WHEN {found} THEN {islands} ELSE array() END"
 
 
-def noscript_bodies(toks: str, budget: int) -> str:
-    """Non-blank <noscript> bodies in order, cut so that all bodies together hold ``budget`` chars.
+def noscript_bodies(toks: str, budget: int | None = None) -> str:
+    """Non-blank <noscript> bodies in order, cut so that all together hold ``budget`` chars, if given.
 
     The running total is a scalar fold that finds the body in which the budget ends.
     """
     bodies = f"transform(filter({toks}, t_ -> {starts_tag('t_', 'noscript')}), t_ -> {raw_body('t_')})"
+    blank = rlike("b_", r"[^\s\x{00a0}\x{feff}]")
+    if budget is None:
+        return f"filter({bodies}, b_ -> {blank})"
     over = f"(acc_.cross < 0 AND acc_.total + length(b_) > {budget})"
     step = (
         f"struct(acc_.total + length(b_) AS total, acc_.i + 1 AS i, "
@@ -196,4 +198,4 @@ def noscript_bodies(toks: str, budget: int) -> str:
         "(b_, i_) -> CASE WHEN i_ = c_.cut.cross THEN substring(b_, 1, c_.cut.room) ELSE b_ END) END"
     )
     bound = f"transform(array({bodies}), n_ -> struct(n_ AS n, {cut} AS cut))"
-    return f"filter(transform({bound}, c_ -> {kept})[0], b_ -> {rlike('b_', r'[^\s\x{00a0}\x{feff}]')})"
+    return f"filter(transform({bound}, c_ -> {kept})[0], b_ -> {blank})"

@@ -42,7 +42,7 @@ def _reject_constant(name: str):
     raise ValueError(name)
 
 
-def structured_images(text: str, max_depth: int = 8) -> list[tuple[str, int | None, int | None]]:
+def structured_images(text: str, max_depth: int | None = None) -> list[tuple[str, int | None, int | None]]:
     """Images of one JSON-LD text, in document order; malformed text has none."""
     try:
         root = json.loads(text, parse_constant=_reject_constant)
@@ -53,7 +53,7 @@ def structured_images(text: str, max_depth: int = 8) -> list[tuple[str, int | No
     stack = [(root, 0, False)]
     while stack:
         node, depth, is_image = stack.pop()
-        if depth > max_depth:
+        if max_depth is not None and depth > max_depth:
             continue
         if isinstance(node, list):
             stack.extend((item, depth + 1, is_image) for item in reversed(node))

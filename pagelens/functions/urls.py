@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from ..constants import MAX_DATA_URI
 from .sqltext import extract, q, rlike, settled, sub
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
@@ -139,11 +138,11 @@ def url_path(url: str) -> str:
     return extract(url, r"^[a-z]+://[^/?#]*([^?#]*)")
 
 
-def with_resolved(df: DataFrame, raw: str, base: str, out: str, sort: bool = True) -> DataFrame:
+def with_resolved(df: DataFrame, raw: str, base: str, out: str, sort: bool = True, max_data_uri: int | None = None) -> DataFrame:
     """Add ``out``: ``raw`` resolved against the ``base`` struct (see :func:`split_absolute`).
 
     The fragment is dropped. With ``sort`` the query is normalized as well and ``data:image/*`` URIs
-    within the size limit pass verbatim; NULL marks everything that is not an accepted image URL.
+    (of up to ``max_data_uri`` characters, if given) pass verbatim; NULL marks everything that is not an accepted image URL.
     The work is staged over several projections so that each piece is evaluated once.
     """
     keep = [f"`{c}`" for c in df.columns]
@@ -186,6 +185,6 @@ def with_resolved(df: DataFrame, raw: str, base: str, out: str, sort: bool = Tru
     )
     if sort:
         # Data URIs keep their text, '#' included; the prefix test is case-sensitive for 'data:'.
-        accepted = f"{rlike(raw, '^data:(?i:image)/')} AND length({raw}) <= {MAX_DATA_URI}"
+        accepted = rlike(raw, "^data:(?i:image)/") + ("" if max_data_uri is None else f" AND length({raw}) <= {max_data_uri}")
         href = f"CASE WHEN {data} THEN CASE WHEN {accepted} THEN {raw} END ELSE {href} END"
     return settled(s, keep, {out: href})

@@ -3,7 +3,7 @@
 Each token is turned into its candidates by one array expression that covers every kind of markup,
 so a page is scanned once instead of once per kind. Only then do the rows shuffle by ``page_id``
 for the few rules that look across tokens: picture scope, variant-group numbering, social-image
-sizes, the style budget and the raw cap. The per-page windows are bounded by the page byte cap.
+sizes, the style budget and the raw cap. The windows see one page, and a page is one row.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..constants import (
-    ICON_RELS, LAZY_ATTRS, MAX_NOSCRIPT_TEXT, MAX_RAW_CANDIDATES, MAX_STYLE_TEXT, MAX_STYLESHEETS,
+    ICON_RELS, LAZY_ATTRS,
     META_IMAGE_KEYS,
 )
 from ..functions import html as H, values as V
@@ -133,11 +133,11 @@ def element_candidates(marks: DataFrame) -> DataFrame:
 
 
 def page_elements(
-    pages: DataFrame, noscript_budget: int = MAX_NOSCRIPT_TEXT, style_budget: int = MAX_STYLE_TEXT,
-    keep_all_pages: bool = False,
+    pages: DataFrame, noscript_budget: int | None = None, style_budget: int | None = None, keep_all_pages: bool = False,
+    max_data_uri: int | None = None,
 ) -> DataFrame:
     """Elements with every cross-token rule applied; one shuffle, by ``page_id``."""
-    els = element_candidates(page_marks(pages, noscript_budget, keep_all_pages)).repartition("page_id")
+    els = element_candidates(page_marks(pages, noscript_budget, keep_all_pages, max_data_uri)).repartition("page_id")
     sofar = "OVER (PARTITION BY page_id, frag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     before = sofar.replace("CURRENT ROW", "1 PRECEDING")
     # Inside a <picture>? The last start or end tag decides.
@@ -146,7 +146,8 @@ def page_elements(
         "*",
         f"coalesce({inside}, false) AS inside",
         f"sum(CAST(meta_image AS INT)) {sofar} AS meta_session",
-        f"coalesce(sum(style_chars) {before}, 0) < {style_budget} AS style_open",
+        # Without a budget too: the window keeps the optimizer from copying the element expressions into later steps.
+        f"coalesce(sum(style_chars) {before}, 0) < {2**62 if style_budget is None else style_budget}L AS style_open",
     )
     els = els.selectExpr(
         "*",
@@ -189,9 +190,9 @@ def html_candidates(els: DataFrame, keep_all_pages: bool = False) -> DataFrame:
 
 
 def raw_candidates(
-    pages: DataFrame, raw_cap: int = MAX_RAW_CANDIDATES, keep_all_pages: bool = False, **budgets
+    pages: DataFrame, raw_cap: int | None = None, keep_all_pages: bool = False, **budgets
 ) -> DataFrame:
-    """Candidates in document order with ``seq``; the first ``raw_cap`` per page are kept.
+    """Candidates in document order with ``seq``; with a ``raw_cap`` only the first ones of a page are kept.
 
     ``hit_raw_cap`` tells whether the page had more. ``base`` is the resolved document base.
     """
@@ -202,19 +203,21 @@ def raw_candidates(
     rows = rows.selectExpr("*", f"CAST(row_number() {order} AS BIGINT) AS seq")
     n_raw = "max(CASE WHEN raw IS NOT NULL THEN seq END) OVER (PARTITION BY page_id)"
     rows = rows.selectExpr("*", f"coalesce({n_raw}, 0L) AS n_raw")
-    rows = rows.filter(f"CASE WHEN raw IS NULL THEN seq = n_raw + 1 ELSE seq <= {raw_cap} END")
+    rows = rows.filter(f"CASE WHEN raw IS NULL THEN seq = n_raw + 1 ELSE {'true' if raw_cap is None else f'seq <= {raw_cap}'} END")
     return rows.selectExpr(
         "page_id", "size_cap_hit", "base", "seq", "raw", "source", "width", "height", "variant_group",
-        f"n_raw > {raw_cap} AS hit_raw_cap",
+        "false AS hit_raw_cap" if raw_cap is None else f"n_raw > {raw_cap} AS hit_raw_cap",
     )
 
 
-def stylesheet_links(els: DataFrame, limit: int = MAX_STYLESHEETS) -> DataFrame:
-    """First ``limit`` linked style sheets per page, document first, resolved to absolute URLs."""
+def stylesheet_links(els: DataFrame, limit: int | None = None) -> DataFrame:
+    """Linked style sheets per page (the first ``limit``, if given), document first, resolved to absolute URLs."""
     rows = els.filter(F.col("sheet_href").isNotNull()).select(
         "page_id", "base", "frag", "pos", "sheet_href"
     )
     order = W.partitionBy("page_id").orderBy("frag", "pos")
-    rows = rows.withColumn("sheet_no", F.row_number().over(order)).filter(F.col("sheet_no") <= limit)
+    rows = rows.withColumn("sheet_no", F.row_number().over(order))
+    if limit is not None:
+        rows = rows.filter(F.col("sheet_no") <= limit)
     rows = with_resolved(rows, "sheet_href", "base", "sheet_url", sort=False)
     return rows.select("page_id", "sheet_no", "sheet_href", "sheet_url")

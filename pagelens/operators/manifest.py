@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import MAX_UNITS
 from ..functions import values as V
 from ..functions.image_id import image_id
 from ..functions.urls import with_resolved
@@ -15,18 +14,18 @@ MANIFEST = [
 ]
 
 
-def resolved_candidates(cands: DataFrame) -> DataFrame:
+def resolved_candidates(cands: DataFrame, max_data_uri: int | None = None) -> DataFrame:
     """``image_url`` = normalized absolute URL or accepted data URI; NULL when rejected."""
-    return with_resolved(cands, "raw", "base", "image_url")
+    return with_resolved(cands, "raw", "base", "image_url", max_data_uri=max_data_uri)
 
 
-def admitted_candidates(cands: DataFrame, max_units: int = MAX_UNITS) -> DataFrame:
+def admitted_candidates(cands: DataFrame, max_units: int | None = None, max_data_uri: int | None = None) -> DataFrame:
     """First occurrence of every URL per page, with its logical unit's rank and admission.
 
     De-duplication comes before the cap: a URL first seen in a rejected unit stays out even when an
     admitted unit repeats it later. All windows share the ``page_id`` partitioning of the input.
     """
-    rows = resolved_candidates(cands)
+    rows = resolved_candidates(cands, max_data_uri)
     rows = rows.selectExpr("*", "row_number() OVER (PARTITION BY page_id, image_url ORDER BY seq) AS copy_no")
     rows = rows.filter("image_url IS NULL OR copy_no = 1")
     unit = "CASE WHEN image_url IS NOT NULL THEN coalesce(concat('g:', variant_group), concat('u:', image_url)) END"
@@ -34,12 +33,12 @@ def admitted_candidates(cands: DataFrame, max_units: int = MAX_UNITS) -> DataFra
     rows = rows.selectExpr("*", "min(seq) OVER (PARTITION BY page_id, unit) AS unit_seq")
     unit_no = "dense_rank() OVER (PARTITION BY page_id, image_url IS NOT NULL ORDER BY unit_seq)"
     rows = rows.selectExpr("*", f"{unit_no} AS unit_no")
-    return rows.selectExpr("*", f"image_url IS NOT NULL AND unit_no <= {max_units} AS admitted")
+    return rows.selectExpr("*", f"image_url IS NOT NULL{'' if max_units is None else f' AND unit_no <= {max_units}'} AS admitted")
 
 
-def manifest(cands: DataFrame, max_units: int = MAX_UNITS) -> DataFrame:
+def manifest(cands: DataFrame, max_units: int | None = None, max_data_uri: int | None = None) -> DataFrame:
     """The manifest rows of every page, in ``doc_order``."""
-    return manifest_rows(admitted_candidates(cands.filter(F.col("raw").isNotNull()), max_units))
+    return manifest_rows(admitted_candidates(cands.filter(F.col("raw").isNotNull()), max_units, max_data_uri))
 
 
 def manifest_rows(rows: DataFrame) -> DataFrame:

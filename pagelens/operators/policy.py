@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..constants import ERROR_CATALOG, MAX_REDIRECTS, MAX_ROBOTS_BYTES
+from ..constants import ERROR_CATALOG, MAX_REDIRECTS, RATE_MESSAGES
 from ..functions import hosts as A
 from ..functions.sqltext import extract, q, rlike, settled, sub
 from ..functions.urls import split_absolute, url_host, url_origin, with_resolved
@@ -55,15 +55,15 @@ def admit(df: DataFrame, url: str = "url") -> DataFrame:
     return settled(s, [*keep, "host"], {"ok": "reason IS NULL", "reason": "reason", "detail": detail})
 
 
-def robots_rules(robots: DataFrame, agent: str, max_bytes: int = MAX_ROBOTS_BYTES) -> DataFrame:
+def robots_rules(robots: DataFrame, agent: str, max_bytes: int | None = None) -> DataFrame:
     """``origin, pos, allow, pattern`` for our agent, from ``robots(origin, status, body)``.
 
     Own-agent groups (exact name) replace the ``*`` groups, even when they hold no rule. A file cut at
-    ``max_bytes`` loses its partial last line. All windows run within one origin's capped file.
+    ``max_bytes``, if given, loses its partial last line. All windows run within one origin's file, which is one row.
     """
     capped = f"octet_length(body) > {max_bytes}"
     head = f"make_valid_utf8(CAST(substring(CAST(body AS BINARY), 1, {max_bytes}) AS STRING))"
-    text = f"CASE WHEN {capped} THEN {sub(head, r'[^\n]*\z', '')} ELSE body END"
+    text = "body" if max_bytes is None else f"CASE WHEN {capped} THEN {sub(head, r'[^\n]*\z', '')} ELSE body END"
     lines = robots.filter("status BETWEEN 200 AND 299").selectExpr(
         "origin", f"split({sub(text, r'^\x{feff}', '')}, {q(r'\r\n|\r|\n')}) AS lines"
     )
@@ -114,8 +114,8 @@ def _matches(pattern: str, path: str) -> str:
 def robots_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``robots_allowed``: the longest matching pattern decides, Allow wins ties.
 
-    Rules are gathered per origin (bounded by the robots byte cap), so a page joins one row however
-    many rules its site has, and a site with a third of all pages is spread over salted partitions.
+    Rules are gathered per origin, whose file is one row, so a page joins one row however many rules its
+    site has; the pages of a large site are split by size.
     """
     per_origin = rules.groupBy("origin").agg(F.collect_list(F.struct("allow", "pattern")).alias("rules"))
     rows = pages.selectExpr(
@@ -124,7 +124,7 @@ def robots_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
         "*", "concat(_u.scheme, '://', _u.authority) AS origin",
         "concat(_u.path, CASE WHEN _u.query = '' THEN '' ELSE concat('?', _u.query) END) AS _path",
     )
-    joined = join_dimension(rows, per_origin, ["origin"], salt_from="page_id")
+    joined = join_dimension(rows, per_origin, ["origin"])
     best = (
         f"array_max(transform(filter(rules, r_ -> {_matches('r_.pattern', '_path')}), "
         "r_ -> struct(length(r_.pattern) AS n, r_.allow AS allow)))"
@@ -171,7 +171,7 @@ def without_blocked(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """Pages whose host is not blocked."""
     rows = pages.selectExpr("*", f"{url_host('url')} AS host")
     blocked = blocked_hosts(rows, entries)
-    marked = join_dimension(rows, blocked.selectExpr("host", "true AS _hit"), ["host"], salt_from="page_id")
+    marked = join_dimension(rows, blocked.selectExpr("host", "true AS _hit"), ["host"])
     return marked.filter("_hit IS NULL").drop("_hit", "host")
 
 
@@ -227,16 +227,25 @@ def redirect_chains(hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> Data
 
 
 def error_catalog(spark) -> DataFrame:
-    """The fixed outcome catalog (15 rows)."""
+    """The fixed outcome catalog (17 rows)."""
     rows = [(code, *entry) for code, entry in ERROR_CATALOG.items()]
     return spark.createDataFrame(rows, "code string, http_status int, message string, retryable boolean")
 
 
 def with_catalog(outcomes: DataFrame, code: str = "code") -> DataFrame:
     """Add HTTP status, message and retry flag; unknown codes are 500 and not retryable."""
-    # The catalog is a constant of 15 rows, so broadcasting it is bounded.
+    # The catalog is a constant of 17 rows, so broadcasting it is bounded.
     dim = F.broadcast(error_catalog(outcomes.sparkSession).withColumnRenamed("code", code))
     rows = outcomes.join(dim, code, "left")
     return rows.withColumns(
         {"http_status": F.expr("coalesce(http_status, 500)"), "retryable": F.expr("coalesce(retryable, false)")}
     )
+
+
+def with_rate_messages(judged: DataFrame) -> DataFrame:
+    """Catalog entries of requests that a rate limit rejected, with the message of their ``kind`` and waiting time."""
+    minutes = "greatest(1, CAST(ceil(retry_after / 60) AS BIGINT))"
+    wait = f"concat(CAST({minutes} AS STRING), ' minute', CASE WHEN {minutes} = 1 THEN '' ELSE 's' END)"
+    message = " ".join(f"WHEN {q(kind)} THEN replace({q(text)}, '{{m}}', {wait})" for kind, text in RATE_MESSAGES.items())
+    rows = with_catalog(judged.filter("NOT admitted").withColumn("code", F.lit("rate-limited")))
+    return rows.withColumn("message", F.expr(f"CASE kind {message} END"))

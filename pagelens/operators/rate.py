@@ -6,8 +6,6 @@ after it. At most one window opens per W-aligned time bucket, because openings a
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..sources.shared import persist
@@ -16,68 +14,58 @@ from .skew import join_dimension
 KEY = ["kind", "client"]
 
 
-def _window_starts_small(requests: DataFrame, window_ms: int) -> DataFrame:
-    """Openings by a fold inside one row per key; for keys with few distinct request times."""
-    times = requests.groupBy(*KEY).agg(F.expr("array_sort(collect_set(ts_ms)) AS times"))
-    step = (
-        f"CASE WHEN size(acc) = 0 OR t >= element_at(acc, -1) + {window_ms}L THEN concat(acc, array(t)) ELSE acc END"
-    )
-    fold = f"aggregate(times, CAST(array() AS array<bigint>), (acc, t) -> {step})"
-    return times.selectExpr(*KEY, f"explode({fold}) AS start")
-
-
-def _window_starts_hot(requests: DataFrame, window_ms: int) -> DataFrame:
-    """Openings of keys with very many requests, one time bucket after the other.
+def _next_openings(times: DataFrame, window_ms: int) -> DataFrame:
+    """For each distinct request time of a key the first one at least a window later, ``following``, if any.
 
-    Within bucket h the opening is the first request at or after the offset of the opening in h - 1
-    (or the first request at all): a partial ``min`` per key, so a key's requests are never brought
-    together. The loop runs over time buckets, a number bounded by the log's time range.
+    The end of a request's window falls into the next time bucket. There the nearest request at or after it is a running
+    minimum within one key's bucket; where that bucket has none left, the next bucket with requests begins with it.
     """
-    rows = persist(
-        requests.selectExpr(*KEY, f"ts_ms div {window_ms} AS bucket", f"ts_ms % {window_ms} AS off").groupBy(
-            *KEY, "bucket", "off"
-        ).agg(F.lit(1).alias("one")).drop("one"),
-        "rate-hot",
-    )
-    buckets = sorted(r[0] for r in rows.select("bucket").distinct().collect())
-    found, before = [], None
-    for bucket in buckets:
-        here = rows.filter(F.col("bucket") == bucket)
-        if before is not None and before[0] == bucket - 1:
-            here = here.join(before[1].select(*KEY, F.col("off").alias("carry")), KEY, "left")
-            here = here.filter("off >= coalesce(carry, 0L)")
-        opened = here.groupBy(*KEY).agg(F.min("off").alias("off"))
-        opened = persist(opened.withColumn("bucket", F.lit(bucket).cast("bigint")), "rate-step")
-        found.append(opened)
-        before = (bucket, opened)
-    starts = reduce(DataFrame.unionByName, found) if found else rows.limit(0)
-    return starts.selectExpr(*KEY, f"bucket * {window_ms} + off AS start")
-
-
-def rate_limit(
-    requests: DataFrame, limits: dict[str, int] | int, window_ms: int, hot_rows: int = 100_000
-) -> DataFrame:
+    placed = times.selectExpr(*KEY, "ts_ms", f"ts_ms div {window_ms} AS bucket", f"ts_ms % {window_ms} AS off")
+    probes = placed.selectExpr(*KEY, "ts_ms", "bucket + 1 AS bucket", "off", "0 AS asked")
+    both = placed.selectExpr(*KEY, "ts_ms", "bucket", "off", "1 AS asked").unionByName(probes)
+    here = "OVER (PARTITION BY kind, client, bucket ORDER BY off DESC, asked DESC ROWS UNBOUNDED PRECEDING)"
+    near = both.selectExpr("*", f"min(CASE WHEN asked = 1 THEN off END) {here} AS at").filter("asked = 0")
+    buckets = both.groupBy(*KEY, "bucket").agg(F.min(F.expr("CASE WHEN asked = 1 THEN ts_ms END")).alias("first"))
+    after = "OVER (PARTITION BY kind, client ORDER BY bucket DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    later = buckets.selectExpr(*KEY, "bucket", f"last(first, true) {after} AS later")
+    return near.join(later, [*KEY, "bucket"]).selectExpr(*KEY, "ts_ms", f"coalesce(bucket * {window_ms} + at, later) AS following")
+
+
+def _window_starts(requests: DataFrame, window_ms: int) -> DataFrame:
+    """Openings ``(kind, client, start)``: the first request of each key and all that follow from it.
+
+    Pointer doubling: each round adds what is reached from all openings found so far and doubles the length of the
+    pointers, so a log of n windows takes about log2(n) rounds for all keys alike, and no key is gathered anywhere.
+    """
+    times = persist(requests.select(*KEY, "ts_ms").distinct(), "rate-times")
+    span = times.agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b")).first()
+    found = times.groupBy(*KEY).agg(F.min("ts_ms").alias("ts_ms"))
+    if span.a is None:
+        return found.withColumnRenamed("ts_ms", "start")
+    jumps = persist(_next_openings(times, window_ms).filter("following IS NOT NULL"), "rate-jumps")
+    for _ in range(((span.b - span.a) // window_ms + 1).bit_length()):
+        reached = found.join(jumps, [*KEY, "ts_ms"]).select(*KEY, F.col("following").alias("ts_ms"))
+        found = persist(found.unionByName(reached).distinct(), "rate-found")
+        onward = jumps.select(*KEY, F.col("ts_ms").alias("following"), F.col("following").alias("onward"))
+        jumps = persist(jumps.join(onward, [*KEY, "following"]).select(*KEY, "ts_ms", F.col("onward").alias("following")), "rate-jumps")
+    return found.withColumnRenamed("ts_ms", "start")
+
+
+def rate_limit(requests: DataFrame, limits: dict[str, int] | int, window_ms: int) -> DataFrame:
     """Add ``admitted`` and ``retry_after`` (seconds) to ``requests(request_id, kind, client, ts_ms)``.
 
     Rejected requests neither count nor extend the window; requests without a client pass uncounted.
     Openings are found per key (see above), then each request is matched to its window by time bucket
-    and compared with the window's limit-th request. Both steps keep only ``limit`` rows per window.
+    and compared with the window's limit-th request. Ranks beyond the limit are pruned before the shuffle
+    as long as the limit is within the planner's bound for that (1,000 unless set otherwise).
     """
     known = requests.filter("client IS NOT NULL AND client <> ''")
-    sizes = known.groupBy(*KEY).agg(F.count("*").alias("n"))
-    hot = persist(sizes.filter(F.col("n") > hot_rows).selectExpr(*KEY, "true AS hot"), "rate-keys")
-    if hot.isEmpty():
-        starts = _window_starts_small(known, window_ms)
-    else:
-        marked = join_dimension(known, hot, KEY, salt_from="request_id")
-        starts = _window_starts_small(marked.filter("hot IS NULL"), window_ms).unionByName(
-            _window_starts_hot(marked.filter("hot"), window_ms)
-        )
+    starts = _window_starts(known, window_ms)
     # A request's window opened in its own bucket or in the one before.
     starts = starts.selectExpr(*KEY, "start", f"explode(array(start div {window_ms}, start div {window_ms} + 1)) AS bucket")
     windows = starts.groupBy(*KEY, "bucket").agg(F.expr("array_sort(collect_list(start)) AS starts"))
     rows = known.withColumn("bucket", F.expr(f"ts_ms div {window_ms}"))
-    rows = join_dimension(rows, windows, [*KEY, "bucket"], salt_from="request_id", how="inner").selectExpr(
+    rows = join_dimension(rows, windows, [*KEY, "bucket"], how="inner").selectExpr(
         "request_id", *KEY, "ts_ms", "array_max(filter(starts, s -> s <= ts_ms)) AS start"
     )
     if isinstance(limits, int):
@@ -90,7 +78,7 @@ def rate_limit(
         "*", "row_number() OVER (PARTITION BY kind, client, start ORDER BY ts_ms, request_id) AS nth"
     ).filter(f"nth <= {top}").filter(f"nth <= {limit}")
     last = nth.groupBy(*KEY, "start").agg(F.expr("max(struct(ts_ms, request_id)) AS last"))
-    judged = join_dimension(rows, last, [*KEY, "start"], salt_from="request_id").selectExpr(
+    judged = join_dimension(rows, last, [*KEY, "start"]).selectExpr(
         "request_id", *KEY, "ts_ms", "struct(ts_ms, request_id) <= last AS admitted",
         f"CAST(greatest(1, ceil((start + {window_ms} - ts_ms) / 1000D)) AS BIGINT) AS wait",
     )

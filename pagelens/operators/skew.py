@@ -1,19 +1,15 @@
-"""Joins that stay balanced when one key holds a large share of the fact rows."""
+"""Joins of many rows with a table of one row per key."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 
-def join_dimension(
-    facts: DataFrame, dim: DataFrame, on: list[str], salt_from: str, how: str = "left", salts: int = 8
-) -> DataFrame:
-    """Equi join of many rows with a one-row-per-key table, hot keys spread over ``salts`` partitions.
+def join_dimension(facts: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Equi join in which a key may hold a large share of the facts.
 
-    The fact side gets a salt from a well-spread column, the dimension side is replicated once per
-    salt. A key with a third of all rows then lands in ``salts`` tasks instead of one. Small
-    dimensions are still broadcast by the planner, by their measured size.
+    Adaptive execution splits the facts of a hot key over as many tasks as their measured size asks for and repeats
+    only that key's one row, whatever the size; ``session.get_spark`` lets it do so also where an aggregation follows.
+    Small dimensions are broadcast by the planner, by their measured size.
     """
-    copies = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    return facts.join(dim, on, how)

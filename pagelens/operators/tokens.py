@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import LAZY_ATTRS, MAX_HTML_BYTES, MAX_NOSCRIPT_TEXT
+from ..constants import LAZY_ATTRS
 from ..functions import html as H
 from ..functions.sqltext import rlike
 from ..functions.urls import split_absolute, with_resolved
@@ -29,8 +29,10 @@ _RELEVANT = "^<(?:%s)" % "|".join(
 )
 
 
-def cap_pages(pages: DataFrame, max_bytes: int = MAX_HTML_BYTES) -> DataFrame:
-    """Cut bodies at ``max_bytes`` (a character cut in half becomes U+FFFD) and flag the cut."""
+def cap_pages(pages: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Cut bodies at ``max_bytes``, if given (a character cut in half becomes U+FFFD), and flag the cut."""
+    if max_bytes is None:
+        return pages.withColumn("size_cap_hit", F.lit(False))
     over = f"octet_length(html) > {max_bytes}"
     cut = f"make_valid_utf8(CAST(substring(CAST(html AS BINARY), 1, {max_bytes}) AS STRING))"
     rest = [f"`{c}`" for c in pages.columns if c != "html"]
@@ -74,7 +76,7 @@ def with_document_base(pages: DataFrame) -> DataFrame:
     return rows.selectExpr("*", f"coalesce({resolved}, page) AS base").drop("_bu")
 
 
-def _marks(toks: str, frag: str) -> str:
+def _marks(toks: str, frag: str, max_data_uri: int | None) -> str:
     """Relevant tokens and finished inline drawings of one token array."""
     kind = "array<struct<frag:int,pos:int,tok:string,uri:string>>"
     null = "CAST(NULL AS STRING)"
@@ -83,14 +85,14 @@ def _marks(toks: str, frag: str) -> str:
         f"{null} AS uri)), m_ -> {rlike('m_.tok', _RELEVANT)})"
     )
     drawings = (
-        f"transform({H.svg_islands(toks)}, d_ -> struct(CAST({frag} AS INT) AS frag, d_.pos AS pos, "
+        f"transform({H.svg_islands(toks, max_data_uri)}, d_ -> struct(CAST({frag} AS INT) AS frag, d_.pos AS pos, "
         f"{null} AS tok, d_.uri AS uri))"
     )
     return f"concat(CAST({tokens} AS {kind}), CAST({drawings} AS {kind}))"
 
 
 def page_marks(
-    pages: DataFrame, noscript_budget: int = MAX_NOSCRIPT_TEXT, keep_all_pages: bool = False
+    pages: DataFrame, noscript_budget: int | None = None, keep_all_pages: bool = False, max_data_uri: int | None = None
 ) -> DataFrame:
     """One row per token that can yield a candidate, noscript fragments included.
 
@@ -123,7 +125,7 @@ def page_marks(
     )
     s = s.selectExpr(
         *keep, "base_href",
-        f"concat({_marks('toks', '0')}, flatten(transform(fragments, (f_, k_) -> {_marks('f_', 'k_ + 1')}))) AS marks",
+        f"concat({_marks('toks', '0', max_data_uri)}, flatten(transform(fragments, (f_, k_) -> {_marks('f_', 'k_ + 1', max_data_uri)}))) AS marks",
     )
     s = with_document_base(s)
     # The outer form, also where empty pages are dropped: the optimizer would infer a size filter for

@@ -265,9 +265,9 @@ def url_lists(m: DataFrame, selection: DataFrame) -> DataFrame:
 def with_known_dims(m: DataFrame, measured: DataFrame) -> DataFrame:
     """Measured dimensions win over declared ones as a pair, never mixed. ``measured(id, w, h)``.
 
-    One image may sit on a large share of all pages, so the join is salted by page.
+    One image may sit on a large share of all pages; such an image's rows are split by size.
     """
-    rows = join_dimension(m, measured.selectExpr("id", "struct(w, h) AS md"), ["id"], salt_from="page_id")
+    rows = join_dimension(m, measured.selectExpr("id", "struct(w, h) AS md"), ["id"])
     return rows.selectExpr(
         *[c for c in m.columns if c not in ("width", "height", "dimension_source")],
         "CASE WHEN md IS NOT NULL THEN md.w ELSE width END AS width",
@@ -290,7 +290,7 @@ def measure_todo(m: DataFrame, probed: DataFrame, key: str) -> DataFrame:
     unknown = {"width": "width IS NULL", "height": "height IS NULL"}.get(key, "width IS NULL OR height IS NULL")
     rows = m.filter(unknown)
     done = probed.select("id").distinct().selectExpr("id", "true AS _done")
-    return join_dimension(rows, done, ["id"], salt_from="page_id").filter("_done IS NULL").drop("_done")
+    return join_dimension(rows, done, ["id"]).filter("_done IS NULL").drop("_done")
 
 
 def measure_plan(todo: DataFrame, warn_at: int = MEASURE_WARN_AT) -> DataFrame:

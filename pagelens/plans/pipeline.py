@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..constants import MAX_RAW_CANDIDATES, MAX_SHEET_BYTES, MAX_STYLESHEETS, MAX_UNITS
 from ..functions import values as V
 from ..functions.sqltext import q
 from ..functions.urls import split_absolute, with_resolved
@@ -25,12 +24,12 @@ def admitted_pages(
     return rows
 
 
-def sheet_images(sheets: DataFrame, max_bytes: int = MAX_SHEET_BYTES) -> DataFrame:
+def sheet_images(sheets: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """``sheet_url, urls``: images of each style sheet, resolved against the sheet's own URL.
 
     Done once per sheet, so the join with pages moves short URL lists and no CSS text.
     """
-    text = (
+    text = "css" if max_bytes is None else (
         f"CASE WHEN octet_length(css) > {max_bytes} THEN "
         f"make_valid_utf8(CAST(substring(CAST(css AS BINARY), 1, {max_bytes}) AS STRING)) ELSE css END"
     )
@@ -43,24 +42,25 @@ def sheet_images(sheets: DataFrame, max_bytes: int = MAX_SHEET_BYTES) -> DataFra
     )
 
 
-def stylesheet_candidates(els: DataFrame, sheets: DataFrame, limit: int = MAX_STYLESHEETS) -> DataFrame:
+def stylesheet_candidates(els: DataFrame, sheets: DataFrame, limit: int | None = None) -> DataFrame:
     """Candidates from the linked sheets of each page; a missing or failed sheet yields none."""
     links = C.stylesheet_links(els, limit)
     links = P.admit(links, "sheet_url").filter("ok").select("page_id", "sheet_no", "sheet_url")
-    # Many pages share a sheet: salted by page, the sheet side is one short row per sheet.
-    joined = join_dimension(links, sheet_images(sheets), ["sheet_url"], salt_from="page_id", how="inner")
+    # Many pages share a sheet; the sheet side is one short row per sheet.
+    joined = join_dimension(links, sheet_images(sheets), ["sheet_url"], how="inner")
     return joined.selectExpr("page_id", "sheet_no", "posexplode(urls) AS (i, raw)")
 
 
 def candidates_with_sheets(
-    pages: DataFrame, sheets: DataFrame | None, raw_cap: int = MAX_RAW_CANDIDATES, keep_all_pages: bool = False
+    pages: DataFrame, sheets: DataFrame | None, raw_cap: int | None = None, keep_all_pages: bool = False,
+    max_sheets: int | None = None, **budgets,
 ) -> DataFrame:
     """Raw candidates of the document followed by those of its style sheets."""
-    cands = C.raw_candidates(pages, raw_cap, keep_all_pages)
+    cands = C.raw_candidates(pages, raw_cap, keep_all_pages, **budgets)
     if sheets is None:
         return cands
     # A second pass over the pages finds the links; only link tags reach its shuffle.
-    extra = stylesheet_candidates(C.page_elements(pages), sheets)
+    extra = stylesheet_candidates(C.page_elements(pages), sheets, max_sheets)
     base = "named_struct('scheme', '', 'authority', '', 'path', '', 'query', '')"
     # Sheet URLs are absolute already; they follow all document candidates, in sheet order.
     extra = extra.selectExpr(
@@ -74,16 +74,23 @@ def candidates_with_sheets(
 
 def extract_manifest(
     pages: DataFrame, sheets: DataFrame | None = None, robots: DataFrame | None = None,
-    blocklist: DataFrame | None = None, agent: str = "pagelens", raw_cap: int = MAX_RAW_CANDIDATES,
-    max_units: int = MAX_UNITS,
+    blocklist: DataFrame | None = None, agent: str = "pagelens", raw_cap: int | None = None,
+    max_units: int | None = None, max_sheets: int | None = None, max_data_uri: int | None = None, **budgets,
 ) -> DataFrame:
-    """The image manifest of a crawl: ``pages(page_id, url, html)`` in, one row per image out."""
+    """The image manifest of a crawl: ``pages(page_id, url, html)`` in, one row per image out.
+
+    Nothing is cut unless a limit is given: ``raw_cap``, ``max_units``, ``max_sheets``, ``max_data_uri``, ``style_budget``,
+    ``noscript_budget``. ``scan_pages`` with the same limits flags the pages they cut.
+    """
     if robots is not None or blocklist is not None:
         pages = admitted_pages(pages, robots, blocklist, agent)
-    return M.manifest(candidates_with_sheets(pages, sheets, raw_cap), max_units)
+    cands = candidates_with_sheets(pages, sheets, raw_cap, max_sheets=max_sheets, max_data_uri=max_data_uri, **budgets)
+    return M.manifest(cands, max_units, max_data_uri)
 
 
-def scan_pages(pages: DataFrame, raw_cap: int = MAX_RAW_CANDIDATES, max_units: int = MAX_UNITS, **cap) -> DataFrame:
-    """One row per page, empty ones included: image count and truncation."""
-    rows = C.raw_candidates(T.cap_pages(pages, **cap), raw_cap, keep_all_pages=True)
+def scan_pages(
+    pages: DataFrame, raw_cap: int | None = None, max_units: int | None = None, sheets: DataFrame | None = None, **cap
+) -> DataFrame:
+    """One row per page, empty ones included: images (style sheets' too, if given) and what the limits cut."""
+    rows = candidates_with_sheets(T.cap_pages(pages, **cap), sheets, raw_cap, keep_all_pages=True)
     return M.page_scan(M.admitted_candidates(rows, max_units))

@@ -62,14 +62,14 @@ add("tokens",
       CAST(sum(pos) AS BIGINT) AS pos_sum, count(*) FILTER (tok LIKE '%/>' AND tok NOT LIKE '</%') AS n_self_closing
     FROM tok0 WHERE tok NOT LIKE '<!%' GROUP BY ALL""")
 add("token_attrs",
-    lambda s, d: T.token_attributes(crawl(s, d)).filter("name IN ('src', 'href', 'alt', 'class', 'width')").groupBy("page_id", "tag", "name").agg(
+    lambda s, d: T.token_attributes(crawl(s, d)).groupBy("page_id", "tag", "name").agg(
         F.count("*").alias("n"), F.sum(F.length("value")).cast("bigint").alias("chars"), F.max("value").alias("top")),
-    PLAIN + "SELECT page_id, tag, name, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS chars, max(value) AS top FROM ("
-    + " UNION ALL ".join(
-        f"SELECT page_id, lower(regexp_extract(tok, '^<([a-zA-Z0-9]+)', 1)) AS tag, '{n}' AS name, {O.at(n, 'tok')} AS value "
-        f"FROM tok0 WHERE regexp_matches(tok, '^<[a-zA-Z]') AND NOT regexp_matches(tok, '^<(script|style|noscript|title)') AND {O.at(n, 'tok')} IS NOT NULL"
-        for n in ("src", "href", "alt", "class", "width"))
-    + ") GROUP BY ALL")
+    PLAIN + r"""SELECT page_id, tag, name, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS chars, max(value) AS top FROM (
+      SELECT page_id, tag, lower(unnest(regexp_extract_all(inner_text, '([a-zA-Z:-]+)="([^"]*)"', 1))) AS name,
+        unnest(regexp_extract_all(inner_text, '([a-zA-Z:-]+)="([^"]*)"', 2)) AS value
+      FROM (SELECT page_id, lower(regexp_extract(tok, '^<([a-zA-Z0-9]+)', 1)) AS tag,
+          regexp_extract(tok, '^<[a-zA-Z0-9]+((?:\s+[a-zA-Z:-]+="[^"]*")*)', 1) AS inner_text FROM tok0 WHERE regexp_matches(tok, '^<[a-zA-Z]')))
+    GROUP BY ALL""")
 add("x_base",
     lambda s, d: T.page_marks(crawl(s, d), keep_all_pages=True).select("page_id", "base_href").distinct(),
     ELS + "SELECT c.page_id, base_href FROM crawl c LEFT JOIN bases USING (page_id)")
@@ -95,7 +95,7 @@ for key, source in [
     collector(key, source)
 collector("x_meta_dims", "meta", "width IS NOT NULL")
 add("x_stylesheet_links",
-    lambda s, d: C.stylesheet_links(C.page_elements(crawl(s, d))).selectExpr(
+    lambda s, d: C.stylesheet_links(C.page_elements(crawl(s, d)), limit=3).selectExpr(
         "page_id", "CAST(sheet_no AS BIGINT) AS sheet_no", "sheet_url"),
     ELS + f", {LINKS_SQL} SELECT page_id, sheet_no, sheet_url FROM links WHERE sheet_no <= 3")
 add("x_noscript",

@@ -125,7 +125,8 @@ add("join_dns", lambda s, d: P.dns_verdicts(dns(s, d)),
     f"""SELECT DISTINCT host, CASE length(host) % 7 WHEN 1 THEN 'dns-private' WHEN 2 THEN 'dns-private' WHEN 3 THEN 'dns-nxdomain'
       WHEN 4 THEN 'dns-nxdomain' WHEN 5 THEN 'dns-error' WHEN 6 THEN 'dns-error' END AS reason FROM (SELECT {D.HOST} AS host FROM pages)""")
 _CATALOG = ", ".join(
-    "('{}', {}, '{}', {})".format(c, st, m.replace("'", "''"), str(r).lower()) for c, (st, m, r) in ERROR_CATALOG.items()
+    "('{}', {}, {}, {})".format(c, st, "NULL" if m is None else "'" + m.replace("'", "''") + "'", str(r).lower())
+    for c, (st, m, r) in ERROR_CATALOG.items()
 )
 add("join_error_catalog",
     lambda s, d: P.with_catalog(P.admit(audit(s, d), "raw").filter("NOT ok").selectExpr("page_id", "reason AS code")).select(

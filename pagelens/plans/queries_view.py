@@ -183,9 +183,9 @@ over("measure_plan", lambda m: VW.measure_plan(VW.measure_todo(m, measured(m), "
 
 
 def scans(s, d):
-    """Scan outcome per page with policy verdicts; caps are small so that they fire."""
+    """Scan outcome per page with policy verdicts, nothing cut."""
     pages = crawl(s, d)
-    scan = PL.scan_pages(pages, raw_cap=45, max_units=20, max_bytes=12_000).select("page_id", "n_images", "truncated")
+    scan = PL.scan_pages(pages).select("page_id", "n_images", "truncated")
     verdicts = P.robots_verdicts(P.admit(pages.select("page_id", "url")), P.robots_rules(robots(s, d), AGENT))
     rows = scan.join(verdicts.selectExpr("page_id", "robots_allowed", "reason AS error_code"), "page_id")
     rows = rows.withColumn("n_images", F.expr("CASE WHEN robots_allowed THEN n_images ELSE 0L END"))
@@ -193,17 +193,13 @@ def scans(s, d):
 
 
 add("page_status", scans,
-    f"""WITH {O.CANDIDATES}, capped AS (SELECT * FROM cands WHERE seq <= 45), {O.manifest_cte('capped', 20, with_id=False)}, {VERDICT_SQL},
-    per AS (SELECT c.page_id, strlen(html) > 12000 AS size_hit, (SELECT count(*) FROM man m WHERE m.page_id = c.page_id) AS n,
-      (SELECT count(*) FROM cands x WHERE x.page_id = c.page_id) > 45 OR (SELECT max(uno) FROM ranked r WHERE r.page_id = c.page_id) > 20 AS image_hit FROM crawl c)
-    SELECT page_id, CASE WHEN robots_allowed THEN n ELSE 0 END AS n_images,
-      CASE WHEN size_hit THEN 'size-cap' WHEN image_hit THEN 'image-cap' END AS truncated,
+    f"""WITH {O.CANDIDATES}, {O.manifest_cte(with_id=False)}, {VERDICT_SQL},
+    per AS (SELECT c.page_id, (SELECT count(*) FROM man m WHERE m.page_id = c.page_id) AS n FROM crawl c)
+    SELECT page_id, CASE WHEN robots_allowed THEN n ELSE 0 END AS n_images, CAST(NULL AS VARCHAR) AS truncated,
       CASE WHEN NOT robots_allowed THEN 'robots-blocked' WHEN n = 0 THEN 'empty' ELSE 'results' END AS status FROM per JOIN judged USING (page_id)""")
-add("page_scan", lambda s, d: PL.scan_pages(crawl(s, d), raw_cap=45, max_units=20).select("page_id", "n_images", "truncated"),
-    f"""WITH {O.CANDIDATES}, capped AS (SELECT * FROM cands WHERE seq <= 45), {O.manifest_cte('capped', 20, with_id=False)}
-    SELECT c.page_id, (SELECT count(*) FROM man m WHERE m.page_id = c.page_id) AS n_images,
-      CASE WHEN (SELECT count(*) FROM cands x WHERE x.page_id = c.page_id) > 45
-        OR (SELECT max(uno) FROM ranked r WHERE r.page_id = c.page_id) > 20 THEN 'image-cap' END AS truncated FROM crawl c""")
+add("page_scan", lambda s, d: PL.scan_pages(crawl(s, d)).select("page_id", "n_images", "truncated"),
+    f"""WITH {O.CANDIDATES}, {O.manifest_cte(with_id=False)}
+    SELECT c.page_id, (SELECT count(*) FROM man m WHERE m.page_id = c.page_id) AS n_images, CAST(NULL AS VARCHAR) AS truncated FROM crawl c""")
 add("zero_result_sites",
     lambda s, d: D.read_pages(s, d).selectExpr("page_id", f"{url_host('url')} AS host").join(
         man(s, d).groupBy("page_id").agg(F.count("*").alias("n")), "page_id", "left").groupBy("host").agg(

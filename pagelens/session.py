@@ -18,6 +18,8 @@ def get_spark(app: str = "pagelens", cores: str | None = None) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", cores)
         .config("spark.sql.adaptive.enabled", "true")
+        # A hot key's rows are split even where that costs another shuffle.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         # Parsing is CPU-bound: small partitions are worth a task of their own.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .getOrCreate()

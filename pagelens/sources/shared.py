@@ -13,10 +13,13 @@ _TEMPORARY: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where none is set (tests)."""
+    """``spark.checkpoint.dir`` of the session; a temporary folder only where all tasks run in this process."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    master = spark.sparkContext.master or ""
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _TEMPORARY:
         _TEMPORARY[app] = tempfile.mkdtemp(prefix="spark-")

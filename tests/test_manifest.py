@@ -127,8 +127,23 @@ def test_tokenizer_quotes_and_raw_text(manifests):
     assert urls(manifests["raw_text"]) == ["ok.png"]
 
 
-def test_logical_cap_counts_units(manifests):
-    assert len(manifests["many"]) == 2000
+def test_nothing_is_cut_unless_a_limit_is_given(manifests, spark):
+    assert len(manifests["many"]) == 2200
+    sheets = [(f"{BASE}s{i}.css", f"{BASE}s{i}.css", 200, f".a{{background:url(c{i}.png)}}") for i in range(4)]
+    html = "".join(f'<link rel="stylesheet" href="s{i}.css">' for i in range(4)) + "".join(f"<img src=l{i}.png>" for i in range(1100))
+    html += f'<img src="data:image/gif,{"x" * 200_000}">'
+    pages = spark.createDataFrame([(1, BASE, html)], "page_id bigint, url string, html string")
+    css = spark.createDataFrame(sheets, "sheet_url string, final_url string, status int, css string")
+    assert P.extract_manifest(pages, sheets=css).count() == 1105
+    limited = dict(raw_cap=5000, max_units=1000, max_sheets=3, max_data_uri=102_400)
+    assert P.extract_manifest(pages, sheets=css, **limited).count() == 1000
+    assert P.scan_pages(pages, raw_cap=5000, max_units=1000).first().truncated == "image-cap"
+    assert P.scan_pages(pages).first().truncated is None
+
+
+def test_logical_cap_counts_units(spark):
+    pages = spark.createDataFrame([(1, BASE, PAGES["many"])], "page_id bigint, url string, html string")
+    assert P.extract_manifest(pages, max_units=1000).count() == 2000
 
 
 def test_pages_without_images_keep_a_row(spark):

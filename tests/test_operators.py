@@ -116,9 +116,16 @@ def test_rate_limit_matches_brute_force_also_for_hot_clients(spark):
     rows = [(i, rng.choice("ab"), rng.choice(["hot"] * 4 + ["x", "y", "", None]), rng.randrange(0, 40_000)) for i in range(1500)]
     df = spark.createDataFrame(rows, "request_id bigint, kind string, client string, ts_ms bigint")
     expected = brute_rate(rows, 3, 5_000)
-    for hot_rows in (10**6, 200):
-        got = {r.request_id: (r.admitted, r.retry_after) for r in R.rate_limit(df, 3, 5_000, hot_rows).collect()}
-        assert got == expected
+    got = {r.request_id: (r.admitted, r.retry_after) for r in R.rate_limit(df, 3, 5_000).collect()}
+    assert got == expected
+    assert R.rate_limit(df.limit(0), 3, 5_000).count() == 0
+
+
+def test_rejected_requests_have_the_catalog_message_of_their_kind(spark):
+    df = spark.createDataFrame([("scan", False, 61), ("proxy", False, 60), ("scan", True, None)], "kind string, admitted boolean, retry_after bigint")
+    got = {r.kind: (r.http_status, r.retryable, r.message) for r in P.with_rate_messages(df).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {"scan": (429, False), "proxy": (429, False)}
+    assert got["scan"][2].endswith("in about 2 minutes.") and got["proxy"][2].endswith("in about 1 minute.")
 
 
 def test_session_cost_matches_brute_force(spark):
