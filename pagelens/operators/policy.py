@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..constants import ERROR_CATALOG, MAX_REDIRECTS, RATE_MESSAGES
+from ..constants import ERROR_CATALOG, MAX_REDIRECTS, MAX_REQUESTS_PER_SCAN, RATE_MESSAGES
 from ..functions import hosts as A
 from ..functions.sqltext import extract, q, rlike, settled, sub
 from ..functions.urls import split_absolute, url_host, url_origin, with_resolved
@@ -204,8 +204,8 @@ def dns_verdicts(answers: DataFrame) -> DataFrame:
 def redirect_chains(hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
     """Audit of logged fetch hops ``(req, hop, url, status, location)``.
 
-    Each hop is admitted again; the first rejected hop gives the reason. A redirect status without a
-    Location is final. More than ``max_redirects`` redirects reject the request.
+    Each hop is admitted again; the first rejected hop gives the reason, and a redirect to a Location that
+    is no URL rejects the hop it leads to as ``invalid-url``. A redirect status without a Location is final. More than ``max_redirects`` redirects reject the request.
     """
     audited = admit(hops)
     base = with_resolved(
@@ -213,8 +213,9 @@ def redirect_chains(hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> Data
         "_loc", "_base", "next_url", sort=False,
     )
     redirects = "status IN (301, 302, 303, 307, 308) AND location IS NOT NULL"
+    lost = f"CASE WHEN {redirects} AND next_url IS NULL AND hop < {max_redirects} THEN 'invalid-url' END"
     agg = base.groupBy("req").agg(
-        F.expr(f"min_by(reason, CASE WHEN reason IS NOT NULL AND hop <= {max_redirects} THEN hop END) AS rejected"),
+        F.expr(f"min_by(coalesce(reason, {lost}), CASE WHEN (reason IS NOT NULL AND hop <= {max_redirects}) OR {lost} IS NOT NULL THEN hop END) AS rejected"),
         F.expr(f"count_if({redirects}) AS redirects"),
         F.expr(f"max_by(CASE WHEN {redirects} THEN next_url ELSE url END, hop) AS final_url"),
         F.expr("count(*) AS hops"),
@@ -226,6 +227,13 @@ def redirect_chains(hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> Data
     )
 
 
+def fetch_volume(fetches: DataFrame, limit: int = MAX_REQUESTS_PER_SCAN) -> DataFrame:
+    """Requests per scan from its fetches ``(req, url)``: each fetch, two lookups per distinct host, one list read."""
+    hosts = fetches.selectExpr("req", f"{url_host('url')} AS host")
+    n = F.count("*") + 2 * F.count_distinct("host") + 1
+    return hosts.groupBy("req").agg(n.alias("n")).withColumn("over", F.col("n") > limit)
+
+
 def error_catalog(spark) -> DataFrame:
     """The fixed outcome catalog (17 rows)."""
     rows = [(code, *entry) for code, entry in ERROR_CATALOG.items()]

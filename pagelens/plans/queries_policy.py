@@ -103,6 +103,12 @@ def hops(s, d):
     return rows.selectExpr(*D.HOPS)
 
 
+def fetches(s, d):
+    """Fetches of each scan: the page's chain and its site's robots file."""
+    chain = hops(s, d)
+    return chain.select("req", "url").unionByName(chain.filter("hop = 0").selectExpr("req", f"{D.ORIGIN} || '/robots.txt' AS url"))
+
+
 HOPS_SQL = f"hops AS (SELECT {', '.join(D.HOPS)} FROM (SELECT page_id, url, unnest(range(page_id % 5 + 1)) AS hop FROM pages))"
 _BADPORT = "regexp_matches(url, '^[a-z]+://[^/]*:[0-9]+')"
 add("w_redirect_chain",
@@ -112,8 +118,9 @@ add("w_redirect_chain",
         WHEN count(*) FILTER (status = 302 AND location IS NOT NULL) > 3 THEN 'too-many-redirects' END AS reason,
       arg_max(url, hop) AS final_url FROM hops GROUP BY req""")
 add("fetch_volume",
-    lambda s, d: hops(s, d).groupBy("req").agg(F.expr("2 * count(*) + count(DISTINCT url) AS n")).selectExpr("req", "n", "n > 10 AS over"),
-    f"WITH {HOPS_SQL} SELECT req, n, n > 10 AS over FROM (SELECT req, 2 * count(*) + count(DISTINCT url) AS n FROM hops GROUP BY req)")
+    lambda s, d: P.fetch_volume(fetches(s, d), limit=8),
+    f"""WITH {HOPS_SQL}, fetched AS (SELECT req, url FROM hops UNION ALL SELECT req, {D.ORIGIN} || '/robots.txt' FROM hops WHERE hop = 0)
+    SELECT req, n, n > 8 AS over FROM (SELECT req, count(*) + 2 * count(DISTINCT {D.HOST}) + 1 AS n FROM fetched GROUP BY req)""")
 
 
 def dns(s, d):

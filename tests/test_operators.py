@@ -183,3 +183,10 @@ def test_shards_put_a_large_item_alone(spark):
     df = spark.createDataFrame(rows, "page_id bigint, doc_order bigint, id string, weight bigint")
     got = [r.shard for r in B.shards(df, 3, 10).orderBy("doc_order").collect()]
     assert got == [1, 1, 2, 3, 3, 3, 4]
+
+
+def test_redirect_to_no_url_is_rejected(spark):
+    rows = [(1, 0, "http://a.example/", 302, "http://bad host/"), (2, 0, "http://a.example/", 302, "/b"), (2, 1, "http://a.example/b", 200, None)]
+    rows += [(3, 0, "http://10.0.0.1/", 302, "http://bad host/")]
+    df = spark.createDataFrame(rows, "req bigint, hop bigint, url string, status int, location string")
+    assert {r.req: r.reason for r in P.redirect_chains(df).collect()} == {1: "invalid-url", 2: None, 3: "private-ip"}
