@@ -79,29 +79,58 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
 
-def _sketches(width: int, num: int, den: int):
+def _digests(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in _sets(batch.column("text"), width):
                 n = np.array([len(x) for x in sets], np.int64)
-                slack = n - (n * num + den - 1) // den
                 digests = [_digest(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(first, len(sets)), pa.array(n), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), _lists([x[: e + e // 2 + 4] for x, e in zip(sets, slack.tolist())])],
-                    ["doc", "n", "d1", "d2", "low"],
+                    [batch.column("doc").slice(first, len(sets)), pa.array(n), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())], ["doc", "n", "d1", "d2"]
                 )
 
     return run
 
 
+def _chosen(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Ids and sets of the documents whose ids the bitmap may hold."""
+    for batch in batches:
+        slot = np.asarray(batch.column("slot")).astype(np.int64)
+        part = pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text")], ["doc", "text"]).filter(pa.array(((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) > 0))
+        for first, sets in _sets(part.column("text"), width):
+            yield part.column("doc").slice(first, len(sets)), sets
+
+
+def _prefix(x: np.ndarray, num: int, den: int) -> np.ndarray:
+    slack = len(x) - (len(x) * num + den - 1) // den
+    return x[: slack + slack // 2 + 4]
+
+
+def _prefixes(width: int, num: int, den: int, bitmap: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, sets in _chosen(batches, width, bitmap):
+            yield pa.RecordBatch.from_arrays([doc, pa.array([len(x) for x in sets], pa.int32()), _lists([_prefix(x, num, den) for x in sets])], ["rep", "n", "low"])
+
+    return run
+
+
+def _short_prefixes(width: int, num: int, den: int, bitmap: np.ndarray):
+    """Upper halves of the hashes, which keep the order and can only agree too often, and up to where the set is known whole."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, sets in _chosen(batches, width, bitmap):
+            low = [np.unique((_prefix(x, num, den) >> 32).astype(np.int32)) for x in sets]
+            known = [2**31 - 1 if len(_prefix(x, num, den)) == len(x) else int(p[-1]) for x, p in zip(sets, low)]
+            at = np.concatenate([[0], np.cumsum([len(p) for p in low])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(low) if low else np.empty(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([doc, pa.array([len(x) for x in sets], pa.int32()), pa.array([_digest(x)[0] for x in sets], pa.int64()), lists, pa.array(known, pa.int32())], ["doc", "n", "digest", "low", "known"])
+
+    return run
+
+
 def _whole(width: int, bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = np.asarray(batch.column("slot")).astype(np.int64)
-            part = pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("text")], ["doc", "text"]).filter(pa.array(((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1) > 0))
-            for first, sets in _sets(part.column("text"), width):
-                digests = pa.array([_digest(x)[0] for x in sets], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc").slice(first, len(sets)), digests, _lists(sets)], ["doc", "digest", "shingles"])
+        for doc, sets in _chosen(batches, width, bitmap):
+            yield pa.RecordBatch.from_arrays([doc, pa.array([_digest(x)[0] for x in sets], pa.int64()), _lists(sets)], ["doc", "digest", "shingles"])
 
     return run
 
@@ -128,11 +157,20 @@ def id_slot(column: str):
     return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS)).cast("int")
 
 
-def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs that their extended prefixes don't rule out. Upper halves of hashes keep the order, and can only agree too often."""
-    upper = "array_distinct(transform(low, v -> cast(shiftright(v, 32) AS int)))"
-    low = reps.select("rep", "n", F.expr(f"{upper} AS low"), F.expr("if(size(low) = n, 2147483647, cast(shiftright(element_at(low, -1), 32) AS int)) AS known"))
-    both = pairs.join(low.selectExpr("rep AS x", "n AS nx", "low AS lx", "known AS kx"), "x").join(low.selectExpr("rep AS y", "n AS ny", "low AS ly", "known AS ky"), "y")
+def _fetched(source: DataFrame, docs: DataFrame, fetch, schema: str) -> DataFrame:
+    """Rows made from the texts of some documents, read again: once for each id and set."""
+    bitmap = id_bitmap(docs)
+    return source.withColumn("slot", id_slot("doc")).mapInArrow(fetch(bitmap), schema).repartition("doc").dropDuplicates(["doc", "digest"])
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+
+
+def _near(pairs: DataFrame, source: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Pairs that their extended prefixes don't rule out."""
+    low = _fetched(source, _ends(pairs), lambda bitmap: _short_prefixes(width, num, den, bitmap), "doc bigint, n int, digest bigint, low array<int>, known int")
+    both = pairs.join(low.selectExpr("doc AS x", "n AS nx", "low AS lx", "known AS kx"), "x").join(low.selectExpr("doc AS y", "n AS ny", "low AS ly", "known AS ky"), "y")
     need = f"cast(ceil({num} * (nx + ny) / {num + den}.0) AS bigint)"
     # Up to the smaller border both sets are known whole there, so what one holds and the other lacks can be counted.
     upto = lambda low, own, other: f"if({own} <= {other}, size({low}), size(filter({low}, v -> v <= {other})))"
@@ -143,12 +181,7 @@ def _near(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
 def _verified(near: DataFrame, source: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs whose whole sets, fetched for the documents in these pairs only, reach the threshold."""
     near = settled(near)
-    members = near.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
-    bitmap = id_bitmap(members)
-    sets = (
-        source.withColumn("slot", id_slot("doc")).mapInArrow(_whole(width, bitmap), "doc bigint, digest bigint, shingles array<bigint>")
-        .repartition("doc").dropDuplicates(["doc", "digest"])
-    )
+    sets = _fetched(source, _ends(near), lambda bitmap: _whole(width, bitmap), "doc bigint, digest bigint, shingles array<bigint>")
     a, b = sets.select(F.col("doc").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("doc").alias("y"), F.col("shingles").alias("sy"))
     whole = near.join(a, "x").join(b, "y").select("x", "y", F.expr("size(sx) AS nx"), F.expr("size(sy) AS ny"), F.expr("size(array_intersect(sx, sy)) AS same"))
     return settled(whole.filter(f"{den} * same >= {num} * (nx + ny - same)").select("x", "y").distinct())
@@ -160,12 +193,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     if 2 * num <= den:
         raise ValueError("the threshold must be over one half")
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    every = settled(source.mapInArrow(_sketches(width, num, den), "doc bigint, n bigint, d1 bigint, d2 bigint, low array<bigint>"))
-    reps = settled(
-        every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.first("low").alias("low")).filter("rep IS NOT NULL")
-    )
-
-    tokens = reps.select("rep", F.col("n").cast("int").alias("n"), F.posexplode("low").alias("pos", "token"))
+    every = settled(source.mapInArrow(_digests(width), "doc bigint, n bigint, d1 bigint, d2 bigint"))
+    reps = settled(every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep")).filter("rep IS NOT NULL"))
+    # A row that only shares the bitmap's slot with a class is one more, equal member of its own class.
+    bitmap = id_bitmap(reps.select(F.col("rep").alias("doc")))
+    prefixes = source.filter("doc IS NOT NULL").withColumn("slot", id_slot("doc")).mapInArrow(_prefixes(width, num, den, bitmap), "rep bigint, n int, low array<bigint>")
+    tokens = prefixes.select("rep", "n", F.posexplode("low").alias("pos", "token"))
     shared = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
     placed = tokens.join(shared, "token").withColumn("hot", F.col("df") > frequent)
     # Linked sets have at least ceil(t n) shingles, so their own slack is at least that of the smallest possible partner.
@@ -178,7 +211,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     placed = placed.filter("(NOT hot AND pos + 1 - hot_before <= e + 1) OR (hot AND hots >= shared_least AND pos < e + 2)").select("rep", "n", "token", "pos", "hot")
     # A frequent shingle is one row as a key by itself, and an entry of its set's list for the combinations.
     per = F.expr(f"if(hot AND n < {SINGLE_FROM}, NULL, token)")
-    lists = placed.groupBy("rep", "n").agg(F.collect_list(per).alias("single"), F.array_sort(F.collect_list(F.expr(f"if(hot AND n <= {COMBINED_UP_TO}, token, NULL)"))).alias("t"))
+    lists = placed.groupBy("rep", "n").agg(F.collect_set(per).alias("single"), F.array_sort(F.collect_set(F.expr(f"if(hot AND n <= {COMBINED_UP_TO}, token, NULL)"))).alias("t"))
     combined = F.expr("flatten(transform(t, (v, i) -> transform(slice(t, 1, i), u -> xxhash64(u, v))))")
     keys = settled(lists.select("rep", "n", F.explode(F.concat("single", combined)).alias("key")))
     keys = keys.join(keys.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key"), "key")
@@ -187,7 +220,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     centres = keys.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"), F.count("*").alias("sets"))
     fits = f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
     star = settled(keys.join(centres, "key").filter("rep <> centre").selectExpr("least(rep, centre) AS x", "greatest(rep, centre) AS y").distinct())
-    first = _verified(_near(star, reps, num, den), source, width, num, den)
+    first = _verified(_near(star, source, width, num, den), source, width, num, den)
     roots = components(first, "x", "y")
 
     # The star has compared all sets of a key of two; larger keys stay open while their sets are not connected.
@@ -199,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
         rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key AND a.rep < b.rep AND a.root <> b.root AND {fits}"))
         .selectExpr("a.rep AS x", "b.rep AS y").distinct().join(star, ["x", "y"], "left_anti")
     )
-    second = _verified(_near(pairs, reps, num, den), source, width, num, den)
+    second = _verified(_near(settled(pairs), source, width, num, den), source, width, num, den)
     # Classes that share an id are one document; so are all classes of its rows.
     final = components(first.unionByName(second), "x", "y")
     found = reps.select("n", "d1", "d2", F.col("rep").alias("node")).join(final, "node", "left").select("n", "d1", "d2", F.coalesce("root", "node").alias("component"))
