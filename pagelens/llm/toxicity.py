@@ -9,7 +9,8 @@ their ids, at most that many. Their features are made in parallel; one task runs
 text is then scored whole, and only the weights that its own features meet are looked at.
 
 Nulls and ties: null and empty text has no features, so its score is that of the intercept; null labels and labels
-without a document teach nothing; of several labels of one id the largest counts; without any label of either kind
+without a document teach nothing; of several labels of one id the largest counts, of several texts
+of one id the smallest; without any label of either kind
 scores are 1/2. Rows come back as often as they came. Other columns are ignored.
 """
 
@@ -97,7 +98,7 @@ def _train(bits: int, epochs: int):
     return run
 
 
-def weights(labelled: DataFrame, bits: int = 20, max_rows: int = 20_000, epochs: int = 4) -> np.ndarray:
+def weights(labelled: DataFrame, bits: int = 20, epochs: int = 4) -> np.ndarray:
     """Dense weights from ``(key, text, label)``; the sample is chosen before any text is read beyond it."""
     order = F.xxhash64("key", F.lit("toxicity"))
     chosen = labelled.withColumn("place", order).select("place", "label", "text")
@@ -119,7 +120,8 @@ def toxicity(
     )
     known = settled(known)  # at most max_rows pairs of numbers, so broadcasting them is safe
     texts = docs.select(F.col(doc_id).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key")
-    w = weights(texts, bits, max_rows)
+    texts = texts.groupBy("key", "label").agg(F.min("text").alias("text"))  # repeated rows of an id teach once
+    w = weights(texts, bits)
     spark = docs.sparkSession
     kept = np.flatnonzero(w[1:]) + 1
     sent = spark.sparkContext.broadcast((kept.astype(np.int32), w[kept], float(w[0])))

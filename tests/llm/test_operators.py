@@ -1,7 +1,6 @@
 """Operators against brute force on small fixtures, and their defined results on odd input."""
 
 import collections
-import hashlib
 import itertools
 import math
 import re
