@@ -138,8 +138,8 @@ def covered(spans: Column) -> Column:
     )["n"]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 13, k: int = K) -> DataFrame:
-    """Per document ``(doc_id, n_words, n_hit, items)``: words, words inside a shared window, ids of items with such windows."""
+def _judged(docs: DataFrame, benchmark: DataFrame, doc_id: str, item_id: str, text: str, window: int, k: int) -> DataFrame:
+    """Per id and text ``(doc, body, n_words, n_hit, items, copies)``; ``body`` is the hash of the text."""
     lookup = benchmark.select(F.col(item_id).alias("item"), F.col(text).alias("text"))
     marks = (
         lookup.mapInArrow(_fingerprints(window, k, [], None), f"item {lookup.schema['item'].dataType.simpleString()}, n_words bigint, hits array<{_HIT}>")
@@ -168,14 +168,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     grouped = per.groupBy("doc", "body", "n_words").agg(
         F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"), F.count(F.when(F.col("len") == 0, F.lit(1))).alias("copies")
     )
-    return grouped.select(
-        F.col("doc").alias(doc_id), "n_words", covered(F.col("spans")).alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    ).drop("copy")
+    return grouped.select("doc", "body", "n_words", covered(F.col("spans")).alias("n_hit"), "items", "copies")
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 13, k: int = K) -> DataFrame:
+    """Per document ``(doc_id, n_words, n_hit, items)``: words, words inside a shared window, ids of items with such windows."""
+    found = _judged(docs, benchmark, doc_id, item_id, text, window, k)
+    return found.select(F.col("doc").alias(doc_id), "n_words", "n_hit", "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).drop("copy")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, **names) -> DataFrame:
-    """Documents without those of which at least one word in ``share`` is inside a shared window."""
-    doc_id = names.get("doc_id", "doc_id")
-    found = contamination(docs, benchmark, **names)
-    bad = found.filter((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select(F.col(doc_id).alias("__bad")).distinct()
-    return docs.join(bad, docs[doc_id].eqNullSafe(bad["__bad"]), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, share: int = 20, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", window: int = 13, k: int = K) -> DataFrame:
+    """Documents without those of which at least one word in ``share`` is inside a shared window. Each row goes by its own
+    text alone, whatever other rows have its id or a null id too."""
+    found = _judged(docs, benchmark, doc_id, item_id, text, window, k)
+    bad = found.filter((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc").alias("__bad"), F.col("body").alias("__body"))
+    return docs.join(bad, docs[doc_id].eqNullSafe(bad["__bad"]) & (F.xxhash64(docs[text]) == bad["__body"]), "left_anti")

@@ -190,14 +190,22 @@ def page_languages(pages: DataFrame, labelled: DataFrame, **options) -> DataFram
     return identify(keyed, text_model(labelled), ["page_id"], page_text("html"), declared, F.col("host"), domain_of("host"), F.substring_index("host", ".", -1), **options)
 
 
+def _judged(docs: DataFrame, **options) -> DataFrame:
+    """Languages of documents by all that a verdict depends on: id, label and source as given, and ``body``, the hash of the text."""
+    nothing = F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("body"))
+    return identify(rows, text_model(docs), ["doc_id", "body", "lang", "source"], F.col("text"), F.col("lang"), F.col("source"), nothing, nothing, **options)
+
+
 def document_languages(docs: DataFrame, **options) -> DataFrame:
     """Languages of documents ``(doc_id, text, lang, source)``: the label is the declaration, the source the host."""
-    nothing = F.lit(None).cast("string")
-    return identify(docs.select("doc_id", "text", "lang", "source"), text_model(docs), ["doc_id"], F.col("text"), F.col("lang"), F.col("source"), nothing, nothing, **options)
+    return _judged(docs, **options).drop("body", "lang", "source")
 
 
 def in_declared_language(docs: DataFrame, sure: float = 0.99, least: int = 20) -> DataFrame:
-    """Documents without those whose text is, with that posterior and at least that many trigrams, of another language than declared."""
-    found = document_languages(docs)
-    bad = found.filter((F.col("language") != F.col("declared")) & (F.col("probability") >= sure) & (F.col("trigrams") >= least)).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """Documents without those whose text is, with that posterior and at least that many trigrams, of another language than
+    declared. Each row goes by its own verdict alone, whatever other rows have its id or a null id too."""
+    found = _judged(docs).filter((F.col("language") != F.col("declared")) & (F.col("probability") >= sure) & (F.col("trigrams") >= least))
+    bad = found.select(*(F.col(c).alias(f"__bad_{c}") for c in ("doc_id", "body", "lang", "source"))).distinct()
+    same = (F.xxhash64(docs["text"]) == bad["__bad_body"]) & docs["doc_id"].eqNullSafe(bad["__bad_doc_id"])
+    return docs.join(bad, same & docs["lang"].eqNullSafe(bad["__bad_lang"]) & docs["source"].eqNullSafe(bad["__bad_source"]), "left_anti")

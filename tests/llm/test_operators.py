@@ -161,6 +161,21 @@ def test_clean_keeps_columns_and_clean_rows(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in docs.collect()} - bad and bad
 
 
+def test_rows_go_by_their_own_verdicts(spark, docs):
+    item = " ".join(f"item{i}" for i in range(30))
+    rows = [(None, item), (None, "a clean row"), (None, None), (5, item), (5, "another clean row"), (6, item), (None, "a clean row")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    assert counted([(r.doc_id, r.text) for r in clean(df, bench).collect()]) == counted([r for r in rows if r[1] != item])
+
+    texts = {r.lang: r.text for r in docs.filter("length(text) > 800").orderBy("doc_id").collect()}
+    (own, text), (other, _) = list(texts.items())[:2]
+    rows = [(None, text, other, "s"), (None, text, own, "s"), (900_000, text, other, "s"), (900_000, text, own, "s"), (None, None, other, "s"), (900_000, "x", other, None)]
+    more = docs.select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"))
+    kept = [tuple(r) for r in in_declared_language(more).filter("doc_id IS NULL OR doc_id = 900000").collect()]
+    assert counted(kept) == counted([r for r in rows if r[1:3] != (text, other)])
+
+
 # Near duplicates
 
 
