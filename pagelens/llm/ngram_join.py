@@ -11,7 +11,8 @@ Shingles are classed by how many sets hold them in the extended prefix:
 * frequent: otherwise all shared ones are frequent, which needs a set with that many frequent shingles. Only such sets
   are indexed by combinations of two frequent shingles among their first e + 2, which hold the first two shared ones.
   Sets of about a thousand shingles and more use single frequent shingles there, since their combinations would be many;
-  both kinds are given around the border, so that sets on both sides of it still meet.
+  both kinds are given from the border up to the largest partner that the threshold allows a set below it, so that sets
+  on both sides of it still meet.
 
 Equal sets are one class from the start (equal size and 128-bit digest) and are never paired. A key's sets first meet the
 one among them that has most keys (a star); after that only sets of a key that are not connected yet are paired, so groups
@@ -38,8 +39,8 @@ from .textscan import NOT_SPACE, scan
 
 #: A shingle in more extended prefixes than this is frequent.
 FREQUENT = 16
-#: Sets of up to this size are indexed by combinations of frequent shingles; from 9/10 of the lower bound on by single ones.
-COMBINED_UP_TO, SINGLE_FROM = 1100, 900
+#: Sets from this size on are indexed by single frequent shingles, and sets of up to ``combined_up_to`` by combinations.
+SINGLE_FROM = 900
 #: Bits of the bitmap of ids whose whole sets are fetched; a crowded bitmap only lets more rows pass to the exact join.
 BITMAP_BITS = 25
 
@@ -101,6 +102,11 @@ def _chosen(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray) -
             yield part.column("doc").slice(first, len(sets)), sets
 
 
+def combined_up_to(num: int, den: int) -> int:
+    """The size of the largest set that can be linked with one of fewer than SINGLE_FROM shingles, 1100 at least."""
+    return max(1100, -(-SINGLE_FROM * den // num))
+
+
 def _prefix(x: np.ndarray, num: int, den: int) -> np.ndarray:
     slack = len(x) - (len(x) * num + den - 1) // den
     return x[: slack + slack // 2 + 4]
@@ -211,7 +217,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     placed = placed.filter("(NOT hot AND pos + 1 - hot_before <= e + 1) OR (hot AND hots >= shared_least AND pos < e + 2)").select("rep", "n", "token", "pos", "hot")
     # A frequent shingle is one row as a key by itself, and an entry of its set's list for the combinations.
     per = F.expr(f"if(hot AND n < {SINGLE_FROM}, NULL, token)")
-    lists = placed.groupBy("rep", "n").agg(F.collect_set(per).alias("single"), F.array_sort(F.collect_set(F.expr(f"if(hot AND n <= {COMBINED_UP_TO}, token, NULL)"))).alias("t"))
+    lists = placed.groupBy("rep", "n").agg(F.collect_set(per).alias("single"), F.array_sort(F.collect_set(F.expr(f"if(hot AND n <= {combined_up_to(num, den)}, token, NULL)"))).alias("t"))
     combined = F.expr("flatten(transform(t, (v, i) -> transform(slice(t, 1, i), u -> xxhash64(u, v))))")
     keys = settled(lists.select("rep", "n", F.explode(F.concat("single", combined)).alias("key")))
     keys = keys.join(keys.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key"), "key")

@@ -215,6 +215,16 @@ def test_components_against_brute_force(spark, docs, odd, none, frequent):
         assert counted(got) == counted(brute_components(df.select("doc_id", "text").collect(), width, *threshold))
 
 
+@pytest.mark.parametrize("threshold, sizes", [((8, 10), (881, 890, 899, 1101, 1110, 1123)), ((6, 10), (700, 890, 899, 1101, 1200, 1490, 1510))])
+def test_components_across_the_border_of_combinations(spark, threshold, sizes):
+    # Beginnings of one text in pairs: apart from its own pair a set has no partner, so each link hangs on one shared key.
+    pairs = [(a, b) for a, b in itertools.combinations(sizes, 2) if a < 900 and b > 1100 and a * threshold[1] >= b * threshold[0]]
+    rows = [(100 * k + i, " ".join(f"p{k}w{j}" for j in range(n + 4))) for k, p in enumerate(pairs) for i, n in enumerate(p)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(df, 5, threshold, frequent=1).collect()]
+    assert pairs and counted(got) == counted(brute_components(rows, 5, *threshold))
+
+
 def test_one_of_each_keeps_the_smallest(odd):
     kept = one_of_each(odd)
     ids = [r.doc_id for r in kept.collect()]
