@@ -8,8 +8,9 @@ every size, different values get different ones, and whoever has the key can und
 | kind | valid if | permuted, kept |
 |---|---|---|
 | card | 13 to 19 digits with a right check digit | digits after the sixth; the check digit follows |
-| iban | digits only, right check number | account digits; the check number follows |
-| phone | North American: area and exchange from 200 | area with exchange, line; country code kept |
+| iban | the length of its country, right check number | account digits, account letters; the check number follows |
+| phone | 10 digits in the North American form | area with exchange, line; a number with both from 200 stays one, any other stays another |
+| phone | + or 00 with 8 to 15 digits, or a first 0 with its area set apart | digits after country code or 0 |
 | ssn | area 1-899 but 666, group 1-99, serial 1-9999 | all parts |
 | date | a day of 1700-2099 | day number; the order of parts is kept |
 | ipv4 | four numbers up to 255 | all 32 bits |
@@ -18,6 +19,9 @@ every size, different values get different ones, and whoever has the key can und
 Dates with strokes are read month first, and day first only where that fails; a moved day-first date may look like a
 month-first one, the one case in which two values can get one pseudonym.
 
+A run of digit groups is searched for cards from each group on: first for 16 digits, then for the longest. A run counts as
+one value. Digits without +, 00, brackets or separators are not taken for a phone number.
+
 Separators stay where they were. Values that match a format but don't validate stay as they are.
 
 Nulls and ties: null text stays null with no finds; an empty text stays empty. Rows come back as often as they came, with
@@ -30,14 +34,27 @@ from pyspark.sql import DataFrame, functions as F
 
 ROUNDS = 10
 
+#: Countries by the length of their IBANs.
+_IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC",
+    33: "RU",
+}
+_OWN_LENGTH = "|".join(f"(?:{'|'.join(names.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in _IBANS.items())
+_TEN = r"(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}\b"
+#: North American form: with +1 in any spacing, without it only where its parts are set apart.
+_AMERICAN = rf"\+1[ .-]?\(?[0-9]{{3}}\)?[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}\b|(?<![0-9A-Za-z])(?:1[ .-])?{_TEN}"
+_ABROAD = r"(?:\+|(?<![0-9A-Za-z])00)[1-9](?:[ ./-]?\(?[0-9]\)?){7,14}\b"
+_TRUNK = r"(?<![0-9A-Za-z])(?:(?:\(0[0-9]{1,5}\) ?|0[1-9][0-9]{1,4}[ /-])[0-9](?:[ -]?[0-9]){4,8}|0[1-9](?:[ .-][0-9]{2}){4})\b"
+
 _PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){2,6}(?: ?[0-9]{1,3})?\b",
+    "iban": rf"\b(?:{_OWN_LENGTH}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,6}}(?: ?[0-9]{{1,3}})?)\b",
     "date": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
-    "phone": r"\+1[ .-]?\(?[2-9][0-9]{2}\)?[ .-]?[2-9][0-9]{2}[ .-]?[0-9]{4}\b",
+    "phone": f"{_AMERICAN}|{_ABROAD}|{_TRUNK}",
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
-    "card": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
+    "card": r"\b[0-9](?:[ -]?[0-9]){12,}\b",
 }
 ANY = "|".join(_PATTERNS.values())
 
@@ -85,6 +102,18 @@ def _halves(kind: str, digits: str, base: int, key: str) -> str:
     return f"array_join(transform(sequence(0, (length({digits}) - 1) div 16), g -> {let(f'substr({digits}, g * 16 + 1, 16)', 'p', one)}), '')"
 
 
+def _cards(v: str, key: str) -> str:
+    """A run of digit groups with each card in it replaced; groups keep the separator after them."""
+    digits = _digits("array_join(slice(gs, gi, gk), '')")
+    order = "sequence(least(19, size(gs) - gi + 1), 1, -1)"  # a group has a digit at least
+    fits = let(digits, "gd", f"length(gd) BETWEEN 13 AND 19 AND ({luhn_sum('gd', False)}) % 10 = 0")
+    cards = let(f"filter({order}, gk -> {fits})", "ks", f"coalesce(get(filter(ks, gk -> length({digits}) = 16), 0), get(ks, 0))")
+    one = let("array_join(slice(gs, gi, gk), '')", "x", _card("x", key))
+    step = let(cards, "gk", f"if(gk IS NULL, named_struct('s', concat(acc.s, gs[gi - 1]), 'at', gi), named_struct('s', concat(acc.s, {one}), 'at', gi + gk - 1))")
+    run = f"aggregate(sequence(1, size(gs)), named_struct('s', '', 'at', 0), (acc, gi) -> if(gi <= acc.at, acc, {step})).s"
+    return let(f"regexp_extract_all({v}, '[0-9]+[ -]?', 0)", "gs", run)
+
+
 def _card(v: str, key: str) -> str:
     payload = f"concat(left(d, 6), {_halves('card', 'substr(d, 7, length(d) - 7)', 10, key)})"
     fixed = let(payload, "y", f"concat(y, (10 - ({luhn_sum('y', True)}) % 10) % 10)")
@@ -92,10 +121,14 @@ def _card(v: str, key: str) -> str:
 
 
 def _iban(v: str, key: str) -> str:
-    country = "concat(ascii(substr(z, 1, 1)) - 55, ascii(substr(z, 2, 1)) - 55)"
-    left = lambda account, check: f"cast(concat({account}, {country}, {check}) AS decimal(38, 0)) % 97"
-    account = let(_halves("iban", "substr(z, 5)", 10, key), "y", f"concat(left(z, 2), lpad(cast(98 - {left('y', "'00'")} AS string), 2, '0'), y)")
-    valid = f"length(z) BETWEEN 12 AND 32 AND {left('substr(z, 5)', 'substr(z, 3, 2)')} = 1"
+    value = "if(ch RLIKE '[0-9]', m97 * 10 + ascii(ch) - 48, m97 * 100 + ascii(ch) - 55) % 97"
+    left = lambda account, check: f"aggregate(filter(split(concat({account}, left(z, 2), {check}), ''), ch -> ch <> ''), 0, (m97, ch) -> cast({value} AS int))"
+    # Letters are numbers of base 26 by themselves, so each place keeps its class.
+    numbers = let("regexp_replace(substr(z, 5), '[^0-9]', '')", "own", f"if(own = '', '', {_halves('iban', 'own', 10, key)})")
+    base26, letters = "'0123456789abcdefghijklmnop'", "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
+    names = let(f"translate(regexp_replace(substr(z, 5), '[^A-Z]', ''), {letters}, {base26})", "own", f"if(own = '', '', translate({_halves('iban letters', 'own', 26, key)}, {base26}, {letters}))")
+    account = let(_refilled(_refilled("substr(z, 5)", "0-9", numbers), "A-Z", names), "y", f"concat(left(z, 2), lpad(cast(98 - {left('y', chr(39) + '00' + chr(39))} AS string), 2, '0'), y)")
+    valid = f"length(z) BETWEEN 12 AND 34 AND {left('substr(z, 5)', 'substr(z, 3, 2)')} = 1"
     return let(f"replace({v}, ' ', '')", "z", f"if({valid}, {_refilled(v, 'A-Z0-9', account)}, {v})")
 
 
@@ -120,9 +153,21 @@ def _ssn(v: str, key: str) -> str:
 
 
 def _phone(v: str, key: str) -> str:
-    a = "(cast(substr(d, 2, 3) AS int) - 200) * 800 + cast(substr(d, 5, 3) AS int) - 200"
-    new = "concat('1', cast(q.a div 800 + 200 AS string), cast(q.a % 800 + 200 AS string), lpad(cast(q.b AS string), 4, '0'))"
-    return let(_digits(v), "d", _refilled(v, "0-9", let(feistel("phone", a, "cast(substr(d, 8) AS int)", "640000", "10000", key), "q", new)))
+    """North American numbers with area and exchange from 200 are permuted among themselves, the 360,000 other beginnings too."""
+    area, exchange, line = "cast(left(t, 3) AS int)", "cast(substr(t, 4, 3) AS int)", "cast(substr(t, 7) AS int)"
+    valid = f"{area} >= 200 AND {exchange} >= 200"
+    first = "concat(cast(q.a div 800 + 200 AS string), cast(q.a % 800 + 200 AS string), lpad(cast(q.b AS string), 4, '0'))"
+    usual = let(feistel("phone", f"({area} - 200) * 800 + {exchange} - 200", line, "640000", "10000", key), "q", first)
+    begin = "if(q.a < 200000, lpad(cast(q.a AS string), 6, '0'), concat(cast((q.a - 200000) div 200 + 200 AS string), lpad(cast((q.a - 200000) % 200 AS string), 3, '0')))"
+    number = f"if({area} < 200, {area} * 1000 + {exchange}, 200000 + ({area} - 200) * 200 + {exchange})"
+    other = let(feistel("phone", number, line, "360000", "10000", key), "q", f"concat({begin}, lpad(cast(q.b AS string), 4, '0'))")
+    american = f"concat(left(d, length(d) - 10), {let('right(d, 10)', 't', f'if({valid}, {usual}, {other})')})"
+    # Digits that stay: 00, the country code, or the 0 before an area.
+    code = "if(n RLIKE '^[17]', 1, if(n RLIKE '^(2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])', 2, 3))"
+    stays = f"if({v} LIKE '+%', {let('d', 'n', code)}, if(d LIKE '00%', 2 + {let('substr(d, 3)', 'n', code)}, 1))"
+    elsewhere = let(stays, "k", f"concat(left(d, k), {_halves('phone', 'substr(d, k + 1)', 10, key)})")
+    new = f"if({v} RLIKE {_literal(f'^(?:{_AMERICAN})$')}, {american}, {elsewhere})"
+    return let(_digits(v), "d", _refilled(v, "0-9", new))
 
 
 def _ipv4(v: str, key: str) -> str:
@@ -139,7 +184,7 @@ def _email(v: str, key: str) -> str:
 
 def pseudonym(v: str, key: str) -> str:
     """SQL text of the pseudonym of one matched value ``v``; the value itself where it isn't valid."""
-    rules = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "phone": _phone, "ipv4": _ipv4, "card": _card}
+    rules = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "phone": _phone, "ipv4": _ipv4, "card": _cards}
     cases = " ".join(f"WHEN {v} RLIKE {_literal(f'^(?:{_PATTERNS[kind]})$')} THEN {rule(v, key)}" for kind, rule in rules.items())
     return f"CASE {cases} ELSE {v} END"
 

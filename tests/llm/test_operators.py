@@ -435,6 +435,30 @@ def test_values_that_do_not_validate_stay(spark, odd, none):
     assert int(z[4:] + "1314" + z[2:4]) % 97 == 1 and z != "DE89370400440532013000"
 
 
+def test_values_of_other_forms_are_replaced(spark):
+    phones = [
+        "+1 (139) 555-2766", "+1 (017) 555-7713", "+1 212 155 2766", "(212) 555-1000", "212-555-1000", "1-212-555-1000", "+44 20 7946 0958", "+49 (0)30 1234567", "0049 30 1234567", "020 7946 0958", "(030) 1234567", "01 23 45 67 89",
+    ]
+    ibans = ["GB82 WEST 1234 5698 7654 32", "NL91ABNA0417164300", "FR14 2004 1010 0505 0001 3M02 606", "IT60X0542811101000000123456", "MT84MALT011000012345MTLCAST001S"]
+    df = spark.createDataFrame(list(enumerate([f"see {v}, done." for v in phones + ibans])), "doc_id bigint, text string")
+    got = [(r.text[4:-7], r.n_values) for r in pii.pseudonymized(df, "secret").orderBy("doc_id").collect()]
+    shape = lambda v: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", v))
+    assert all(n == 1 and a != b and shape(a) == shape(b) for a, (b, n) in zip(phones + ibans, got))
+    for v, _ in got[len(phones) :]:
+        z = v.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in z[4:] + z[:4])) % 97 == 1
+    assert [got[i][0][:3] for i in (0, 6, 7)] == ["+1 ", "+44", "+49"] and got[4][0][-8:] == got[5][0][-8:]
+
+    card = "4111 1111 1111 1111"
+    runs = [f"{card} 12/25", f"12 {card}", f"{card} 5500 0000 0000 0004", f"{card} {card} {card}"]
+    df = spark.createDataFrame(list(enumerate([card, *runs])), "doc_id bigint, text string")
+    own, *rest = [r.text for r in pii.pseudonymized(df, "secret").orderBy("doc_id").collect()]
+    assert own != card and rest[0] == f"{own} 12/25" and all(card not in r for r in rest) and rest[2].startswith(own) and "0000 0000 0004" not in rest[2] and rest[3] == f"{own} {own} {own}"
+    numbers = [f"+1 {a} {e} {n}" for a in ("019", "199", "200", "999") for e in ("000", "199", "200") for n in range(1000, 1030)]
+    df = spark.createDataFrame(list(enumerate(numbers)), "doc_id bigint, text string")
+    assert len({r.text for r in pii.pseudonymized(df, "k").collect()}) == len(numbers)
+
+
 def test_feistel_is_a_permutation_of_its_domain(spark):
     domain = spark.range(189 * 7).selectExpr("id", f"{pii.feistel('t', 'id div 7', 'id % 7', '189', '7', chr(39) + 'k' + chr(39))} AS q").selectExpr("q.a * 7 + q.b AS x")
     assert sorted(r.x for r in domain.collect()) == list(range(189 * 7))
