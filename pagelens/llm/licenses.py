@@ -51,6 +51,59 @@ NOTICES = [
     ),
 ]
 
+# The parts of texts that several licenses share.
+_REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_SOURCE = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BINARY = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_NAMES = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+)
+_ISC = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+)
+_PERMISSIONS = {k: t for k, t in NOTICES if k in ("ISC", "0BSD")}
+
+#: Short licenses whole, each also below its title.
+TEXTS = {
+    "MIT": ("MIT License", NOTICES[-1][1]),
+    "BSD-2-Clause": ("BSD 2-Clause License", "\n\n".join([_REDISTRIBUTION, _SOURCE, _BINARY, _DISCLAIMER])),
+    "BSD-3-Clause": ("BSD 3-Clause License", "\n\n".join([_REDISTRIBUTION, _SOURCE, _BINARY, _NAMES, _DISCLAIMER])),
+    "ISC": ("ISC License", f"{_PERMISSIONS['ISC']}\n\n{_ISC}"),
+    "0BSD": ("BSD Zero Clause License", f"{_PERMISSIONS['0BSD']}\n\n{_ISC}"),
+}
+
+#: Canonical digests and lengths of long licenses: whole, and with and without the line that ends their terms where an
+#: appendix follows. A text doesn't tell whether later versions may be used too, so the GNU ones have their plain version.
+DIGESTS = [
+    ("Apache-2.0", 8765, "195230b9c0ca05b1af1550e9e0f7351e3bfbb4795aed04af1aa3a0755501770b"),
+    ("Apache-2.0", 8793, "065bfc7c528c1c1568eab1cd59cd8384ec77e55c511c56bec6e6310571d16068"),
+    ("Apache-2.0", 9803, "a0c4d2f7d7885f5d9165e243f87b13c73ac0cb760ac463fc750a349239edcc6f"),
+    ("Artistic-1.0-Perl", 5787, "bb44dfea0e08b5df86428cd5c83bbcd4ab3485542eff65f9cc769e7db74ca598"),
+    ("BSD-3-Clause", 1361, "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
+    ("CC0-1.0", 6686, "92f195ae84ff559b03177551e6c1166f57d3cc30f5a7d806b4039e24906bd8de"),
+    ("GFDL-1.2", 19397, "8cfd7d0a38d3371a9b3ca36b20623ab4d56d1b6dfc7de4cecb7c8eb0043c3264"),
+    ("GFDL-1.3", 21814, "56d05bb25dfeb6a3f4add094b70ccc9cd89de776cb86eac3192ff118476e4c25"),
+    ("GPL-1.0", 9325, "b46d2ebfb9c2ad738177f2b3270c6cc977494c832df21f87bb99335f513bfcd0"),
+    ("GPL-1.0", 9353, "b3f4c8c3fd2c5a465250670671e45d06a9efd88261ab51de2ab179527e73f362"),
+    ("GPL-1.0", 11628, "bca402dd3c74a0f5fa60b989e86b782749f524286ee27b25864d26cb1bed0bf2"),
+    ("GPL-2.0", 14392, "c7ccd6e683ed291cd83625be15b3824eeec568ba3648cff39a3cbda0da5ee0a0"),
+    ("GPL-2.0", 14420, "e68d68cc0de6fd440c1bd8753a6e50e50a2387f17b43f75e15b677d1a2725ddd"),
+    ("GPL-2.0", 17042, "5f42b425ea4cc957d3d2f66d7328073a570c4618ef2e00c1a04929762ff8dcf7"),
+    ("GPL-3.0", 30683, "e3cbcce11225d15a6d9ec48b7e0060ed6e408b6812e9ed5745f77ad959eee0a4"),
+    ("GPL-3.0", 30711, "c9662f84191b695f6a64c6c39533b59e6d37c2fa252f6f3c4dcaab57f2d1f581"),
+    ("GPL-3.0", 33143, "939cd0e84835ef005e0af0c5f5cbda671550efdf8f7e57c2238e0cee1361d900"),
+    ("LGPL-2.0", 22149, "24c4be4721d7517c273351f85b2c20b8c1fea7f0cba7f245a3137b8387bbbbb6"),
+    ("LGPL-2.0", 22177, "1d1a06814ba23fc0fec1e3b901896c967b4de59fabb8f66af769424faa2b0b8d"),
+    ("LGPL-2.0", 23961, "376c5705077f8b8b8bf6e88c53b90eea3ad0e990d0a3400a404ecb1a645ee9f0"),
+    ("LGPL-2.1", 23201, "7abd8b5006751628ae8a8fb3183d36d677b4009fd7dfbb7b433eed090b133ac0"),
+    ("LGPL-2.1", 23229, "99a1c031e4ee69a0535512462c0e344fc887c3552c3836b712504515f060d7f7"),
+    ("LGPL-2.1", 25012, "c29dc70f4feb9651eaa5d7fa814cfb5b8a2d1fb28faea542530c02463087e98f"),
+    ("LGPL-3.0", 6990, "150d84303009e3c33d11663bc3fdfc1c544ddb01f5527f42cc9004f1d425f463"),
+    ("MPL-1.1", 22103, "621bf785efb4365289e1b07329f3e3b0e9d6ea447966177767ec50e0cee4a12c"),
+    ("MPL-2.0", 14199, "776604b2d3e2444a8551b5545ef27ac2b434cedee7287ffc7e121766e692719f"),
+]
+
 _COPYRIGHT = r"^[^a-z0-9]*(copyright\\b(?! holder| owner| notice| license| law)|\\(c\\)|©|all rights reserved)"
 
 
@@ -90,13 +143,20 @@ def known_digests(known: DataFrame) -> DataFrame:
 
 
 def notices(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(NOTICES, "license string, text string")
+    whole = [(k, t) for k, (title, text) in TEXTS.items() for t in (text, f"{title}\n\n{text}")]
+    return spark.createDataFrame(NOTICES + whole, "license string, text string")
+
+
+def built_in(spark: SparkSession) -> DataFrame:
+    """``(digest, length, license)`` of all licenses that are known without a table."""
+    long = spark.createDataFrame([(d, n, k) for k, n, d in DIGESTS], "digest string, length int, license string")
+    return known_digests(notices(spark)).unionByName(long).distinct()
 
 
 def license_scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document ``(doc_id, whole, parts, n_lines)``: licenses its entire text is, licenses of its paragraphs and lines
     (both sorted), and the number of distinct known lines."""
-    digests = known_digests(notices(docs.sparkSession) if known is None else known)
+    digests = built_in(docs.sparkSession) if known is None else known_digests(known)
     lengths = [r[0] for r in digests.select("length").distinct().collect()]  # not more than there are known texts
     source = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
     parts = with_units(source, "text").select("doc", "body", "units")

@@ -3,6 +3,7 @@
 import collections
 import itertools
 import math
+import pathlib
 import re
 import zlib
 
@@ -476,3 +477,13 @@ def test_license_scan(spark, odd, none):
     assert licenses.license_scan(odd).count() == odd.count() and licenses.license_scan(none).count() == 0
     own = spark.createDataFrame([("mine", "Größe und Maß <|endoftext|> ÀÉ"), (None, "x"), ("void", None)], "license string, text string")
     assert [r.doc_id for r in licenses.license_scan(odd, own).filter("size(whole) > 0").collect()] == [10]
+
+
+def test_whole_texts_of_common_licenses(spark):
+    at = pathlib.Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0"}
+    have = [(k, (at / f).read_text()) for f, k in files.items() if (at / f).exists()]
+    have += [("GPL-3.0", t[: t.index("How to Apply These Terms")]) for k, t in have if k == "GPL-3.0"]
+    have += [(k, f"{title}\n\nCopyright (c) 2020, X\n\n{text}") for k, (title, text) in licenses.TEXTS.items()]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(have)], "doc_id bigint, text string")
+    assert {r.doc_id: r.whole for r in licenses.license_scan(df).collect()} == {i: [k] for i, (k, _) in enumerate(have)}
