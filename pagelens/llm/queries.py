@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .decontaminate import contamination
+from .divergence import ORACLE as DIVERGENCE_SQL, source_divergence
 from .embedding_join import ORACLE as EMBEDDING_SQL, embedding_duplicates
 from .language_id import page_languages
 from .language_model import lm_scores
@@ -109,6 +110,14 @@ def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(id_remainder(10) == 0, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"), least_docs=3, ranks=200)
+
+
+ORACLE["op12_source_divergence"] = DIVERGENCE_SQL
+
+
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ORACLE["op7_decontaminate"] = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents),
