@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .decontaminate import contamination
 from .divergence import ORACLE as DIVERGENCE_SQL, source_divergence
 from .embedding_join import ORACLE as EMBEDDING_SQL, embedding_duplicates
+from .hard_negatives import ORACLE as HARD_NEGATIVES_SQL, hard_negatives
 from .language_id import page_languages
 from .language_model import lm_scores
 from .licenses import license_scan
@@ -118,6 +119,15 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op12_source_divergence"] = DIVERGENCE_SQL
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", F.expr("CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+    return hard_negatives(vectors, is_anchor=F.col("id") % 50 == 0, positives=5, negatives=3, low=(50, 100), high=(95, 100), scale=256)
+
+
+ORACLE["op13_hard_negatives"] = HARD_NEGATIVES_SQL
+
+
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 ORACLE["op7_decontaminate"] = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_ALNUM}') AS ws FROM documents),
