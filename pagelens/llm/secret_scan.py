@@ -15,7 +15,7 @@ their ends and with up to two equals signs behind them.
 
 The field is fitted by AdaGrad in one task on at most ``max_texts`` distinct texts, half with and half without a match of
 the patterns, those with the smallest hashes. Tokens of matched values are secrets, all others not. So that it learns
-looks and not only these patterns, part of the values, keywords and signs are exchanged for random ones of other formats,
+looks and not only these patterns, pieces of texts with an unmatched long run of mixed letters and digits are no examples, part of the values, keywords and signs are exchanged for random ones of other formats,
 random secrets are put into texts without any, and into others ordinary identifiers, numbers and paths.
 The weights (2^18 pairs of single precision) go to all tasks, whatever the input's size.
 
@@ -220,17 +220,33 @@ def _random_secret(rng: np.random.Generator) -> str:
 
 
 def _ordinary(rng: np.random.Generator) -> str:
+    if rng.random() < 0.1:  # a UUID
+        return "-".join("".join(rng.choice(list("abcdef" + _DIGITS), n)) for n in (8, 4, 4, 4, 12))
     if rng.random() < 0.5:
         return str(rng.choice(_IDENTIFIERS))
     return "".join(rng.choice(list(_DIGITS), rng.integers(1, 20)))
 
 
+_RUN = re.compile(rb"[A-Za-z0-9]{16,}")
+
+
+def _unsure(piece: bytes, marked: list[tuple[int, int]]) -> bool:
+    """Whether the piece has an unmarked long run of mixed letters and digits, of which nobody told what it is."""
+    for m in _RUN.finditer(piece):
+        kinds = _CLASS[np.frombuffer(m[0], np.uint8)]
+        if (np.diff(kinds.astype(int)) != 0).sum() >= 4 and (kinds == 2).any() and not any(a < m.end() and b > m.start() for a, b in marked):
+            return True
+    return False
+
+
 def examples(texts: list[bytes], seed: int = 11) -> tuple[list[bytes], list[list[tuple[int, int]]], list[int]]:
     """Pieces of texts with the byte ranges of secrets in them, and the text of each; part of them altered."""
     rng = np.random.default_rng(seed)
     pieces, spans, source = [], [], []
 
     def add(k: int, piece: bytes, marked: list[tuple[int, int]]) -> None:
+        if _unsure(piece, marked):
+            return
         pieces.append(piece)
         spans.append(marked)
         source.append(k)
