@@ -180,5 +180,4 @@ add("stream_volume",
     """SELECT epoch_ms(date_trunc('hour', ts)) AS window_ms, event_type AS kind, count(*) AS n FROM events
     WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
 add("stream_manifest", lambda s, d: S.manifest_once(s, d), MAN + f"SELECT {COLS} FROM man")
-add("stream_rate_limit", lambda s, d: S.rate_limit_once(s, d),
-    RATE_SQL.split("UNION ALL SELECT request_id, kind, client, ts_ms, true")[0])
+add("stream_rate_limit", lambda s, d: S.rate_limit_once(s, S.event_requests(s, d), 2, DAY), RATE_SQL)

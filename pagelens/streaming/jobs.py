@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import RATE_WINDOW_MS
 from ..sources import derived as D
@@ -75,74 +75,125 @@ def manifest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _VERDICT = T.StructType(
     [
-        T.StructField("kind", T.StringType()), T.StructField("client", T.StringType()),
-        T.StructField("request_id", T.LongType()), T.StructField("ts_ms", T.LongType()),
-        T.StructField("admitted", T.BooleanType()), T.StructField("retry_after", T.LongType()),
+        T.StructField("request_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("client", T.StringType()),
+        T.StructField("ts_ms", T.LongType()), T.StructField("admitted", T.BooleanType()), T.StructField("retry_after", T.LongType()),
     ]
 )
-_STATE = T.StructType([T.StructField("start", T.LongType()), T.StructField("count", T.LongType())])
+_SLOT = T.StructType([T.StructField("slot", T.LongType())])
+_PENDING = T.StructType([T.StructField("ts_ms", T.ArrayType(T.LongType())), T.StructField("ids", T.ArrayType(T.LongType()))])
+_WINDOW = T.StructType([T.StructField("start", T.LongType()), T.StructField("count", T.LongType())])
 
 
-def limiter(limit: int, window_ms: int):
-    """Stateful judge of one (kind, client): the state is one window start and its count.
+class Limiter(StatefulProcessor):
+    """Judge of one (kind, client), in event order whatever the order of arrival.
 
-    Requests of a batch arrive in Arrow pieces and are judged in time order of arrival pieces; the
-    state is two numbers however many requests a client makes.
+    Requests wait in a map by time slot; a timer at the end of each slot fires once the watermark has passed it, when no
+    earlier request can come any more, and the slot is judged in order of time and request. What outlives a slot is the
+    open window: its start and its count. Slots wait in the state store, so a client's waiting requests are as many as
+    it makes within the watermark's delay, and one slot of them is in memory.
     """
 
-    def judge(key, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start, count = state.get if state.exists else (None, 0)
-        for piece in pieces:
-            piece = piece.sort_values(["ts_ms", "request_id"])
-            admitted, wait = [], []
-            for ts in piece["ts_ms"].tolist():
-                if start is None or ts - start >= window_ms:
-                    start, count = ts, 0
-                if count < limit:
-                    count += 1
-                    admitted.append(True)
-                    wait.append(None)
-                else:
-                    admitted.append(False)
-                    wait.append(max(1, -(-(start + window_ms - ts) // 1000)))
-            yield pd.DataFrame(
-                {
-                    "kind": key[0], "client": key[1], "request_id": piece["request_id"].to_numpy(),
-                    "ts_ms": piece["ts_ms"].to_numpy(), "admitted": admitted,
-                    "retry_after": pd.array(wait, dtype="Int64"),
-                }
-            )
-        state.update((start, count))
-        # Forgotten once event time is past the window; only the watermark moves this, so a drained
-        # source stays quiet.
-        state.setTimeoutTimestamp(max(start + window_ms, state.getCurrentWatermarkMs() + 1))
-
-    def run(key, pieces, state):
-        if state.hasTimedOut:
-            state.remove()
+    def __init__(self, limit: int, window_ms: int, slot_ms: int):
+        self.limit, self.window_ms, self.slot_ms = limit, window_ms, slot_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", _SLOT, _PENDING)
+        self.window = handle.getValueState("window", _WINDOW)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for piece in rows:
+            for slot, part in piece.groupby(piece["ts_ms"] // self.slot_ms):
+                place = (int(slot),)
+                ts, ids = self.pending.getValue(place) or ([], [])
+                self.pending.updateValue(place, ([*ts, *part["ts_ms"].tolist()], [*ids, *part["request_id"].tolist()]))
+                self.handle.registerTimer((int(slot) + 1) * self.slot_ms)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # The first timer takes all slots that the watermark has passed, oldest first; later ones find them gone.
+        now = timerValues.getCurrentWatermarkInMs()
+        due = sorted(slot for (slot,) in self.pending.keys() if (slot + 1) * self.slot_ms <= now)
+        if not due:
             return
-        yield from judge(key, pieces, state)
-
-    return run
+        start, count = self.window.get() or (None, 0)
+        for slot in due:
+            ts, ids = self.pending.getValue((slot,))
+            self.pending.removeKey((slot,))
+            verdicts, start, count = self.judged(key, sorted(zip(ts, ids)), start, count)
+            yield verdicts
+        self.window.update((start, count))
+
+    def judged(self, key, requests: list[tuple[int, int]], start: int | None, count: int) -> tuple[pd.DataFrame, int | None, int]:
+        admitted, wait = [], []
+        for ts, _ in requests:
+            if start is None or ts - start >= self.window_ms:
+                start, count = ts, 0
+            admitted.append(count < self.limit)
+            wait.append(None if count < self.limit else max(1, -(-(start + self.window_ms - ts) // 1000)))
+            count += admitted[-1]
+        verdicts = pd.DataFrame(
+            {
+                "request_id": [i for _, i in requests], "kind": key[0], "client": key[1], "ts_ms": [t for t, _ in requests],
+                "admitted": admitted, "retry_after": pd.array(wait, dtype="Int64"),
+            }
+        )
+        return verdicts, start, count
+
+    def close(self) -> None:
+        pass
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def rate_limited(requests: DataFrame, limit: int, window_ms: int = RATE_WINDOW_MS) -> DataFrame:
-    """Streaming form of ``operators.rate.rate_limit``; clients are known (not null).
+def rate_limited(requests: DataFrame, limit: int, window_ms: int = RATE_WINDOW_MS, slot_ms: int = 3_600_000) -> DataFrame:
+    """Streaming form of ``operators.rate.rate_limit`` over ``(request_id, kind, client, ts_ms, ts)`` with a watermark on ts.
 
-    ``requests`` has a watermark on an event-time column.
+    Requests without a client pass uncounted, at once. Requests behind the watermark when they come are dropped.
+    Needs the RocksDB state store.
     """
-    return requests.groupBy("kind", "client").applyInPandasWithState(
-        limiter(limit, window_ms), _VERDICT, _STATE, "append", GroupStateTimeout.EventTimeTimeout
+    free = requests.filter("client IS NULL OR client = ''").selectExpr(
+        "request_id", "kind", "client", "ts_ms", "true AS admitted", "CAST(NULL AS BIGINT) AS retry_after"
     )
+    known = requests.filter("client IS NOT NULL AND client <> ''").groupBy("kind", "client")
+    judged = known.transformWithStateInPandas(Limiter(limit, window_ms, slot_ms), _VERDICT, "Append", "eventTime")
+    return judged.unionByName(free)
+
 
+def rate_limit_once(spark: SparkSession, source: DataFrame, limit: int, window_ms: int, late: str = "1 day") -> DataFrame:
+    """Judge what a stream of ``(request_id, kind, client, ts)`` holds now, all of it, and read the verdicts.
 
-def rate_limit_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    The watermark stays behind the last request, so requests would wait for later ones. Once the source is drained, a
+    closing row far in the future moves the watermark past all of them in a second run of the same query.
+    """
+    out, checkpoint = _folders(spark, "stream-rate")
+    closing = f"{out.removesuffix('/out')}/closing"
+    columns = "request_id bigint, kind string, client string, ts timestamp"
+    spark.createDataFrame([], columns).write.parquet(closing)
+    rows = source.selectExpr("CAST(request_id AS BIGINT) AS request_id", "kind", "client", "CAST(ts AS TIMESTAMP) AS ts")
+    rows = rows.unionByName(spark.readStream.schema(columns).parquet(closing)).withWatermark("ts", late)
+    # The closing row has no request and goes behind the watermark; asking for ts keeps the filter there.
+    rows = rows.filter("request_id IS NOT NULL OR ts IS NULL")
     millis = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS ts_ms"
-    rows = event_stream(spark, sf_dir).filter("user_id % 50 <> 0").selectExpr(
-        "event_id AS request_id", "event_type AS kind", "CAST(user_id AS STRING) AS client", millis,
-        "CAST(ts AS TIMESTAMP) AS ts",
-    ).withWatermark("ts", "1 day")
-    return run_to_table(rate_limited(rows, 2, 86_400_000), "stream-rate")
+    judged = rate_limited(rows.selectExpr("request_id", "kind", "client", millis, "ts"), limit, window_ms)
+
+    def run() -> None:
+        judged.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        run()
+        spark.sql("SELECT CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS STRING) AS kind, CAST(NULL AS STRING) AS client, TIMESTAMP'9000-01-01 00:00:00' AS ts").write.mode("append").parquet(closing)
+        run()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(_VERDICT).parquet(out)
+
+
+def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream as requests; the same users as in the batch query have no client."""
+    client = "CASE WHEN user_id % 50 = 0 THEN NULL ELSE CAST(user_id AS STRING) END AS client"
+    return event_stream(spark, sf_dir).selectExpr("event_id AS request_id", "event_type AS kind", client, "ts")
