@@ -70,17 +70,24 @@ ICON_RELS = ["icon", "apple-touch-icon", "apple-touch-icon-precomposed"]
 
 # SVG attribute names whose capitals are lost by HTML tokenization; from the HTML standard's
 # "adjust SVG attributes" table (fixed values).
-SVG_ATTRIBUTE_NAMES = """
-attributeName attributeType baseFrequency baseProfile calcMode clipPathUnits diffuseConstant
-edgeMode filterUnits glyphRef gradientTransform gradientUnits kernelMatrix kernelUnitLength
-keyPoints keySplines keyTimes lengthAdjust limitingConeAngle markerHeight markerUnits markerWidth
-maskContentUnits maskUnits numOctaves pathLength patternContentUnits patternTransform patternUnits
-pointsAtX pointsAtY pointsAtZ preserveAlpha preserveAspectRatio primitiveUnits refX refY
-repeatCount repeatDur requiredExtensions requiredFeatures specularConstant specularExponent
-spreadMethod startOffset stdDeviation surfaceScale systemLanguage tableValues targetX targetY
-textLength viewBox viewTarget xChannelSelector yChannelSelector zoomAndPan
-""".split()
+SVG_ATTRIBUTE_NAMES = [
+    "attributeName", "attributeType", "baseFrequency", "baseProfile", "calcMode", "clipPathUnits",
+    "diffuseConstant", "edgeMode", "filterUnits", "glyphRef", "gradientTransform", "gradientUnits", "kernelMatrix",
+    "kernelUnitLength", "keyPoints", "keySplines", "keyTimes", "lengthAdjust", "limitingConeAngle", "markerHeight",
+    "markerUnits", "markerWidth", "maskContentUnits", "maskUnits", "numOctaves", "pathLength",
+    "patternContentUnits", "patternTransform", "patternUnits", "pointsAtX", "pointsAtY", "pointsAtZ",
+    "preserveAlpha", "preserveAspectRatio", "primitiveUnits", "refX", "refY", "repeatCount", "repeatDur",
+    "requiredExtensions", "requiredFeatures", "specularConstant", "specularExponent", "spreadMethod", "startOffset",
+    "stdDeviation", "surfaceScale", "systemLanguage", "tableValues", "targetX", "targetY", "textLength", "viewBox",
+    "viewTarget", "xChannelSelector", "yChannelSelector", "zoomAndPan",
+]
 SVG_NAMESPACE = "http://www.w3.org/2000/svg"
+# Start tags that end foreign content (fixed values, HTML standard).
+FOREIGN_BREAKOUT_TAGS = [
+    "b", "big", "blockquote", "body", "br", "center", "code", "dd", "div", "dl", "dt", "em", "embed", "h1", "h2", "h3", "h4", "h5",
+    "h6", "head", "hr", "i", "img", "li", "listing", "menu", "meta", "nobr", "ol", "p", "pre", "ruby", "s", "small", "span",
+    "strong", "strike", "sub", "sup", "table", "tt", "u", "ul", "var",
+]
 HTML_VOID_TAGS = [
     "area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param",
     "source", "track", "wbr",

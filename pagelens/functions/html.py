@@ -5,11 +5,15 @@ tokenizer of the HTML standard: comments, raw-text elements (one token each, bod
 with quoted attribute values, text. All repetition is possessive, so a tag with very many
 attributes cannot exhaust the regex engine's stack, and a tag cut off by the end of the document
 swallows the remainder instead of being re-read as markup.
+
+Foreign content (drawings and formulas) has another grammar: a slash closes any element there and
+raw-text elements are ordinary ones. The document pattern takes a whole foreign span as one token,
+up to its end tag or a tag that breaks out of it; such spans are then cut by the second pattern.
 """
 
 from __future__ import annotations
 
-from ..constants import HTML_VOID_TAGS, SVG_ATTRIBUTE_NAMES, SVG_NAMESPACE
+from ..constants import FOREIGN_BREAKOUT_TAGS, HTML_VOID_TAGS, SVG_ATTRIBUTE_NAMES, SVG_NAMESPACE
 from .sqltext import extract, extract_all, in_list, lookup, q, rlike, sub
 
 WS = r" \t\n\f\r"
@@ -29,19 +33,41 @@ def _raw_element(name: str) -> str:
 
 
 OPEN_TAG = rf"<[a-zA-Z][^{WS}/>]*+{ATTRS}>"
-TOKEN = "|".join(
-    [
-        r"<!--(?:-?+>|(?s:.*?)(?:--!?+>|\z))",
-        *[_raw_element(n) for n in RAW_TAGS],
-        rf"</?+[a-zA-Z][^{WS}/>]*+{ATTRS}>",
-        r"</?+[a-zA-Z][^'\">]*+>",
-        r"</?+[a-zA-Z](?s:.*+)",
-        r"</>",
-        r"<[!?/][^>]*+>?+",
-        r"[^<]++",
-        r"<",
-    ]
-)
+_COMMENT = r"<!--(?:-?+>|(?s:.*?)(?:--!?+>|\z))"
+_TAG_OR_TEXT = [
+    rf"</?+[a-zA-Z][^{WS}/>]*+{ATTRS}>",
+    r"</?+[a-zA-Z][^'\">]*+>",
+    r"</?+[a-zA-Z](?s:.*+)",
+    r"</>",
+    r"<[!?/][^>]*+>?+",
+    r"[^<]++",
+    r"<",
+]
+# Tokens of HTML content, without foreign spans.
+_PLAIN_TOKEN = "|".join([_COMMENT, *[_raw_element(n) for n in RAW_TAGS], *_TAG_OR_TEXT])
+
+# The rest of a start tag that no slash closes; a slash in an unquoted value belongs to the value.
+_OPEN_REST = rf"(?=[{WS}/>])(?:[{WS}]++|/(?!>)|{ATTR})*+(?:=[{WS}]*+)?+>"
+_END_REST = rf"(?:[{WS}/][^>]*+)?+>"
+# Text-only style sheets, titles and scripts of a drawing stay one token, as in HTML.
+_TEXT_ELEMENTS = [rf"<(?i:{n}){_OPEN_REST}[^<]*+</(?i:{n}){_END_REST}" for n in RAW_TAGS]
+# HTML inside a drawing.
+_EMBEDDED_HTML = rf"<(?i:foreignobject){_OPEN_REST}(?:(?!</(?i:foreignobject|svg)[{WS}/>])(?:{_PLAIN_TOKEN}))*+"
+FOREIGN_TOKEN = "|".join([_COMMENT, r"<!\[CDATA\[(?s:.*?)(?:\]\]>|\z)", _EMBEDDED_HTML, *_TEXT_ELEMENTS, *_TAG_OR_TEXT])
+_BREAKOUT = rf"<(?i:{'|'.join(FOREIGN_BREAKOUT_TAGS)})[{WS}/>]|</(?i:p|br)[{WS}/>]"
+#: How deep drawings in drawings are told from HTML by their raw-text elements.
+FOREIGN_DEPTH = 3
+
+
+def _foreign_span(name: str, depth: int) -> str:
+    """A foreign element with its content, spans of the same kind in it included."""
+    nested = f"{_foreign_span(name, depth - 1)}|" if depth > 1 else ""
+    content = rf"(?:(?!</(?i:{name})[{WS}/>]|{_BREAKOUT})(?:{nested}{FOREIGN_TOKEN}))*+"
+    return rf"<(?i:{name}){_OPEN_REST}{content}(?:</(?i:{name}){_END_REST})?+"
+
+
+FOREIGN_TAGS = ["svg", "math"]
+TOKEN = "|".join([*[_foreign_span(n, FOREIGN_DEPTH) for n in FOREIGN_TAGS], _PLAIN_TOKEN])
 RAW_TOKEN = rf"^<(?i:{'|'.join(RAW_TAGS)})[{WS}/>]"
 
 
@@ -51,8 +77,17 @@ def starts_tag(tok: str, *names: str) -> str:
 
 
 def tokenize(html: str) -> str:
-    """ARRAY<STRING> of tokens in document order."""
-    return extract_all(html, TOKEN)
+    """ARRAY<STRING> of tokens in document order, foreign spans cut by their own grammar."""
+    embedded = f"CASE WHEN {starts_tag('f_', 'foreignobject')} THEN {extract_all('f_', _PLAIN_TOKEN)} ELSE array(f_) END"
+    cut = f"flatten(transform({extract_all('t_', FOREIGN_TOKEN)}, f_ -> {embedded}))"
+    foreign = starts_tag("t_", *FOREIGN_TAGS)
+    spread = f"flatten(transform(w_, t_ -> CASE WHEN {foreign} THEN {cut} ELSE array(t_) END))"
+    return f"transform(array({extract_all(html, TOKEN)}), w_ -> CASE WHEN exists(w_, t_ -> {foreign}) THEN {spread} ELSE w_ END)[0]"
+
+
+def is_raw(tok: str) -> str:
+    """Does the token carry a raw-text body? In foreign content start tags of these names don't."""
+    return f"({rlike(tok, RAW_TOKEN)} AND NOT {rlike(tok, '^' + OPEN_TAG + chr(92) + 'z')})"
 
 
 def drop_cut_tag(toks: str) -> str:
@@ -135,7 +170,7 @@ def _svg_piece(tok: str, is_root: str) -> str:
     end = f"concat('</', {tag_name(tok)}, '>')"
     return (
         f"CASE WHEN left({tok}, 1) <> '<' THEN {_escape_text(tok)} WHEN {tok} = '<' THEN '&lt;' "
-        f"WHEN {rlike(tok, RAW_TOKEN)} THEN concat({start}, {_escape_text(raw_body(tok))}, {end}) "
+        f"WHEN {is_raw(tok)} THEN concat({start}, {_escape_text(raw_body(tok))}, {end}) "
         f"WHEN {rlike(tok, '^<[a-zA-Z]')} THEN {start} WHEN {rlike(tok, '^</[a-zA-Z]')} THEN {end} ELSE '' END"
     )
 

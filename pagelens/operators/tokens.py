@@ -51,7 +51,7 @@ def page_tokens(pages: DataFrame, relevant_only: bool = False) -> DataFrame:
     if relevant_only:
         rows = rows.filter(rlike("tok", _RELEVANT))
     kind = (
-        f"CASE WHEN {rlike('tok', H.RAW_TOKEN)} THEN 'raw' WHEN {rlike('tok', '^<[a-zA-Z]')} THEN 'start' "
+        f"CASE WHEN {H.is_raw('tok')} THEN 'raw' WHEN {rlike('tok', '^<[a-zA-Z]')} THEN 'start' "
         f"WHEN {rlike('tok', '^</[a-zA-Z]')} THEN 'end' ELSE 'text' END"
     )
     rows = rows.selectExpr("page_id", "pos", f"{kind} AS kind", f"{H.tag_name('tok')} AS tag", "tok")

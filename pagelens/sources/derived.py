@@ -32,9 +32,11 @@ BODY = (
     '<img src="javascript:alert(1)"><img src="data:image/gif;base64,R0lGODlhAwACAIABACBAYP///yw=">'
     '<img src="/left/tile-{m}.jpg"><img src="/right/tile-{m}.jpg">'
 )
-# Only on every third page: an inline drawing and a lazily loaded responsive set.
+# Only on every third page: inline drawings, with empty elements that are raw text in HTML, and a lazily loaded responsive set.
 THIRD = (
     '<svg viewbox="0 0 {m} 9"><g><circle r="2"/></g><text>a&b</text></svg>'
+    '<svg><title/><path d="M{m} 0"/></svg><img src="/after/title-{m}.png">'
+    '<svg><style/><g><script/></g></svg><img src="/after/style-{p}.png">'
     '<img data-srcset="/z/{m}-s.jpg 320w, /z/{m}-l.jpg 640w" width="640" height="480">'
 )
 # Only on every fourth page: a product grid.

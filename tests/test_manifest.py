@@ -1,5 +1,7 @@
 """Golden pages: markup in, manifest out. All pages run through one job."""
 
+from urllib.parse import unquote
+
 import pytest
 
 from pagelens.operators import candidates as C, manifest as M
@@ -25,6 +27,14 @@ PAGES = {
     '"author":{"image":"c.png"}}</script><script type="application/ld+json">{bad</script>',
     "svg": '<svg viewbox="1 2 30 40" role="img"><rect width="7"/><defs><stop offset="1"></stop></defs><desc>x<y</desc></svg>',
     "nested_svg": '<svg><svg></svg></svg><svg/>',
+    "svg_title": '<svg><title/><path/></svg><img src=a.png>',
+    "svg_style": '<svg><STYLE/><path/></svg><img src=a.png><style>b{background:url(s.png)}</style>',
+    "svg_script": '<svg><g><script href=x /></g><svg><title/><a href=b/></a></svg></svg><img src=a.png><title/><img src=never.png></title><img src=b.png>',
+    "svg_text_styles": '<svg><style>i{fill:url(in.png)}</style><title>a&b</title></svg><img src=a.png>',
+    "svg_markup_in_title": '<svg><title><b2>x</title><path/></svg><img src=a.png>',
+    "svg_left": '<svg><path><style/><p><img src=a.png><title><img src=never.png></title><img src=b.png>',
+    "svg_html_inside": '<svg><foreignObject><p><style>a<b></style><img src=a.png></p></foreignObject><title/></svg><img src=b.png>',
+    "svg_cdata": '<svg><![CDATA[ <img src=never.png> ]]><path/></svg><math><title/></math><img src=a.png>',
     "noscript": '<img src="x.png"><noscript><img src="x.png"><img src="n.png" srcset="n2.png 2x"></noscript>'
     '<noscript> </noscript><noscript><base href="/zzz/"><img src="m.png" srcset="m2.png 2x"></noscript>',
     "css": "<style>a{background:url( 's.png' )}</style><p style=\"background:image-set('d.png' 1x)\">"
@@ -178,3 +188,23 @@ def test_one_shuffle_and_one_scan(spark):
     plan = P.extract_manifest(pages)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert plan.count("ArrowEvalPython") == 2
+
+
+def test_foreign_content_has_its_own_grammar(manifests):
+    def images(name):
+        return [u for u in urls(manifests[name]) if not u.startswith("data:")]
+
+    def drawings(name):
+        return [unquote(u.removeprefix("data:image/svg+xml,")) for u in urls(manifests[name]) if u.startswith("data:")]
+
+    xmlns = 'xmlns="http://www.w3.org/2000/svg"'
+    assert images("svg_title") == ["a.png"] and drawings("svg_title") == [f"<svg {xmlns}><title/><path/></svg>"]
+    assert images("svg_style") == ["a.png", "s.png"] and drawings("svg_style") == [f"<svg {xmlns}><style/><path/></svg>"]
+    assert images("svg_script") == ["a.png", "b.png"]
+    assert drawings("svg_script") == [f'<svg {xmlns}><g><script href="x"/></g><svg><title/><a href="b/"></a></svg></svg>']
+    assert images("svg_text_styles") == ["in.png", "a.png"]
+    assert drawings("svg_text_styles") == [f"<svg {xmlns}><style>i{{fill:url(in.png)}}</style><title>a&amp;b</title></svg>"]
+    assert images("svg_markup_in_title") == ["a.png"] and drawings("svg_markup_in_title") == [f"<svg {xmlns}><title><b2>x</title><path/></svg>"]
+    assert images("svg_left") == ["a.png", "b.png"]
+    assert images("svg_html_inside") == ["a.png", "b.png"]
+    assert images("svg_cdata") == ["a.png"]
