@@ -97,10 +97,3 @@ def reserved_v6(groups: str) -> str:
 def internal_name(host: str) -> str:
     suffixes = " OR ".join(f"endswith({host}, {q(s)})" for s in INTERNAL_SUFFIXES)
     return f"({in_list(host, INTERNAL_HOSTNAMES)} OR {suffixes})"
-
-
-def verdict_columns(url: str) -> list[str]:
-    """Staged projections (each a list of column texts) are built by ``operators.policy.admit``."""
-    scheme = f"lower({extract(url, r'^\s*([a-zA-Z][a-zA-Z0-9+.\-]*):')})"
-    authority = f"lower({extract(url, r'^\s*[a-zA-Z][a-zA-Z0-9+.\-]*:[/\\\\]*([^/\\\\?#]*)')})"
-    return [f"{scheme} AS _scheme", f"{sub(authority, '^.*@', '')} AS _hostport"]

@@ -2,18 +2,25 @@
 
 Covers what web pages use: scheme-relative, path-absolute, query and relative references, dot
 segments, backslashes, default ports, percent-encoding of unsafe path characters and the
-form-urlencoded re-serialization of sorted query parameters. Internationalized host names are only
-lower-cased here.
+form-urlencoded re-serialization of sorted query parameters, and canonical hosts: percent-decoded,
+mapped to ASCII (full-width and other compatibility forms, internationalized names) and, where the
+last label is a number, written as a dotted IPv4 address. Names are mapped by the JVM's IDNA 2003
+tables, in which four letters (sharp s, final sigma, two joiners) have plain forms.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from .hosts import ipv4_literal
 from .sqltext import extract, q, rlike, settled, sub
 
 _SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.\-]*):"
-_HOST_OK = r"^(?:\[[0-9a-fA-F:.]+\]|[^\x00-\x20#/:<>?@\[\\\]^|%\x7f]+)(?::[0-9]*)?$"
+HOST_OK = r"^(?:\[[0-9a-f:.]+\]|[^\x00-\x20#/:<>?@\[\\\]^|%\x7f]+)$"
+#: A host and a port, of any characters.
+HOST_PORT = r"^(?:\[[^\]]*\]|[^:]*)(?::[0-9]*)?$"
+#: The last label is a number, so the host must be an IPv4 address.
+NUMERIC_HOST = r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$"
 _JS_SPACE = r"[\s\x0B\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
@@ -24,17 +31,26 @@ def js_trim(s: str) -> str:
     return f"CASE WHEN {ends} THEN {trimmed} ELSE {s} END"
 
 
-def _clean(raw: str) -> str:
+def cleaned(raw: str) -> str:
+    """Without white space and controls at the ends, and without tabs and line ends anywhere, as URL parsers read it."""
     s = sub(raw, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
     dirty = rlike(raw, r"[\x00-\x20]")
     return f"CASE WHEN {dirty} THEN {sub(s, r'[\t\n\r]', '')} ELSE {raw} END"
 
 
+def canonical_host(raw: str) -> str:
+    """Host in ASCII and lower case, NULL where it has no such form; only hosts with other characters are mapped."""
+    mapped = "lower(try_reflect('java.net.IDN', 'toASCII', d_))"
+    decoded = decode_component("r_")
+    form = f"transform(array({decoded}), d_ -> CASE WHEN octet_length(d_) > length(d_) THEN {mapped} ELSE lower(d_) END)[0]"
+    return f"transform(array({raw}), r_ -> CASE WHEN contains(r_, '%') OR octet_length(r_) > length(r_) THEN {form} ELSE lower(r_) END)[0]"
+
+
 def _authority(text: str, scheme: str) -> str:
     """Canonical ``[userinfo@]host[:port]``, NULL when it is not valid."""
     user = extract(text, r"^(.*@)?")
     hostport = extract(text, r"^(?:.*@)?([^@]*)$")
-    host = f"lower({extract(hostport, r'^(\[[^\]]*\]|[^:]*)')})"
+    host = canonical_host(extract(hostport, r"^(\[[^\]]*\]|[^:]*)"))
     digits = f"ltrim('0', {extract(hostport, r':([0-9]+)$')})"
     # No failing TRY_CAST: it raises and catches internally, which is slow per row.
     port = f"CASE WHEN length({digits}) BETWEEN 1 AND 5 THEN CAST({digits} AS INT) END"
@@ -42,9 +58,12 @@ def _authority(text: str, scheme: str) -> str:
         f"CASE WHEN {digits} IN ('', CASE WHEN {scheme} = 'https' THEN '443' ELSE '80' END) THEN '' "
         f"ELSE concat(':', {digits}) END"
     )
-    plain = f"{rlike(text, r'^[a-z0-9.\-]+$')}"
-    valid = f"{rlike(hostport, _HOST_OK)} AND length({digits}) <= 5 AND coalesce({port}, 0) <= 65535"
-    return f"CASE WHEN {plain} THEN {text} WHEN {valid} THEN concat({user}, {host}, {suffix}) END"
+    quad = "CASE WHEN v_ IS NOT NULL THEN concat_ws('.', shiftright(v_, 24), shiftright(v_, 16) & 255, shiftright(v_, 8) & 255, v_ & 255) END"
+    number = f"transform(array({ipv4_literal('a_')}), v_ -> {quad})[0]"
+    named = f"transform(array({host}), a_ -> CASE WHEN {rlike('a_', HOST_OK)} THEN CASE WHEN {rlike('a_', NUMERIC_HOST)} THEN {number} ELSE a_ END END)[0]"
+    plain = f"{rlike(text, r'^[a-z0-9.\-]+$')} AND NOT {rlike(text, NUMERIC_HOST)}"
+    valid = f"{rlike(hostport, HOST_PORT)} AND length({digits}) <= 5 AND coalesce({port}, 0) <= 65535"
+    return f"CASE WHEN {plain} THEN {text} WHEN {valid} THEN concat({user}, {named}, {suffix}) END"
 
 
 def _dot_segments(path: str) -> str:
@@ -107,7 +126,7 @@ def split_absolute(url: str) -> str:
     scheme = f"lower({extract('s_', _SCHEME)})"
     rest = f"translate({extract('s_', r'^[a-zA-Z]+:([^?#]*)')}, {q(chr(92))}, '/')"
     parts = (
-        f"transform(array({_clean(url)}), s_ -> struct({scheme} AS scheme, {rest} AS rest, "
+        f"transform(array({cleaned(url)}), s_ -> struct({scheme} AS scheme, {rest} AS rest, "
         f"{extract('s_', r'^[^?#]*\?([^#]*)')} AS query))"
     )
     path = f"coalesce(nullif({extract('r_.rest', r'^/*[^/]*(/.*)$')}, ''), '/')"
@@ -130,6 +149,11 @@ def url_host(url: str) -> str:
     return f"lower({extract(url, r'^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)')})"
 
 
+def canonical_url_host(url: str) -> str:
+    """Canonical host of an absolute URL of any spelling, '' where there is none."""
+    return canonical_host(extract(f"translate({cleaned(url)}, {q(chr(92))}, '/')", r"^[a-zA-Z][a-zA-Z0-9+.\-]*:/*(?:[^/?#]*@)?(\[[^\]]*\]|[^/?#:]*)"))
+
+
 def url_origin(url: str) -> str:
     return extract(url, r"^([a-z]+://[^/?#]*)")
 
@@ -147,8 +171,8 @@ def with_resolved(df: DataFrame, raw: str, base: str, out: str, sort: bool = Tru
     """
     keep = [f"`{c}`" for c in df.columns]
     data = f"startswith({raw}, 'data:')"
-    text = f"CASE WHEN {data} THEN '' ELSE {sub(_clean(raw), r'#(?s:.*)\z', '')} END" if sort else sub(
-        _clean(raw), r"#(?s:.*)\z", ""
+    text = f"CASE WHEN {data} THEN '' ELSE {sub(cleaned(raw), r'#(?s:.*)\z', '')} END" if sort else sub(
+        cleaned(raw), r"#(?s:.*)\z", ""
     )
     s = df.selectExpr("*", f"{text} AS _s")
     s = s.selectExpr(*keep, "_s", f"lower({extract('_s', _SCHEME)}) AS _sch")

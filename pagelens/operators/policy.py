@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import sys
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
 from ..constants import ERROR_CATALOG, MAX_REDIRECTS, MAX_REQUESTS_PER_SCAN, RATE_MESSAGES
 from ..functions import hosts as A
 from ..functions.sqltext import extract, q, rlike, settled, sub
-from ..functions.urls import split_absolute, url_host, url_origin, with_resolved
+from ..functions.urls import HOST_OK, HOST_PORT, NUMERIC_HOST, canonical_host, canonical_url_host, cleaned, split_absolute, url_host, with_resolved
 from .skew import join_dimension
 
 
@@ -19,20 +15,24 @@ def admit(df: DataFrame, url: str = "url") -> DataFrame:
     """Add ``ok, reason, detail`` (and ``host``): the first failing admission rule is the reason.
 
     Rules in order: parseable, http(s), port 80/443, no reserved address literal in any spelling,
-    no internal host name. Everything is a projection; no shuffle.
+    no internal host name. Hosts are judged in their canonical form, which is what browsers connect to.
+    An input column ``host`` is replaced. Everything is a projection; no shuffle.
     """
-    keep = [f"`{c}`" for c in df.columns]
-    s = df.selectExpr(*keep, *A.verdict_columns(url))
+    keep = [f"`{c}`" for c in df.columns if c != "host"]
+    s = df.selectExpr(*keep, f"translate({cleaned(f'`{url}`')}, {q(chr(92))}, '/') AS _url")
+    scheme = f"lower({extract('_url', r'^([a-zA-Z][a-zA-Z0-9+.\-]*):')})"
+    authority = extract("_url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*:/*([^/?#]*)")
+    s = s.selectExpr(*keep, f"{scheme} AS _scheme", f"{sub(authority, '^.*@', '')} AS _hostport")
     port = f"CASE WHEN {rlike('_hostport', ':[0-9]{1,9}$')} THEN CAST({extract('_hostport', ':([0-9]+)$')} AS INT) END"
-    host = sub(extract("_hostport", r"^(\[[^\]]*\]|[^:]*)"), r"\.$", "")
+    host = sub(canonical_host(extract("_hostport", r"^(\[[^\]]*\]|[^:]*)")), r"\.$", "")
     s = s.selectExpr("*", f"{host} AS host", f"{port} AS _port")
     s = s.selectExpr(
         "*",
         f"{A.ipv4_literal('host')} AS _v4",
         f"CASE WHEN {rlike('host', r'^\[.*\]$')} THEN {A.ipv6_groups(sub('host', r'^\[|\]$', ''))} END AS _v6",
-        f"{rlike('_hostport', r'^(?:\[[0-9a-f:.]+\]|[^\x00-\x20#/:<>?@\[\\\]^|%\x7f]+)(?::[0-9]*)?$')} AS _shape",
+        f"coalesce({rlike('_hostport', HOST_PORT)} AND {rlike('host', HOST_OK)}, false) AS _shape",
         # A host whose last label is a number must be an IPv4 address.
-        f"{rlike('host', r'(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)$')} AS _numeric",
+        f"{rlike('host', NUMERIC_HOST)} AS _numeric",
     )
     v4, v6 = A.reserved_v4("_v4"), A.reserved_v6("_v6")
     default = "CASE WHEN _scheme = 'https' THEN 443 ELSE 80 END"
@@ -133,30 +133,12 @@ def robots_verdicts(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.selectExpr(*keep, "origin", f"coalesce({best}.allow, true) AS robots_allowed")
 
 
-def _to_ascii(host: str) -> str | None:
-    try:
-        return host.encode("idna").decode("ascii").lower()
-    except UnicodeError:
-        return None
-
-
-@F.pandas_udf(T.StringType())
-def idna_host(hosts: pd.Series) -> pd.Series:
-    """ASCII form of internationalized host names; plain ones are passed as NULL and cost nothing."""
-    return hosts.map(lambda h: None if h is None else _to_ascii(h))
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def blocklist_entries(lines: DataFrame) -> DataFrame:
     """``entry`` hosts from an operator list: comments, schemes, paths, ports and dots forgiven."""
     raw = lines.selectExpr(f"lower({sub('line', r'^\s+|\s+$', '')}) AS raw").filter("raw <> '' AND left(raw, 1) <> '#'")
     bare = sub(f"split({sub('raw', r'^[a-z][a-z0-9+.\-]*://', '')}, '/')[0]", r"\.$", "")
     hosts = raw.selectExpr(f"{sub(sub(bare, '^.*@', ''), r':[0-9]*$', '')} AS host")
-    hosts = hosts.withColumn("ascii_host", idna_host(F.expr("CASE WHEN octet_length(host) > length(host) THEN host END")))
-    hosts = hosts.selectExpr("CASE WHEN octet_length(host) > length(host) THEN ascii_host ELSE host END AS entry")
-    return hosts.filter(rlike("entry", r"^(?:\[[0-9a-f:.]+\]|[^\x00-\x20#/:<>?@\[\\\]^|%\x7f]+)$")).distinct()
+    return hosts.selectExpr(f"{canonical_host('host')} AS entry").filter(rlike("entry", HOST_OK)).distinct()
 
 
 def blocked_hosts(hosts: DataFrame, entries: DataFrame) -> DataFrame:
@@ -168,11 +150,11 @@ def blocked_hosts(hosts: DataFrame, entries: DataFrame) -> DataFrame:
 
 
 def without_blocked(pages: DataFrame, entries: DataFrame) -> DataFrame:
-    """Pages whose host is not blocked."""
-    rows = pages.selectExpr("*", f"{url_host('url')} AS host")
-    blocked = blocked_hosts(rows, entries)
-    marked = join_dimension(rows, blocked.selectExpr("host", "true AS _hit"), ["host"])
-    return marked.filter("_hit IS NULL").drop("_hit", "host")
+    """Pages whose host, in canonical form, is not blocked."""
+    rows = pages.selectExpr("*", f"{sub(canonical_url_host('url'), r'\.$', '')} AS __host")
+    blocked = blocked_hosts(rows.select(F.col("__host").alias("host")), entries)
+    marked = join_dimension(rows, blocked.selectExpr("host AS __host", "true AS __hit"), ["__host"])
+    return marked.filter("__hit IS NULL").select(*(F.col(f"`{c}`") for c in pages.columns))
 
 
 def dns_verdicts(answers: DataFrame) -> DataFrame:

@@ -161,6 +161,12 @@ def sort_params(url: str) -> str:
     )
 
 
+def encoded(url: str) -> str:
+    """Non-ASCII characters percent-encoded."""
+    chars = f"list_transform(string_split({url}, ''), lambda c: CASE WHEN strlen(c) > 1 THEN url_encode(c) ELSE c END)"
+    return f"CASE WHEN strlen({url}) > length({url}) THEN array_to_string({chars}, '') ELSE {url} END"
+
+
 _SUFFIX = "lower(regexp_extract(regexp_replace({u}, '[?].*$', ''), '\\.([a-zA-Z0-9]+)$', 1))"
 _EXT = (
     "coalesce(CASE WHEN {u} LIKE 'data:%' THEN "

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import values as V
+from ..functions import html as H, values as V
 from ..functions.sqltext import rlike
 from ..functions.urls import split_absolute, url_host, with_resolved
 from ..operators import candidates as C, manifest as M, tokens as T
@@ -190,20 +190,18 @@ HREFS = f"""hrefs AS (SELECT page_id, {O.at('href')} AS raw FROM els WHERE tag I
 
 
 def links(s, d):
-    pages = crawl(s, d)
-    attrs = T.token_attributes(pages).filter("tag IN ('a', 'link', 'base') AND name = 'href' AND value <> ''")
-    urls = pages.selectExpr("page_id", f"{split_absolute('url')} AS base", "url AS page_url")
-    refs = attrs.selectExpr("page_id", "value AS raw").unionByName(urls.selectExpr("page_id", "page_url AS raw"))
-    return with_resolved(refs.join(urls, "page_id"), "raw", "base", "u")
+    """Each page's own URL and all references of its links, resolved; one scan."""
+    hrefs = f"transform(filter(toks, t_ -> {H.starts_tag('t_', 'a', 'link', 'base')}), t_ -> {H.attr(H.attributes('t_', ['href']), 'href')})"
+    rows = crawl(s, d).selectExpr("url", f"{split_absolute('url')} AS base", f"{H.tokenize('html')} AS toks")
+    rows = rows.selectExpr("base", f"explode(concat(array(url), filter({hrefs}, h_ -> h_ <> ''))) AS raw")
+    return with_resolved(rows, "raw", "base", "u")
 
 
-_ASCII = "octet_length(raw) = length(raw)"
-_PCT = lambda u: f"regexp_replace({u}, '[?]page=2&ref=x', '?page=2&ref=x')"
 add("f_resolve_url",
-    lambda s, d: links(s, d).filter(_ASCII).selectExpr(f"{url_host('u')} AS host", "u").groupBy("host").agg(
+    lambda s, d: links(s, d).selectExpr(f"{url_host('u')} AS host", "u").groupBy("host").agg(
         F.count_distinct("u").alias("n_urls"), F.count("*").alias("n"), F.min("u").alias("first_url"), F.max("u").alias("last_url")),
-    ELS + f""", {HREFS}, res AS (SELECT {O.sort_params('u0')} AS u FROM (
-      SELECT {O.resolve('h.raw', 'p.url')} AS u0 FROM hrefs h JOIN pages p USING (page_id) WHERE strlen(h.raw) = length(h.raw)))
+    ELS + f""", {HREFS}, res AS (SELECT {O.encoded(O.sort_params('u0'))} AS u FROM (
+      SELECT {O.resolve('h.raw', 'p.url')} AS u0 FROM hrefs h JOIN pages p USING (page_id)))
     SELECT regexp_extract(u, '^[a-z]+://([^/?#]+)', 1) AS host, count(DISTINCT u) AS n_urls, count(*) AS n, min(u) AS first_url, max(u) AS last_url
     FROM res GROUP BY host""")
 add("f_document_base",

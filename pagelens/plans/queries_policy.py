@@ -23,8 +23,12 @@ def robots(s, d):
     return origins(s, d).selectExpr(*D.ROBOTS)
 
 
+def listed(s, d):
+    return D.read_pages(s, d).selectExpr(*D.LISTED)
+
+
 def block_lines(s, d):
-    return D.read_pages(s, d).selectExpr(f"{D.HOST} AS host").distinct().selectExpr(*D.BLOCK_LINES)
+    return listed(s, d).selectExpr(f"{D.HOST} AS host").distinct().selectExpr(*D.BLOCK_LINES)
 
 
 def audit(s, d):
@@ -60,22 +64,26 @@ add("join_robots",
     lambda s, d: P.robots_verdicts(D.read_pages(s, d), P.robots_rules(robots(s, d), AGENT)).select("page_id", "robots_allowed"),
     f"WITH {VERDICT_SQL} SELECT page_id, robots_allowed FROM judged")
 
-BLOCK_SQL = f"""lines AS (SELECT {', '.join(D.BLOCK_LINES)} FROM (SELECT DISTINCT {D.HOST} AS host FROM pages)),
-entries AS (SELECT DISTINCT regexp_replace(split_part(regexp_replace(lower(trim(line)), '^[a-z]+://', ''), '/', 1), '[.]$', '') AS entry
+# The only internationalized name, in its spellings and in ASCII.
+_NAMED = lambda host: f"regexp_replace({host}, '(?i)(bücher|b%C3%BCcher|ｂücher)(。|[.])example', 'xn--bcher-kva.example')"
+BLOCK_SQL = f"""listed AS (SELECT {', '.join(D.LISTED)} FROM pages),
+lines AS (SELECT {', '.join(D.BLOCK_LINES)} FROM (SELECT DISTINCT {D.HOST} AS host FROM listed)),
+entries AS (SELECT DISTINCT {_NAMED("regexp_replace(split_part(regexp_replace(lower(trim(line)), '^[a-z]+://', ''), '/', 1), '[.]$', '')")} AS entry
   FROM lines WHERE trim(line) <> '' AND trim(line) NOT LIKE '#%')"""
 add("scan_blocklist", lambda s, d: P.blocklist_entries(block_lines(s, d)), f"WITH {BLOCK_SQL} SELECT entry FROM entries")
 add("join_blocklist",
-    lambda s, d: P.without_blocked(D.read_pages(s, d), P.blocklist_entries(block_lines(s, d))).select("page_id", "url"),
-    f"""WITH {BLOCK_SQL} SELECT page_id, url FROM pages p WHERE NOT EXISTS (SELECT 1 FROM entries e
-      WHERE {D.HOST} = e.entry OR {D.HOST} LIKE '%.' || e.entry)""")
+    lambda s, d: P.without_blocked(listed(s, d), P.blocklist_entries(block_lines(s, d))).select("page_id", "url"),
+    f"""WITH {BLOCK_SQL} SELECT page_id, url FROM listed p WHERE NOT EXISTS (SELECT 1 FROM entries e
+      WHERE {_NAMED(D.HOST)} = e.entry OR {_NAMED(D.HOST)} LIKE '%.' || e.entry)""")
 
 _RES = " OR ".join(f"{{ip}} BETWEEN {b} AND {b + 2 ** (32 - n) - 1}" for _, b, n in RESERVED_V4)
-ADMIT_SQL = f"""audit AS (SELECT {', '.join(D.AUDIT)}, page_id % 14 AS k, {D._IP} AS ip FROM pages),
+ADMIT_SQL = f"""audit AS (SELECT {', '.join(D.AUDIT)}, page_id % 20 AS k, {D._IP} AS ip FROM pages),
 verdicts AS (SELECT page_id, raw, CASE k WHEN 1 THEN CASE WHEN {_RES.format(ip='ip')} THEN 'private-ip' END
     WHEN 2 THEN CASE WHEN {_RES.format(ip='ip')} THEN 'private-ip' END WHEN 3 THEN CASE WHEN {_RES.format(ip='ip')} THEN 'private-ip' END
     WHEN 4 THEN 'private-ip' WHEN 5 THEN CASE WHEN {_RES.format(ip='ip')} THEN 'private-ip' END WHEN 6 THEN 'bad-port'
     WHEN 7 THEN 'bad-scheme' WHEN 8 THEN 'blocked-hostname' WHEN 9 THEN 'blocked-hostname' WHEN 10 THEN 'invalid-url'
-    WHEN 11 THEN 'private-ip' WHEN 12 THEN 'private-ip' WHEN 13 THEN 'private-ip' END AS reason FROM audit)"""
+    WHEN 11 THEN 'private-ip' WHEN 12 THEN 'private-ip' WHEN 13 THEN 'private-ip' WHEN 16 THEN 'blocked-hostname'
+    ELSE CASE WHEN k >= 14 THEN 'private-ip' END END AS reason FROM audit)"""
 add("admit_urls", lambda s, d: P.admit(audit(s, d), "raw").select("page_id", "raw", "ok", "reason"),
     f"WITH {ADMIT_SQL} SELECT page_id, raw, reason IS NULL AS ok, reason FROM verdicts")
 add("admission_report",

@@ -98,11 +98,17 @@ SHEETS = [
     "CASE WHEN m = 6 THEN 500 ELSE 200 END AS status",
     "'.h{background:url(../img/h-' || m || '.jpg)} .s{background:image-set(\"s-' || m || '.webp\" 1x)}' AS css",
 ]
+# pages -> the same, some on an internationalized host in several spellings
+LISTED_URL = (
+    f"CASE page_id % 13 WHEN 4 THEN replace(url, {HOST}, 'Bücher.example') WHEN 5 THEN replace(url, {HOST}, 'www.b%C3%BCcher.example') "
+    f"WHEN 6 THEN replace(url, {HOST}, 'www.xn--bcher-kva.example') WHEN 7 THEN replace(url, {HOST}, 'ｂücher。example') ELSE url END"
+)
+LISTED = ["page_id", f"{LISTED_URL} AS url"]
 # distinct hosts -> operator list lines
 BLOCK_LINES = [
-    "CASE length(host) % 5 WHEN 0 THEN 'https://' || host || '/x' WHEN 1 THEN ' ' || upper(host) || '.' "
+    "CASE WHEN host LIKE '%ü%' THEN upper(host) ELSE CASE length(host) % 5 WHEN 0 THEN 'https://' || host || '/x' WHEN 1 THEN ' ' || upper(host) || '.' "
     "WHEN 2 THEN '# ' || host WHEN 3 THEN ' ' ELSE "
-    "CASE WHEN length(host) - length(replace(host, '.', '')) >= 3 THEN substring(host, length(split_part(host, '.', 1)) + 2, 200) ELSE '#' END END AS line"
+    "CASE WHEN length(host) - length(replace(host, '.', '')) >= 3 THEN substring(host, length(split_part(host, '.', 1)) + 2, 200) ELSE '#' END END END AS line"
 ]
 # pages -> addresses to audit
 _IP = "((page_id * 2654435761) % 4294967296)"
@@ -111,13 +117,15 @@ _QUAD = (
 )
 AUDIT = [
     "page_id",
-    f"CASE page_id % 14 WHEN 1 THEN 'http://' || {_IP} || '/a' WHEN 2 THEN 'http://0x' || hex({_IP}) || '/' "
+    f"CASE page_id % 20 WHEN 1 THEN 'http://' || {_IP} || '/a' WHEN 2 THEN 'http://0x' || hex({_IP}) || '/' "
     f"WHEN 3 THEN 'http://' || {_QUAD} || '/' WHEN 4 THEN 'http://127.' || page_id || '/' "
     f"WHEN 5 THEN 'http://[::ffff:' || {_QUAD} || ']/' WHEN 6 THEN 'http://' || {HOST} || ':8080/' "
     f"WHEN 7 THEN 'ftp://' || {HOST} || '/f' WHEN 8 THEN 'http://LOCALHOST./' "
     "WHEN 9 THEN 'http://svc' || page_id || '.internal/' WHEN 10 THEN 'not a url ' || page_id "
     "WHEN 11 THEN 'http://[fd00::' || lower(hex(page_id)) || ']/' WHEN 12 THEN 'http://0177.0.0.' || (page_id % 8) "
-    "WHEN 13 THEN 'http://10.' || (page_id % 256) || '.0.1:443/x' ELSE url END AS raw",
+    "WHEN 13 THEN 'http://10.' || (page_id % 256) || '.0.1:443/x' WHEN 14 THEN 'http://１２７。０。０。' || (page_id % 8) || '/' "
+    "WHEN 15 THEN 'http://127。0。0。1/' WHEN 16 THEN 'http://ⓛocalhost/' || page_id WHEN 17 THEN 'http://%31%32%37.0.0.1/' "
+    "WHEN 18 THEN 'http://12' || chr(9) || '7.0.0.1/' WHEN 19 THEN 'http://0x7F%2E' || page_id || '/' ELSE url END AS raw",
 ]
 # manifest -> image responses
 RESPONSES = [

@@ -190,3 +190,30 @@ def test_redirect_to_no_url_is_rejected(spark):
     rows += [(3, 0, "http://10.0.0.1/", 302, "http://bad host/")]
     df = spark.createDataFrame(rows, "req bigint, hop bigint, url string, status int, location string")
     assert {r.req: r.reason for r in P.redirect_chains(df).collect()} == {1: "invalid-url", 2: None, 3: "private-ip"}
+
+
+SPELLINGS = ["１２７.0.0.1", "127。0。0。1", "%31%32%37.0.0.1", "12\t7.0.0.1", "0x7F%2E1", "①②⑦.1"]
+
+
+def test_hosts_are_judged_as_browsers_read_them(spark):
+    cases = {f"http://{h}/x": "private-ip" for h in SPELLINGS}
+    cases |= {"http://ⓛocalhost/": "blocked-hostname", "\n http://user@LOCAL\thost:80/ ": "blocked-hostname", "http:\\\\10.0.0.1\\a": "private-ip"}
+    cases |= {"http://bücher.example/": None, "http://b%C3%BCcher.example:443/": None, "http://a%2Fb/": "invalid-url", "http://a%ff/": "invalid-url", "http://ü..x/": "invalid-url"}
+    rows = spark.createDataFrame([(u, "x", "y") for u in cases], "url string, host string, reason_ string")
+    assert {r.url: r.reason for r in P.admit(rows).collect()} == cases
+
+
+def test_internationalized_hosts_meet_the_list(spark):
+    pages = spark.createDataFrame([(u, "kept") for u in [
+        "http://bücher.example/a", "http://www.BÜCHER.example:80/", "http://b%C3%BCcher.example./", "http://xn--bcher-kva.example/", "http://buecher.example/", "http://ｂücher。example/",
+    ]], "url string, host string")
+    for line in ("bücher.example", "https://BÜCHER.example/x", "xn--bcher-kva.example."):
+        entries = P.blocklist_entries(spark.createDataFrame([(line,)], "line string"))
+        assert [tuple(r) for r in P.without_blocked(pages, entries).collect()] == [("http://buecher.example/", "kept")]
+
+
+def test_canonical_hosts_in_resolved_urls(spark):
+    cases = {"//BÜcher.example/ü?q=ü": "https://xn--bcher-kva.example/%C3%BC?q=%C3%BC", "http://0x7f.1:80/a": "http://127.0.0.1/a", "http://2130706433": "http://127.0.0.1/",
+             "http://1.2.3.4.5/": None, "http://a%20b/": None, "http://１２７.1:8080": "http://127.0.0.1:8080/", "//09/": None}
+    df = spark.createDataFrame([(k,) for k in cases], "raw string").selectExpr("raw", f"{U.split_absolute('''concat('https://s.example/p/', '')''')} AS base")
+    assert {r.raw: r.u for r in U.with_resolved(df, "raw", "base", "u").collect()} == cases
