@@ -8,16 +8,19 @@ Shingles are classed by how many sets hold them in the extended prefix:
 
 * rare: among the first e + 1 rare shingles of a set, each is an index key of its own. If any shared shingle of the
   extended prefixes is rare, the first such one is a key of both sets;
-* frequent: otherwise all shared ones are frequent, which needs a set with that many frequent shingles. Only such sets
-  are indexed by combinations of two frequent shingles among their first e + 2, which hold the first two shared ones.
-  Sets of about a thousand shingles and more use single frequent shingles there, since their combinations would be many;
-  both kinds are given from the border up to the largest partner that the threshold allows a set below it, so that sets
-  on both sides of it still meet.
+* frequent: otherwise all shared ones are frequent. Sets are banded by powers of two of their sizes, and a pair meets in
+  the band L of its smaller set, in which linked sets share at least S = S(L) shingles among the first e + S of both.
+  Frequent shingles are dealt by hash into S - 1 classes, so some class holds two shared ones: all combinations of two
+  frequent shingles of one class are keys, which are some 2.5 e for a set, and only sets with S frequent shingles have
+  them. A set has keys of its own band, and of the band below if a partner can be that small.
 
 Equal sets are one class from the start (equal size and 128-bit digest) and are never paired. A key's sets first meet the
-one among them that has most keys (a star); after that only sets of a key that are not connected yet are paired, so groups
-of near copies are not expanded into all their pairs. Candidates must agree in size and in their extended prefixes (a
-bound that is exact) before whole sets are fetched and compared. No link between different components is lost.
+one among them that shares most shingles with others (a star); of its centres each set is compared with the nearest.
+Then only sets of a key that are not connected yet are paired, so groups of near copies are not expanded into all their
+pairs. Each set has a bitmap of 1024 bits, the parities of its shingles' slots: bits that differ are at most as many as
+the shingles that differ, so pairs with too many are no links. That test stands in the join's condition, so they never
+leave it; the others are compared as whole sets, which are read again from the texts. No link between different
+components is lost.
 
 Nulls and ties: null or wordless text has an empty set and links with nothing; fewer words than the shingle length are one
 shingle. Rows with one id are one document; rows with a null id take part with the class of their set, and have a null
@@ -34,13 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .graph import components
-from .storage import settled
-from .textscan import NOT_SPACE, scan
+from .storage import Scratch
+from .textscan import NOT_SPACE, mix, scan
 
 #: A shingle in more extended prefixes than this is frequent.
 FREQUENT = 16
-#: Sets from this size on are indexed by single frequent shingles, and sets of up to ``combined_up_to`` by combinations.
-SINGLE_FROM = 900
+#: 64-bit words of a set's bitmap of parities.
+WORDS = 16
+#: Sets compared with one held set in one task, about.
+FAN = 512
 #: Bits of the bitmap of ids whose whole sets are fetched; a crowded bitmap only lets more rows pass to the exact join.
 BITMAP_BITS = 25
 
@@ -80,6 +85,11 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
 
+def _parities(x: np.ndarray) -> np.ndarray:
+    """Parity of the number of shingles in each slot, as 64-bit words."""
+    return np.packbits((np.bincount((x & (64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _digests(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,7 +97,8 @@ def _digests(width: int):
                 n = np.array([len(x) for x in sets], np.int64)
                 digests = [_digest(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc").slice(first, len(sets)), pa.array(n), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64())], ["doc", "n", "d1", "d2"]
+                    [batch.column("doc").slice(first, len(sets)), pa.array(n), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), _lists([_parities(x) for x in sets])],
+                    ["doc", "n", "d1", "d2", "bits"],
                 )
 
     return run
@@ -102,13 +113,13 @@ def _chosen(batches: Iterator[pa.RecordBatch], width: int, bitmap: np.ndarray) -
             yield part.column("doc").slice(first, len(sets)), sets
 
 
-def combined_up_to(num: int, den: int) -> int:
-    """The size of the largest set that can be linked with one of fewer than SINGLE_FROM shingles, 1100 at least."""
-    return max(1100, -(-SINGLE_FROM * den // num))
+def _slack(n, num: int, den: int):
+    """How many shingles of a set of n a linked set can lack."""
+    return n - (n * num + den - 1) // den
 
 
 def _prefix(x: np.ndarray, num: int, den: int) -> np.ndarray:
-    slack = len(x) - (len(x) * num + den - 1) // den
+    slack = _slack(len(x), num, den)
     return x[: slack + slack // 2 + 4]
 
 
@@ -120,15 +131,43 @@ def _prefixes(width: int, num: int, den: int, bitmap: np.ndarray):
     return run
 
 
-def _short_prefixes(width: int, num: int, den: int, bitmap: np.ndarray):
-    """Upper halves of the hashes, which keep the order and can only agree too often, and up to where the set is known whole."""
+def band_shared(band: int, num: int, den: int) -> int:
+    """Least number of shingles that linked sets share in their extended prefixes where the smaller has 2^band or more."""
+    n = 1 << band
+    return min(_slack(n, num, den) // 2 + 4, (n * num + den - 1) // den)
+
+
+def index_keys(n: int, pos: np.ndarray, token: np.ndarray, hot: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Index keys of a set of n shingles from the shared ones of its extended prefix, in order."""
+    e = _slack(n, num, den)
+    keys = [token[~hot & (pos + 1 - np.cumsum(hot) <= e + 1)]]
+    own = n.bit_length() - 1
+    for band in [own, own - 1] if own and (n * num + den - 1) // den < 1 << own else [own]:
+        least = band_shared(band, num, den)
+        frequent = token[hot & (pos < e + least)]
+        if least < 2 or len(frequent) < least:
+            continue
+        kind = mix(frequent.view(np.uint64) + np.uint64(band)) % np.uint64(least - 1)
+        order = np.lexsort((frequent, kind))
+        kind, frequent = kind[order], frequent[order].view(np.uint64)
+        for step in range(1, int(np.bincount(kind.astype(np.int64)).max())):
+            first = np.flatnonzero(kind[step:] == kind[:-step])
+            keys.append(mix(mix(frequent[first]) + frequent[first + step] * np.uint64(3) + np.uint64(band)).view(np.int64))
+    return np.concatenate(keys)
+
+
+def _keyed(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, sets in _chosen(batches, width, bitmap):
-            low = [np.unique((_prefix(x, num, den) >> 32).astype(np.int32)) for x in sets]
-            known = [2**31 - 1 if len(_prefix(x, num, den)) == len(x) else int(p[-1]) for x, p in zip(sets, low)]
-            at = np.concatenate([[0], np.cumsum([len(p) for p in low])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(low) if low else np.empty(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([doc, pa.array([len(x) for x in sets], pa.int32()), pa.array([_digest(x)[0] for x in sets], pa.int64()), lists, pa.array(known, pa.int32())], ["doc", "n", "digest", "low", "known"])
+        for batch in batches:
+            at, items = np.asarray(batch.column("items").offsets).astype(np.int64), batch.column("items").values
+            pos, token, hot = (items.field(f).to_numpy(zero_copy_only=False) for f in ("pos", "token", "hot"))
+            n, keys = np.asarray(batch.column("n")), []
+            for i in range(len(batch)):
+                own = slice(at[i], at[i + 1])
+                keys.append(index_keys(int(n[i]), pos[own], token[own], hot[own], num, den))
+            rows = pa.array(np.repeat(np.arange(len(batch)), [len(k) for k in keys]))
+            shared = pa.array(np.diff(at).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)) if keys else pa.array([], pa.int64()), batch.column("rep").take(rows), batch.column("n").take(rows), shared.take(rows)], ["key", "rep", "n", "w"])
 
     return run
 
@@ -136,11 +175,39 @@ def _short_prefixes(width: int, num: int, den: int, bitmap: np.ndarray):
 def _whole(width: int, bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, sets in _chosen(batches, width, bitmap):
-            yield pa.RecordBatch.from_arrays([doc, pa.array([_digest(x)[0] for x in sets], pa.int64()), _lists(sets)], ["doc", "digest", "shingles"])
+            yield pa.RecordBatch.from_arrays([doc, _lists(sets)], ["doc", "shingles"])
+
+    return run
+
+
+def _compared(num: int, den: int):
+    """Each held set, and then the sets to compare with it, which pass by."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, held = None, {}
+        for batch in batches:
+            at, values = np.asarray(batch.column("shingles").offsets).astype(np.int64), np.asarray(batch.column("shingles").values)
+            x, y = [], []
+            for i, (centre, salt, passes, doc) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("centre", "salt", "passes", "doc")))):
+                own = values[at[i] : at[i + 1]]
+                if (centre, salt) != place:
+                    place, held = (centre, salt), {}
+                if not passes:
+                    held[_digest(own)] = own.copy()
+                elif any(den * (same := _common(own, h)) >= num * (len(own) + len(h) - same) for h in held.values()):
+                    x.append(centre)
+                    y.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["x", "y"])
 
     return run
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    if not len(b):
+        return 0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
 def id_bitmap(ids: DataFrame) -> np.ndarray:
     """A bitmap of fixed size over hashes of ids, brought to the driver in pieces of 8 KiB."""
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,84 +230,77 @@ def id_slot(column: str):
     return F.pmod(F.xxhash64(column), F.lit(1 << BITMAP_BITS)).cast("int")
 
 
-def _fetched(source: DataFrame, docs: DataFrame, fetch, schema: str) -> DataFrame:
-    """Rows made from the texts of some documents, read again: once for each id and set."""
-    bitmap = id_bitmap(docs)
-    return source.withColumn("slot", id_slot("doc")).mapInArrow(fetch(bitmap), schema).repartition("doc").dropDuplicates(["doc", "digest"])
-
-
-def _ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("x", "y")).alias("doc")).distinct()
+def _verified(scratch: Scratch, name: str, near: DataFrame, source: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (x, y) whose whole sets reach the threshold; sets are read again, for the documents in these pairs only.
 
-
-def _near(pairs: DataFrame, source: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Pairs that their extended prefixes don't rule out."""
-    low = _fetched(source, _ends(pairs), lambda bitmap: _short_prefixes(width, num, den, bitmap), "doc bigint, n int, digest bigint, low array<int>, known int")
-    both = pairs.join(low.selectExpr("doc AS x", "n AS nx", "low AS lx", "known AS kx"), "x").join(low.selectExpr("doc AS y", "n AS ny", "low AS ly", "known AS ky"), "y")
-    need = f"cast(ceil({num} * (nx + ny) / {num + den}.0) AS bigint)"
-    # Up to the smaller border both sets are known whole there, so what one holds and the other lacks can be counted.
-    upto = lambda low, own, other: f"if({own} <= {other}, size({low}), size(filter({low}, v -> v <= {other})))"
-    test = f"transform(array(size(array_intersect(lx, ly))), s -> {upto('lx', 'kx', 'ky')} - s <= nx - {need} AND {upto('ly', 'ky', 'kx')} - s <= ny - {need})[0]"
-    return both.filter(test).select("x", "y").distinct()
-
-
-def _verified(near: DataFrame, source: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs whose whole sets, fetched for the documents in these pairs only, reach the threshold."""
-    near = settled(near)
-    sets = _fetched(source, _ends(near), lambda bitmap: _whole(width, bitmap), "doc bigint, digest bigint, shingles array<bigint>")
-    a, b = sets.select(F.col("doc").alias("x"), F.col("shingles").alias("sx")), sets.select(F.col("doc").alias("y"), F.col("shingles").alias("sy"))
-    whole = near.join(a, "x").join(b, "y").select("x", "y", F.expr("size(sx) AS nx"), F.expr("size(sy) AS ny"), F.expr("size(array_intersect(sx, sy)) AS same"))
-    return settled(whole.filter(f"{den} * same >= {num} * (nx + ny - same)").select("x", "y").distinct())
+    Sets travel once for each pair, to the set x that a task holds; a set x with many partners is held by several tasks.
+    """
+    degree = near.groupBy("x").agg(F.expr(f"cast(ceil(count(*) / {FAN}) AS int)").alias("salts"))
+    placed = near.join(degree, "x").select("x", "y", F.pmod(F.xxhash64("y"), "salts").cast("int").alias("salt"))
+    asked = placed.selectExpr("y AS doc", "x AS centre", "salt", "true AS passes").unionByName(placed.selectExpr("x AS doc", "x AS centre", "salt", "false AS passes").distinct())
+    asked = scratch.written(asked, f"{name}-asked")
+    bitmap = id_bitmap(asked.select("doc"))
+    sets = source.withColumn("slot", id_slot("doc")).mapInArrow(_whole(width, bitmap), "doc bigint, shingles array<bigint>")
+    placed = sets.join(asked, "doc").repartition("centre", "salt").sortWithinPartitions("centre", "salt", "passes")
+    links = scratch.written(placed.mapInArrow(_compared(num, den), "x bigint, y bigint").distinct(), f"{name}-links")
+    scratch.drop(f"{name}-asked")
+    return links
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int] = (8, 10), doc_id: str = "doc_id", text: str = "text", frequent: int = FREQUENT) -> DataFrame:
-    """Per document ``(doc_id, n_shingles, component_id)``; the threshold is a fraction, compared in whole numbers."""
+    """Per document ``(doc_id, n_shingles, component_id)``; the threshold is a fraction, compared in whole numbers.
+
+    Ids must be whole numbers or text that reads as such. Several jobs run while the result is built; tables that they
+    share are written and deleted again, the last ones stay in the checkpoint folder.
+    """
     num, den = threshold
     if 2 * num <= den:
         raise ValueError("the threshold must be over one half")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    every = settled(source.mapInArrow(_digests(width), "doc bigint, n bigint, d1 bigint, d2 bigint"))
-    reps = settled(every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep")).filter("rep IS NOT NULL"))
+    every = scratch.written(source.mapInArrow(_digests(width), "doc bigint, n bigint, d1 bigint, d2 bigint, bits array<bigint>"), "every")
+    reps = every.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep"), F.any_value("bits").alias("bits")).filter("rep IS NOT NULL")
+    reps = scratch.written(reps.select("n", "d1", "d2", "rep", *(F.col("bits")[i].alias(f"b{i}") for i in range(WORDS))), "reps")
     # A row that only shares the bitmap's slot with a class is one more, equal member of its own class.
     bitmap = id_bitmap(reps.select(F.col("rep").alias("doc")))
     prefixes = source.filter("doc IS NOT NULL").withColumn("slot", id_slot("doc")).mapInArrow(_prefixes(width, num, den, bitmap), "rep bigint, n int, low array<bigint>")
+    prefixes = scratch.written(prefixes, "prefixes")
     tokens = prefixes.select("rep", "n", F.posexplode("low").alias("pos", "token"))
-    shared = tokens.groupBy("token").agg(F.count("*").cast("int").alias("df")).filter("df > 1")
-    placed = tokens.join(shared, "token").withColumn("hot", F.col("df") > frequent)
-    # Linked sets have at least ceil(t n) shingles, so their own slack is at least that of the smallest possible partner.
-    least = f"(n * {num} + {den - 1}) div {den}"
-    slack = lambda n: f"({n} - ({n} * {num} + {den - 1}) div {den})"
-    placed = placed.select(
-        "rep", "n", "token", "pos", "hot", F.expr(f"{slack('n')} AS e"), F.expr(f"least({slack(f'({least})')} div 2 + 4, {least}) AS shared_least"),
-        F.expr("count_if(hot) OVER (PARTITION BY rep, n ORDER BY pos ROWS UNBOUNDED PRECEDING)").alias("hot_before"), F.expr("count_if(hot) OVER (PARTITION BY rep, n)").alias("hots"),
-    )
-    placed = placed.filter("(NOT hot AND pos + 1 - hot_before <= e + 1) OR (hot AND hots >= shared_least AND pos < e + 2)").select("rep", "n", "token", "pos", "hot")
-    # A frequent shingle is one row as a key by itself, and an entry of its set's list for the combinations.
-    per = F.expr(f"if(hot AND n < {SINGLE_FROM}, NULL, token)")
-    lists = placed.groupBy("rep", "n").agg(F.collect_set(per).alias("single"), F.array_sort(F.collect_set(F.expr(f"if(hot AND n <= {combined_up_to(num, den)}, token, NULL)"))).alias("t"))
-    combined = F.expr("flatten(transform(t, (v, i) -> transform(slice(t, 1, i), u -> xxhash64(u, v))))")
-    keys = settled(lists.select("rep", "n", F.explode(F.concat("single", combined)).alias("key")))
-    keys = keys.join(keys.groupBy("key").agg(F.count("*").alias("sets")).filter("sets > 1").select("key"), "key")
-
-    weight = keys.groupBy("rep").agg(F.count("*").alias("weight"))
-    centres = keys.join(weight, "rep").groupBy("key").agg(F.max_by("rep", F.struct("weight", -F.col("rep"))).alias("centre"), F.count("*").alias("sets"))
-    fits = f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n)"
-    star = settled(keys.join(centres, "key").filter("rep <> centre").selectExpr("least(rep, centre) AS x", "greatest(rep, centre) AS y").distinct())
-    first = _verified(_near(star, source, width, num, den), source, width, num, den)
+    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1").select("token", (F.col("df") > frequent).alias("hot"))
+    items = tokens.join(shared, "token").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("pos", "token", "hot"))).alias("items"))
+    keys = scratch.written(items.mapInArrow(_keyed(num, den), "key bigint, rep bigint, n int, w int"), "keys")
+    scratch.drop("prefixes")
+
+    # Each set with the nearest centre of its keys.
+    words = [f"b{i}" for i in range(WORDS)]
+    apart = " + ".join(f"bit_count(a.b{i} ^ b.b{i})" for i in range(WORDS))
+    need = f"((cast({num} AS bigint) * (a.n + b.n) + {num + den - 1}) div {num + den})"
+    near = f"{den} * least(a.n, b.n) >= {num} * greatest(a.n, b.n) AND {apart} <= a.n + b.n - 2 * {need}"
+    centres = keys.groupBy("key").agg(F.max(F.struct("w", (-F.col("rep")).alias("minus"))).alias("best"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi")
+    centres = centres.select("key", (-F.col("best.minus")).alias("centre"))
+    several = scratch.written(keys.join(centres, "key").select("key", "rep", "n", "centre"), "several")
+    scratch.drop("keys")
+    star = several.filter("rep <> centre").select("rep", "centre").distinct()
+    marked = reps.select("rep", F.col("n").cast("int").alias("n"), *words)
+    star = star.join(marked.select(F.struct("n", *words).alias("a"), "rep"), "rep").join(marked.select(F.struct("n", *words).alias("b"), F.col("rep").alias("centre")), "centre")
+    star = star.filter(near).groupBy(F.col("rep").alias("y")).agg(F.min(F.struct(F.expr(apart).alias("apart"), "centre")).alias("best")).select(F.col("best.centre").alias("x"), "y")
+    star = scratch.written(star, "star")
+    first = _verified(scratch, "first", star, source, width, num, den)
     roots = components(first, "x", "y")
 
-    # The star has compared all sets of a key of two; larger keys stay open while their sets are not connected.
-    several = keys.join(centres.filter("sets > 2").select("key"), "key", "left_semi")
-    labelled = several.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    # Keys stay open while their sets are not connected.
+    labelled = several.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
     open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = settled(labelled.join(open_keys, "key", "left_semi").select("key", "rep", "n", "root"))
-    pairs = (
-        rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key AND a.rep < b.rep AND a.root <> b.root AND {fits}"))
-        .selectExpr("a.rep AS x", "b.rep AS y").distinct().join(star, ["x", "y"], "left_anti")
-    )
-    second = _verified(_near(settled(pairs), source, width, num, den), source, width, num, den)
+    rest = scratch.written(labelled.join(open_keys, "key", "left_semi").join(marked, "rep"), "rest")
+    scratch.drop("several")
+    pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key AND a.rep < b.rep AND a.root <> b.root AND {near}")).selectExpr("a.rep AS x", "b.rep AS y").distinct()
+    tried = star.selectExpr("least(x, y) AS x", "greatest(x, y) AS y")
+    pairs = scratch.written(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
+    scratch.drop("rest", "star")
+    second = _verified(scratch, "second", pairs, source, width, num, den)
     # Classes that share an id are one document; so are all classes of its rows.
     final = components(first.unionByName(second), "x", "y")
+    scratch.drop("pairs", "first-links", "second-links")
     found = reps.select("n", "d1", "d2", F.col("rep").alias("node")).join(final, "node", "left").select("n", "d1", "d2", F.coalesce("root", "node").alias("component"))
     return every.join(found, ["n", "d1", "d2"], "left").select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
