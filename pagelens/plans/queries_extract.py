@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import html as H, values as V
@@ -9,6 +11,8 @@ from ..functions.sqltext import rlike
 from ..functions.urls import split_absolute, url_host, with_resolved
 from ..operators import candidates as C, manifest as M, tokens as T
 from ..sources import derived as D
+from ..sources.manifest_store import read_manifest, write_batch
+from ..sources.shared import shared_folder
 from . import oracle_base as O, pipeline as P
 from .registry import add, crawl, man
 
@@ -177,11 +181,20 @@ add("filter_scheme",
     lambda s, d: M.resolved_candidates(C.raw_candidates(crawl(s, d))).groupBy("page_id").agg(
         F.count("image_url").alias("kept"), F.count_if(F.col("image_url").isNull()).alias("dropped")),
     MAN + """SELECT page_id, count(url) AS kept, count(*) FILTER (url IS NULL) AS dropped FROM resolved GROUP BY page_id""")
-add("sink_manifest",
-    lambda s, d: man(s, d).groupBy("page_id").agg(F.expr(
-        "to_json(transform(array_sort(collect_list(struct(doc_order, url, ext, source))), x -> named_struct('url', x.url, 'ext', x.ext, 'source', x.source)))"
-    ).alias("images")),
-    MAN + """SELECT page_id, CAST(to_json(list({'url': url, 'ext': ext, 'source': source} ORDER BY doc_order)) AS VARCHAR) AS images
+IMAGES_JSON = "to_json(transform(array_sort(collect_list(struct(doc_order, url, ext, source))), x -> named_struct('url', x.url, 'ext', x.ext, 'source', x.source)))"
+
+
+def sunk(s, d):
+    """Two batches of pages, one of them written twice (first with all pages), read back."""
+    folder = f"{shared_folder(s)}/pagelens/store-{uuid.uuid4().hex}"
+    rows = man(s, d).groupBy("page_id").agg(F.expr(IMAGES_JSON).alias("images"))
+    for batch, pages in (("b1", "page_id % 2 = 0"), ("b2", "true"), ("b2", "page_id % 2 = 1")):
+        write_batch(rows.filter(pages), folder, batch)
+    return read_manifest(s, folder, "page_id bigint, images string").select("batch", "page_id", "images")
+
+
+add("sink_manifest", sunk,
+    MAN + """SELECT CASE page_id % 2 WHEN 0 THEN 'b1' ELSE 'b2' END AS batch, page_id, CAST(to_json(list({'url': url, 'ext': ext, 'source': source} ORDER BY doc_order)) AS VARCHAR) AS images
     FROM man GROUP BY page_id""")
 
 # -- scalar rules as corpus jobs ---------------------------------------------------------------

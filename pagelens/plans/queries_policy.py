@@ -184,8 +184,12 @@ add("session_cost",
 
 # -- streams -----------------------------------------------------------------------------------
 add("stream_volume",
-    lambda s, d: S.run_to_table(S.request_volume(S.event_stream(s, d)), "stream_volume"),
-    """SELECT epoch_ms(date_trunc('hour', ts)) AS window_ms, event_type AS kind, count(*) AS n FROM events
-    WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""")
+    lambda s, d: S.upserted(S.request_volume(S.event_stream(s, d)), "stream-volume", ["window_ms", "kind"]),
+    """SELECT epoch_ms(date_trunc('hour', ts)) AS window_ms, event_type AS kind, count(*) AS n FROM events GROUP BY ALL""")
+add("stream_sessions", lambda s, d: S.sessions_once(s, S.event_requests(s, d), 6 * 3_600_000),
+    f"""WITH {REQ_SQL}, f AS (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY client ORDER BY ts_ms, request_id) < 21600000 THEN 0 ELSE 1 END AS o
+      FROM req WHERE client IS NOT NULL),
+    g AS (SELECT *, sum(o) OVER (PARTITION BY client ORDER BY ts_ms, request_id) AS sn FROM f)
+    SELECT client, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count(*) AS n_requests FROM g GROUP BY client, sn""")
 add("stream_manifest", lambda s, d: S.manifest_once(s, d), MAN + f"SELECT {COLS} FROM man")
 add("stream_rate_limit", lambda s, d: S.rate_limit_once(s, S.event_requests(s, d), 2, DAY), RATE_SQL)

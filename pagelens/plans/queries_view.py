@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..constants import SAVED_FILTERS, SKIP_FOOTNOTES
 from ..functions.urls import url_host
 from ..operators import bundle as B, coverage as K, enrich as E, policy as P, view as VW
 from ..sources import derived as D
+from ..sources.image_files import image_prefixes, write_image_files
+from ..sources.shared import shared_folder
 from . import oracle_base as O, pipeline as PL
 from .queries_extract import MAN
 from .queries_policy import AGENT, VERDICT_SQL, robots
@@ -210,17 +214,42 @@ add("zero_result_sites",
 
 # -- enrichment --------------------------------------------------------------------------------
 PREFIX_SQL = f"prefixes AS (SELECT {', '.join(D.PREFIXES)} FROM man)"
-add("scan_image_prefixes",
-    lambda s, d: man(s, d).selectExpr(*D.PREFIXES).selectExpr("page_id", "doc_order", "CAST(octet_length(substring(content, 1, 4096)) AS BIGINT) AS n_bytes"),
-    MAN + f", {PREFIX_SQL} SELECT page_id, doc_order, octet_length(content) AS n_bytes FROM prefixes")
-add("enrich_dims",
-    lambda s, d: E.measure_prefixes(man(s, d).selectExpr(*D.PREFIXES)).selectExpr(
-        "page_id", "doc_order", "dims.state AS state", "dims.w AS w", "dims.h AS h"),
-    MAN + """SELECT page_id, doc_order, CASE WHEN doc_order % 10 IN (7, 9) THEN 'failed' WHEN doc_order % 10 = 8 THEN 'no-intrinsic' ELSE 'known' END AS state,
+_FILES: dict[tuple[str, str], str] = {}
+
+
+def image_folder(s, d):
+    """One file per image of the manifest, its header followed by up to 10,000 bytes; written once per application."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _FILES:
+        folder = f"{shared_folder(s)}/pagelens/images-{uuid.uuid4().hex}"
+        rows = man(s, d).selectExpr(*D.PREFIXES).selectExpr(
+            "concat(page_id, '-', doc_order) AS name", f"CAST(concat(content, CAST(repeat(' ', {D.FILE_TAIL}) AS BINARY)) AS BINARY) AS content")
+        write_image_files(rows, folder)
+        _FILES[key] = folder
+    return _FILES[key]
+
+
+def scanned_files(s, d):
+    rows = image_prefixes(s, image_folder(s, d), 4096)
+    name = "regexp_extract(path, '([0-9]+)-([0-9]+)$', {})"
+    rows = rows.selectExpr(f"CAST({name.format(1)} AS BIGINT) AS page_id", f"CAST({name.format(2)} AS BIGINT) AS doc_order", "length", "content")
+    return E.measure_prefixes(rows).selectExpr(
+        "page_id", "doc_order", "length", "CAST(octet_length(content) AS BIGINT) AS n_bytes", "dims.state AS state", "dims.w AS w", "dims.h AS h")
+
+
+DIMS_SQL = """CASE WHEN doc_order % 10 IN (7, 9) THEN 'failed' WHEN doc_order % 10 = 8 THEN 'no-intrinsic' ELSE 'known' END AS state,
       CASE doc_order % 10 WHEN 0 THEN b + 256 WHEN 1 THEN b + 256 WHEN 2 THEN b + 769 WHEN 3 THEN b + 512 WHEN 4 THEN CASE WHEN b * 32 > 256 THEN b ELSE 16 END
         WHEN 5 THEN b + 256 WHEN 6 THEN doc_order + 10 END AS w,
       CASE doc_order % 10 WHEN 0 THEN b + 512 WHEN 1 THEN b + 512 WHEN 2 THEN b + 1025 WHEN 3 THEN b + 256 WHEN 4 THEN CASE WHEN b * 32 > 256 THEN 32 ELSE 16 END
-        WHEN 5 THEN b + 768 WHEN 6 THEN 21 END AS h FROM (SELECT *, doc_order % 256 AS b FROM man)""")
+        WHEN 5 THEN b + 768 WHEN 6 THEN 21 END AS h"""
+add("scan_image_prefixes", scanned_files,
+    MAN + f""", {PREFIX_SQL}, sized AS (SELECT page_id, doc_order, octet_length(content) + {D.FILE_TAIL} AS length, doc_order % 256 AS b, doc_order % 10 = 9 AND {D.FILE_TAIL} >= 14 AS long FROM prefixes)
+    SELECT page_id, doc_order, length, least(4096, length) AS n_bytes, CASE WHEN long THEN 'known' ELSE state END AS state, CASE WHEN long THEN 538976288 ELSE w END AS w,
+      CASE WHEN long THEN 538976288 ELSE h END AS h FROM (SELECT page_id, doc_order, length, long, {DIMS_SQL} FROM sized)""")
+add("enrich_dims",
+    lambda s, d: E.measure_prefixes(man(s, d).selectExpr(*D.PREFIXES)).selectExpr(
+        "page_id", "doc_order", "dims.state AS state", "dims.w AS w", "dims.h AS h"),
+    MAN + f"""SELECT page_id, doc_order, {DIMS_SQL} FROM (SELECT *, doc_order % 256 AS b FROM man)""")
 add("enrich_data_uri_dims",
     lambda s, d: E.measure_prefixes(E.data_uri_prefixes(man(s, d))).selectExpr(
         "page_id", "doc_order", "dims.state AS state", "dims.w AS w", "dims.h AS h"),

@@ -189,3 +189,5 @@ PREFIX_HEX = (
     f"WHEN 7 THEN 'DEADBEEF' WHEN 8 THEN hex('<svg width=\"100%\" height=\"5\"/>') ELSE '89504E470D0A1A0A0000' END"
 )
 PREFIXES = ["page_id", "id", "doc_order", f"unhex({PREFIX_HEX}) AS content"]
+# bytes that follow the header in the image's file
+FILE_TAIL = "CAST((page_id * 37 + doc_order * 211) % 10000 AS INT)"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -32,24 +32,71 @@ def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{root}/out", f"{root}/checkpoint"
 
 
-def run_to_table(stream: DataFrame, name: str) -> DataFrame:
-    """Drain what is there now into parquet files, exactly once, and read the result."""
-    spark = stream.sparkSession
+def drained(spark: SparkSession, source: DataFrame, late: str, build: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """Run an append-mode query until what the source holds now is done, all of it, and read what it wrote.
+
+    ``source`` has an event time ``ts``; ``build`` makes the query from it, with a watermark ``late`` behind. The watermark
+    stays behind the last row, so results would wait for later rows. Once the source is drained, a closing row far in the
+    future moves the watermark past all of them, in a second run of the same query.
+    """
     out, checkpoint = _folders(spark, name)
-    query = (
-        stream.writeStream.format("parquet").option("checkpointLocation", checkpoint)
-        .outputMode("append").trigger(availableNow=True).start(out)
-    )
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    closing = f"{out.removesuffix('/out')}/closing"
+    source = source.withColumn("ts", F.col("ts").cast("timestamp"))
+    spark.createDataFrame([], source.schema).write.parquet(closing)
+    rows = source.unionByName(spark.readStream.schema(source.schema).parquet(closing)).withWatermark("ts", late)
+    # The closing row goes behind the watermark. Filters are pushed through a watermark where they don't ask for its
+    # time, and would take the closing row away before it; so every column asks for it.
+    end_of_time = "TIMESTAMP'9000-01-01 00:00:00'"
+    rows = rows.filter(f"ts IS NULL OR ts < {end_of_time}")
+    query = build(rows.selectExpr(*("ts" if c == "ts" else f"IF(ts >= {end_of_time}, NULL, `{c}`) AS `{c}`" for c in rows.columns)))
+
+    def run() -> None:
+        query.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
+
+    run()
+    fields = ", ".join(f"{end_of_time} AS ts" if f.name == "ts" else f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in source.schema)
+    spark.sql(f"SELECT {fields}").write.mode("append").parquet(closing)
+    run()
+    return spark.read.schema(query.schema).parquet(out)
+
+
+_MILLIS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({} AS TIMESTAMP_NTZ))"
 
 
 def request_volume(events: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Requests per hour and kind; an hour is emitted when the watermark passes its end."""
+    """Requests per hour and kind; to be run in update mode, or in append mode, where an hour waits for the watermark."""
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
     agg = rows.withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.col("event_type").alias("kind"))
-    zone = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(w.start AS TIMESTAMP_NTZ)) AS window_ms"
-    return agg.agg(F.count("*").alias("n")).selectExpr(zone, "kind", "n")
+    return agg.agg(F.count("*").alias("n")).selectExpr(f"{_MILLIS.format('w.start')} AS window_ms", "kind", "n")
+
+
+def upserted(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+    """Drain an update-mode query into a table of its changes and read the last state of each key, open windows included.
+
+    Each batch replaces its own partition, so a batch that runs again counts once; the latest batch of a key wins.
+    """
+    spark = stream.sparkSession
+    out, checkpoint = _folders(spark, name)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    changes = spark.read.schema(f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in stream.schema)}, batch bigint").parquet(out)
+    values = [c for c in stream.columns if c not in keys]
+    return changes.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("last")).select(*keys, "last.*")
+
+
+def sessions(requests: DataFrame, gap_ms: int) -> DataFrame:
+    """Sessions per client of a watermarked stream: windows that grow with each request closer than the gap, and merge."""
+    known = requests.filter("client IS NOT NULL")
+    # Windows that touch are merged, so a window is one microsecond shorter than the gap.
+    agg = known.groupBy(F.session_window("ts", f"{1000 * gap_ms - 1} microseconds").alias("w"), "client").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("n_requests"))
+    return agg.selectExpr("client", f"{_MILLIS.format('first')} AS start_ms", f"{_MILLIS.format('last')} AS end_ms", "n_requests")
+
+
+def sessions_once(spark: SparkSession, source: DataFrame, gap_ms: int, late: str = "1 day") -> DataFrame:
+    return drained(spark, source.select("client", "ts"), late, lambda rows: sessions(rows, gap_ms), "stream-sessions")
 
 
 def manifest_stream(pages: DataFrame, out: str, checkpoint: str):
@@ -162,35 +209,15 @@ def rate_limited(requests: DataFrame, limit: int, window_ms: int = RATE_WINDOW_M
 
 
 def rate_limit_once(spark: SparkSession, source: DataFrame, limit: int, window_ms: int, late: str = "1 day") -> DataFrame:
-    """Judge what a stream of ``(request_id, kind, client, ts)`` holds now, all of it, and read the verdicts.
-
-    The watermark stays behind the last request, so requests would wait for later ones. Once the source is drained, a
-    closing row far in the future moves the watermark past all of them in a second run of the same query.
-    """
-    out, checkpoint = _folders(spark, "stream-rate")
-    closing = f"{out.removesuffix('/out')}/closing"
-    columns = "request_id bigint, kind string, client string, ts timestamp"
-    spark.createDataFrame([], columns).write.parquet(closing)
-    rows = source.selectExpr("CAST(request_id AS BIGINT) AS request_id", "kind", "client", "CAST(ts AS TIMESTAMP) AS ts")
-    rows = rows.unionByName(spark.readStream.schema(columns).parquet(closing)).withWatermark("ts", late)
-    # The closing row has no request and goes behind the watermark; asking for ts keeps the filter there.
-    rows = rows.filter("request_id IS NOT NULL OR ts IS NULL")
-    millis = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS ts_ms"
-    judged = rate_limited(rows.selectExpr("request_id", "kind", "client", millis, "ts"), limit, window_ms)
-
-    def run() -> None:
-        judged.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(out).awaitTermination()
-
+    """Judge what a stream of ``(request_id, kind, client, ts)`` holds now, all of it, and read the verdicts."""
+    rows = source.selectExpr("CAST(request_id AS BIGINT) AS request_id", "kind", "client", "ts")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        run()
-        spark.sql("SELECT CAST(NULL AS BIGINT) AS request_id, CAST(NULL AS STRING) AS kind, CAST(NULL AS STRING) AS client, TIMESTAMP'9000-01-01 00:00:00' AS ts").write.mode("append").parquet(closing)
-        run()
+        return drained(spark, rows, late, lambda r: rate_limited(r.withColumn("ts_ms", F.expr(_MILLIS.format("ts"))), limit, window_ms), "stream-rate")
     finally:
         spark.conf.set(provider, before)
-    return spark.read.schema(_VERDICT).parquet(out)
 
 
 def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:

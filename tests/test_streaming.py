@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from pagelens.operators.rate import rate_limit
+from pagelens.operators.rate import rate_limit, session_cost
 from pagelens.streaming import jobs as S
 
 DAY = 86_400_000
@@ -40,3 +40,29 @@ def test_limiter_judges_in_event_order(spark, tmp_path, small_pieces):
     want = rate_limit(whole, 2, DAY).select(*got.columns)
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
     assert 0 < got.filter("NOT admitted").count() < got.filter("client = 'hot'").count()
+
+
+MILLIS = "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) AS ts_ms"
+
+
+def test_sessions_equal_the_batch_form(spark, tmp_path):
+    """Requests of a session come in any order and files; one request joins two sessions."""
+    rows = [(c, EPOCH + datetime.timedelta(minutes=m)) for c, ms in {"a": [0, 50, 100, 160, 500, 559, 560], "b": [5], None: [1, 2]}.items() for m in ms]
+    random.Random(1).shuffle(rows)
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], "client string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("client string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = S.sessions_once(spark, source, 3_600_000, late="1 day")
+    whole = spark.createDataFrame(rows, "client string, ts timestamp").filter("client IS NOT NULL").selectExpr("client", MILLIS)
+    want = session_cost(whole, 3_600_000, 10).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
+
+
+def test_open_windows_are_counted_once(spark, tmp_path):
+    rows = [("scan", EPOCH + datetime.timedelta(minutes=m)) for m in [0, 10, 59, 61, 125, 126]]
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], "event_type string, ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("event_type string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = S.upserted(S.request_volume(source, late="1 day"), "test-volume", ["window_ms", "kind"])
+    start = int(EPOCH.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+    assert sorted(map(tuple, got.collect())) == [(start, "scan", 3), (start + 3_600_000, "scan", 1), (start + 7_200_000, "scan", 2)]
