@@ -18,9 +18,11 @@ Equal sets are one class from the start (equal size and 128-bit digest) and are
 one among them that shares most shingles with others (a star); of its centres each set is compared with the nearest.
 Then only sets of a key that are not connected yet are paired, so groups of near copies are not expanded into all their
 pairs. Each set has a bitmap of 1024 bits, the parities of its shingles' slots: bits that differ are at most as many as
-the shingles that differ, so pairs with too many are no links. That test stands in the join's condition, so they never
-leave it; the others are compared as whole sets, which are read again from the texts. No link between different
-components is lost.
+the shingles that differ, so pairs with too many are no links. Keys are looked at by connected parts, each one row with the
+bitmap of one of its sets and the largest distance of the others to it: by the triangle inequality that rules out most
+pairs of parts. Only the sets of the parts left meet, with the test of bitmaps in the join's condition, so that other
+pairs never leave it; the rest is compared as whole sets, which are read again from the texts. No link between different
+parts is lost.
 
 Nulls and ties: null or wordless text has an empty set and links with nothing; fewer words than the shingle length are one
 shingle. Rows with one id are one document; rows with a null id take part with the class of their set, and have a null
@@ -288,15 +290,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: tuple[int, int]
     first = _verified(scratch, "first", star, source, width, num, den)
     roots = components(first, "x", "y")
 
-    # Keys stay open while their sets are not connected.
-    labelled = several.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    open_keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
-    rest = scratch.written(labelled.join(open_keys, "key", "left_semi").join(marked, "rep"), "rest")
+    # Keys stay open while their sets are not connected. Their parts meet first, then the sets of parts that may be near.
+    placed = marked.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    placed = scratch.written(placed, "placed")
+    labelled = several.select("key", "rep").join(placed.select("rep", "root").distinct(), "rep").select("key", "root")
+    parts = scratch.written(labelled.distinct(), "parts")
     scratch.drop("several")
-    pairs = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key AND a.rep < b.rep AND a.root <> b.root AND {near}")).selectExpr("a.rep AS x", "b.rep AS y").distinct()
+    open_keys = parts.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("key")
+    # Half-sized bitmaps, folded from the whole ones, travel with the keys.
+    half = [f"b{i} ^ b{i + WORDS // 2} AS h{i}" for i in range(WORDS // 2)]
+    folded = " + ".join(f"bit_count(a.h{i} ^ b.h{i})" for i in range(WORDS // 2))
+    halves = placed.selectExpr("rep", "root", "n", f"struct({', '.join(half)}) AS a")
+    middle = halves.filter("rep = root").groupBy("root").agg(F.any_value("a").alias("b"))
+    reach = halves.join(middle, "root").groupBy("root").agg(
+        F.max(F.expr(folded)).cast("int").alias("radius"), F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").cast("int").alias("members"), F.any_value("b").alias("b"),
+    )
+    rest = scratch.written(parts.join(open_keys, "key", "left_semi").join(reach.select("root", "radius", "least", "most", "members", "b.*"), "root"), "rest")
+    sizes = f"{den} * a.most >= {num} * b.least AND {den} * b.most >= {num} * a.least"
+    farthest = f"cast({den - num} AS bigint) * (a.most + b.most) div {num + den}"
+    found = rest.alias("a").join(rest.alias("b"), F.expr(f"a.key = b.key AND a.root < b.root AND {sizes} AND {folded} - a.radius - b.radius <= {farthest}"))
+    found = found.selectExpr("IF(a.members <= b.members, a.root, b.root) AS few", "IF(a.members <= b.members, b.root, a.root) AS many").distinct()
+    left = found.join(placed.select(F.col("root").alias("few"), "rep", "n", *words), "few").drop("few")
+    right = placed.select(F.col("root").alias("many"), "rep", "n", *words)
+    pairs = left.alias("a").join(right.alias("b"), F.expr(f"a.many = b.many AND {near}")).selectExpr("least(a.rep, b.rep) AS x", "greatest(a.rep, b.rep) AS y")
     tried = star.selectExpr("least(x, y) AS x", "greatest(x, y) AS y")
-    pairs = scratch.written(pairs.join(tried, ["x", "y"], "left_anti"), "pairs")
-    scratch.drop("rest", "star")
+    pairs = scratch.written(pairs.join(tried, ["x", "y"], "left_anti").distinct(), "pairs")
+    scratch.drop("rest", "star", "parts", "placed")
     second = _verified(scratch, "second", pairs, source, width, num, den)
     # Classes that share an id are one document; so are all classes of its rows.
     final = components(first.unionByName(second), "x", "y")

@@ -39,12 +39,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
 class Scratch:
     """Tables of one computation in the checkpoint folder, each deleted as soon as nothing reads it any more."""
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, batch: int = 1000):
+        self.batch = batch
         ensure_checkpoint_dir(spark)
         self.spark, self.root = spark, f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.root}/{name}")
+        # Whole sets and texts are wide rows, so Python gets few of them at once.
+        rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(rows)
+        self.spark.conf.set(rows, str(min(int(before), self.batch) if int(before) > 0 else self.batch))
+        try:
+            df.write.parquet(f"{self.root}/{name}")
+        finally:
+            self.spark.conf.set(rows, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:
