@@ -1,7 +1,8 @@
 """License scans by canonical digest lookup, with DataFrame functions only.
 
-A text is made canonical line by line: lower case, equivalent spellings made one, punctuation to spaces, white space
-collapsed, copyright lines and blank lines left out. Its entire canonical text is looked up by digest among known license
+A text is made canonical line by line: lower case, equivalent spellings made one, everything but letters and digits (of any
+script) to spaces, copyright lines and blank lines left out. ``(c)`` begins a copyright line only before a year or the
+word, as clauses are lettered, too. Its entire canonical text is looked up by digest among known license
 texts that were made canonical in the same way. Since notices are often put into other documents, each paragraph and each
 line is looked up as an entire text too. Only texts whose canonical length is that of some known text are digested, which
 leaves nothing out, and only digests are joined.
@@ -76,9 +77,9 @@ TEXTS = {
 #: Canonical digests and lengths of long licenses: whole, and with and without the line that ends their terms where an
 #: appendix follows. A text doesn't tell whether later versions may be used too, so the GNU ones have their plain version.
 DIGESTS = [
-    ("Apache-2.0", 8765, "195230b9c0ca05b1af1550e9e0f7351e3bfbb4795aed04af1aa3a0755501770b"),
-    ("Apache-2.0", 8793, "065bfc7c528c1c1568eab1cd59cd8384ec77e55c511c56bec6e6310571d16068"),
-    ("Apache-2.0", 9803, "a0c4d2f7d7885f5d9165e243f87b13c73ac0cb760ac463fc750a349239edcc6f"),
+    ("Apache-2.0", 8826, "47185d22d70d9cfd022188186985a733cf9d92f28aed25dc9b075975aaef0b8f"),
+    ("Apache-2.0", 8854, "f5904e151a34676d4e72ff4da1cc932f26500c419a30b1a8da2a4ab891ee34a8"),
+    ("Apache-2.0", 9864, "30f252879a369658fc224e8227e895b73379d4925f9a2e6ca76cd07f39c6a303"),
     ("Artistic-1.0-Perl", 5787, "bb44dfea0e08b5df86428cd5c83bbcd4ab3485542eff65f9cc769e7db74ca598"),
     ("BSD-3-Clause", 1361, "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
     ("CC0-1.0", 6686, "92f195ae84ff559b03177551e6c1166f57d3cc30f5a7d806b4039e24906bd8de"),
@@ -100,11 +101,11 @@ DIGESTS = [
     ("LGPL-2.1", 23229, "99a1c031e4ee69a0535512462c0e344fc887c3552c3836b712504515f060d7f7"),
     ("LGPL-2.1", 25012, "c29dc70f4feb9651eaa5d7fa814cfb5b8a2d1fb28faea542530c02463087e98f"),
     ("LGPL-3.0", 6990, "150d84303009e3c33d11663bc3fdfc1c544ddb01f5527f42cc9004f1d425f463"),
-    ("MPL-1.1", 22103, "621bf785efb4365289e1b07329f3e3b0e9d6ea447966177767ec50e0cee4a12c"),
-    ("MPL-2.0", 14199, "776604b2d3e2444a8551b5545ef27ac2b434cedee7287ffc7e121766e692719f"),
+    ("MPL-1.1", 22231, "889542d0859a996018eb30abfc0aa2688eb64b34c5b4dda5acad80eecb8f0c2e"),
+    ("MPL-2.0", 14269, "b75288d3e33fff84171007912e95102fe4dd891052e0a947ca733057da32eb65"),
 ]
 
-_COPYRIGHT = r"^[^a-z0-9]*(copyright\\b(?! holder| owner| notice| license| law)|\\(c\\)|©|all rights reserved)"
+_COPYRIGHT = r"^[^a-z0-9]*(copyright\\b(?! holder| owner| notice| license| law)|\\(c\\)\\s*(copyright\\b|[0-9]{4}\\b)|©|all rights reserved)"
 
 
 def _quoted(text: str) -> str:
@@ -114,7 +115,7 @@ def _quoted(text: str) -> str:
 def canonical_line(line: str) -> str:
     """SQL text of a line's canonical form, empty where it is blank or a copyright line."""
     out = f"lower({line})"
-    plain = f"trim(regexp_replace({out}, '[^a-z0-9\\\\x{{80}}-\\\\x{{10FFFF}}]+', ' '))"
+    plain = f"trim(regexp_replace({out}, '[^\\\\p{{L}}\\\\p{{N}}]+', ' '))"
     for a, b in SPELLINGS:
         a = a.replace("-", " ")
         plain = f"replace({plain}, {_quoted(a)}, {_quoted(b)})"
