@@ -14,6 +14,9 @@ are never written out. Components follow from these parts.
 
 Equal vectors with one label are one class with a weight: they link with each other without being compared.
 
+Components are scaled by the largest one where squares would leave the range of doubles. Ids must be whole numbers or text
+that reads as such.
+
 Nulls and ties: rows with a null label, vector or id, zero vectors, and vectors with null or non-finite components link
 with nothing (no links, themselves as component, kept; a null id has a null component). Vectors of different lengths don't
 link. Repeated rows of a vector count as vectors of their own; rows with one id are one node of the graph. Other columns
@@ -154,6 +157,8 @@ def _compared(cosine: float):
 def embedding_duplicates(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """Per row ``(vec_id, n_links, component_id, kept)``."""
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).alias("v"), F.col(label).alias("label"))
+    # Squares of very long or short vectors leave the range of doubles; their directions do not. Others stay as given.
+    rows = rows.withColumn("v", F.expr("transform(array(array_max(transform(v, x -> abs(x)))), m -> IF(m > 1e-100D AND m < 1e100D OR NOT coalesce(m > 0 AND m < double('Infinity'), false), cast(v AS array<double>), transform(v, x -> try_divide(cast(x AS double), m))))[0]"))
     sound = F.expr("id IS NOT NULL AND label IS NOT NULL AND v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND abs(x) < double('Infinity')) AND exists(v, x -> x <> 0)")
     classes = settled(rows.filter(sound).groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")))
 
