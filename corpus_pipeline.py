@@ -31,11 +31,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup(docs).withColumnRenamed("n_removed", "__removed")
-    kept = found.filter("__removed = 0 OR length(trim(text)) > 0")
+    # The operator's own counts would clash with columns of these names, so the documents' columns go in under others.
+    names = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    found = line_dedup(docs.withColumnsRenamed(names))
+    kept = found.filter("n_removed = 0 OR length(trim(text)) > 0")
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+        own = F.col(names["n_chars"])
+        kept = kept.withColumn(names["n_chars"], F.when(F.col("n_removed") > 0, F.length("text")).otherwise(own).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
