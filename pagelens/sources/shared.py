@@ -33,6 +33,24 @@ def persist(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Pieces:
+    """Tables that one computation writes and reads back, each deleted once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root = spark, f"{shared_folder(spark)}/pagelens/{name}-{uuid.uuid4().hex}"
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables; whatever was made from them must have been written."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(conf).delete(path, True)
+
+
 def bucketed(build: Callable[[], DataFrame], spark: SparkSession, name: str, key: str, source: str) -> DataFrame:
     """A derived table written once per application and source, bucketed by ``key``.
 
