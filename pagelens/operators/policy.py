@@ -183,13 +183,33 @@ def dns_verdicts(answers: DataFrame) -> DataFrame:
     )
 
 
-def redirect_chains(hops: DataFrame, max_redirects: int = MAX_REDIRECTS) -> DataFrame:
+def hop_verdicts(hops: DataFrame, entries: DataFrame | None = None, dns: DataFrame | None = None) -> DataFrame:
+    """Add ``reason`` to rows with a ``url``: the first of admission, operator list and DNS that rejects the hop's host.
+
+    ``entries`` are list hosts, ``dns`` has ``host, reason`` (see ``dns_verdicts``); hosts that are addresses need no
+    lookup. Both tables meet the distinct hosts, so a host with a large share of the hops is one row of each.
+    """
+    rows = admit(hops)
+    keep = [f"`{c}`" for c in rows.columns if c not in ("ok", "reason", "detail", "host")]
+    if entries is not None:
+        rows = join_dimension(rows, blocked_hosts(rows.filter("ok"), entries).selectExpr("host", "'domain-blocked' AS _listed"), ["host"])
+    if dns is not None:
+        rows = join_dimension(rows, dns.filter("reason IS NOT NULL").selectExpr("host", "reason AS _looked_up"), ["host"])
+    listed = "_listed" if entries is not None else "NULL"
+    looked_up = f"CASE WHEN NOT startswith(host, '[') AND {A.ipv4_literal('host')} IS NULL THEN _looked_up END" if dns is not None else "NULL"
+    return rows.selectExpr(*keep, f"coalesce(reason, {listed}, {looked_up}) AS reason")
+
+
+def redirect_chains(
+    hops: DataFrame, max_redirects: int = MAX_REDIRECTS, entries: DataFrame | None = None, dns: DataFrame | None = None
+) -> DataFrame:
     """Audit of logged fetch hops ``(req, hop, url, status, location)``.
 
-    Each hop is admitted again; the first rejected hop gives the reason, and a redirect to a Location that
-    is no URL rejects the hop it leads to as ``invalid-url``. A redirect status without a Location is final. More than ``max_redirects`` redirects reject the request.
+    Every hop is judged again, by admission and, if given, by the operator's list and DNS; the first hop that any of them
+    rejects gives the reason, and a redirect to a Location that is no URL rejects the hop it leads to as ``invalid-url``.
+    A redirect status without a Location is final. More than ``max_redirects`` redirects reject the request.
     """
-    audited = admit(hops)
+    audited = hop_verdicts(hops, entries, dns)
     base = with_resolved(
         audited.selectExpr("*", f"{split_absolute('url')} AS _base", "coalesce(location, '') AS _loc"),
         "_loc", "_base", "next_url", sort=False,

@@ -118,13 +118,33 @@ def fetches(s, d):
 
 
 HOPS_SQL = f"hops AS (SELECT {', '.join(D.HOPS)} FROM (SELECT page_id, url, unnest(range(page_id % 5 + 1)) AS hop FROM pages))"
-_BADPORT = "regexp_matches(url, '^[a-z]+://[^/]*:[0-9]+')"
-add("w_redirect_chain",
-    lambda s, d: P.redirect_chains(hops(s, d)).select("req", "hops", "redirects", "reason", "final_url"),
-    f"""WITH {HOPS_SQL} SELECT req, count(*) AS hops, count(*) FILTER (status = 302 AND location IS NOT NULL) AS redirects,
-      CASE WHEN count(*) FILTER (url = 'http://2130706433/' AND hop <= 3) > 0 THEN 'private-ip'
-        WHEN count(*) FILTER (status = 302 AND location IS NOT NULL) > 3 THEN 'too-many-redirects' END AS reason,
-      arg_max(url, hop) AS final_url FROM hops GROUP BY req""")
+
+
+def hop_hosts(s, d):
+    return hops(s, d).selectExpr(f"{D.HOST} AS host").distinct()
+
+
+def dns_of(hosts):
+    return hosts.selectExpr("host", "explode(array('A', 'AAAA')) AS qtype").selectExpr(*D.DNS)
+
+
+_DNS_REASON = ("CASE length({0}) % 7 WHEN 1 THEN 'dns-private' WHEN 2 THEN 'dns-private' WHEN 3 THEN 'dns-nxdomain' "
+               "WHEN 4 THEN 'dns-nxdomain' WHEN 5 THEN 'dns-error' WHEN 6 THEN 'dns-error' END")
+CHAINS_SQL = f"""{HOPS_SQL}, judged_hops AS (SELECT *, CASE WHEN url = 'http://2130706433/' THEN 'private-ip' WHEN regexp_matches({D.HOST}, '^rrrr?[.]') THEN 'domain-blocked'
+    ELSE {_DNS_REASON.format(D.HOST)} END AS bad FROM hops),
+chains AS (SELECT req, count(*) AS hops, count(*) FILTER (status = 302 AND location IS NOT NULL) AS redirects,
+    coalesce(arg_min(bad, hop) FILTER (bad IS NOT NULL AND hop <= 3), CASE WHEN count(*) FILTER (status = 302 AND location IS NOT NULL) > 3 THEN 'too-many-redirects' END) AS reason,
+    arg_max(url, hop) AS final_url FROM judged_hops GROUP BY req)"""
+
+
+def chains(s, d):
+    """Every hop of the fetch log, judged by admission, an operator list and DNS answers for its host."""
+    listed_hosts = P.blocklist_entries(hop_hosts(s, d).selectExpr(*D.HOP_LINES))
+    audited = P.redirect_chains(hops(s, d), entries=listed_hosts, dns=P.dns_verdicts(dns_of(hop_hosts(s, d))))
+    return audited.select("req", "hops", "redirects", "reason", "final_url")
+
+
+add("w_redirect_chain", chains, f"WITH {CHAINS_SQL} SELECT * FROM chains")
 add("fetch_volume",
     lambda s, d: P.fetch_volume(fetches(s, d), limit=8),
     f"""WITH {HOPS_SQL}, fetched AS (SELECT req, url FROM hops UNION ALL SELECT req, {D.ORIGIN} || '/robots.txt' FROM hops WHERE hop = 0)
@@ -132,22 +152,36 @@ add("fetch_volume",
 
 
 def dns(s, d):
-    hosts = D.read_pages(s, d).selectExpr(f"{D.HOST} AS host").distinct()
-    return hosts.selectExpr("host", "explode(array('A', 'AAAA')) AS qtype").selectExpr(*D.DNS)
+    return dns_of(D.read_pages(s, d).selectExpr(f"{D.HOST} AS host").distinct())
 
 
 add("join_dns", lambda s, d: P.dns_verdicts(dns(s, d)),
-    f"""SELECT DISTINCT host, CASE length(host) % 7 WHEN 1 THEN 'dns-private' WHEN 2 THEN 'dns-private' WHEN 3 THEN 'dns-nxdomain'
-      WHEN 4 THEN 'dns-nxdomain' WHEN 5 THEN 'dns-error' WHEN 6 THEN 'dns-error' END AS reason FROM (SELECT {D.HOST} AS host FROM pages)""")
+    f"SELECT DISTINCT host, {_DNS_REASON.format('host')} AS reason FROM (SELECT {D.HOST} AS host FROM pages)")
 _CATALOG = ", ".join(
     "('{}', {}, {}, {})".format(c, st, "NULL" if m is None else "'" + m.replace("'", "''") + "'", str(r).lower())
     for c, (st, m, r) in ERROR_CATALOG.items()
 )
+
+
+# A page's transfer outcome, from the length of its text and address.
+_CODES = [*ERROR_CATALOG, "no-such-code"]
+_SCAN_CODE = f"split_part('{','.join(_CODES)}', ',', CAST(1 + (length(html) + length(url)) % {len(_CODES)} AS INT))"
+
+
+def failures(s, d):
+    """Outcomes of all steps: admission, redirects with list and DNS, and one of the transfer and scan codes for each page."""
+    from_admission = P.admit(audit(s, d), "raw").filter("NOT ok").selectExpr("page_id", "reason AS code")
+    from_chains = chains(s, d).filter("reason IS NOT NULL").selectExpr("req AS page_id", "reason AS code")
+    return from_admission.unionByName(from_chains).unionByName(D.read_pages(s, d).selectExpr("page_id", f"{_SCAN_CODE} AS code"))
+
+
 add("join_error_catalog",
-    lambda s, d: P.with_catalog(P.admit(audit(s, d), "raw").filter("NOT ok").selectExpr("page_id", "reason AS code")).select(
+    lambda s, d: P.with_catalog(failures(s, d)).select(
         "page_id", "code", F.col("http_status").cast("bigint").alias("http_status"), "message", "retryable"),
-    f"""WITH {ADMIT_SQL}, cat(code, http_status, message, retryable) AS (VALUES {_CATALOG})
-    SELECT page_id, v.reason AS code, CAST(http_status AS BIGINT) AS http_status, message, retryable FROM verdicts v JOIN cat ON cat.code = v.reason""")
+    f"""WITH {ADMIT_SQL}, {CHAINS_SQL}, cat(code, http_status, message, retryable) AS (VALUES {_CATALOG}),
+    failed AS (SELECT page_id, reason AS code FROM verdicts WHERE reason IS NOT NULL UNION ALL SELECT req, reason FROM chains WHERE reason IS NOT NULL
+      UNION ALL SELECT page_id, {_SCAN_CODE} FROM pages)
+    SELECT page_id, f.code, CAST(coalesce(http_status, 500) AS BIGINT) AS http_status, message, coalesce(retryable, false) AS retryable FROM failed f LEFT JOIN cat ON cat.code = f.code""")
 
 # -- request log -------------------------------------------------------------------------------
 DAY = 86_400_000

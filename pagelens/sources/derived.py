@@ -162,12 +162,17 @@ TRUTH_WHERE = "doc_order % 4 <> 2"
 # pages x hop number -> fetch log
 _LAST = "hop = page_id % 5"
 _TRAP = "page_id % 7 = 3"
+# From the second redirect on the chain is on a host below the page's, named by the page.
+_ELSEWHERE = f"replace({ORIGIN}, '://', '://' || repeat('r', CAST(1 + page_id % 7 AS INT)) || '.')"
 HOPS = [
     "page_id AS req", "hop",
-    f"CASE WHEN hop = 0 THEN url WHEN {_LAST} AND {_TRAP} THEN 'http://2130706433/' ELSE {ORIGIN} || '/r' || hop END AS url",
+    f"CASE WHEN hop = 0 THEN url WHEN {_LAST} AND {_TRAP} THEN 'http://2130706433/' WHEN hop = 1 THEN {ORIGIN} || '/r1' ELSE {_ELSEWHERE} || '/r' || hop END AS url",
     f"CASE WHEN NOT ({_LAST}) OR page_id % 6 = 2 THEN 302 ELSE 200 END AS status",
-    f"CASE WHEN {_LAST} THEN NULL WHEN hop + 1 = page_id % 5 AND {_TRAP} THEN 'http://2130706433/' ELSE '/r' || (hop + 1) END AS location",
+    f"CASE WHEN {_LAST} THEN NULL WHEN hop + 1 = page_id % 5 AND {_TRAP} THEN 'http://2130706433/' "
+    f"WHEN hop = 1 THEN {_ELSEWHERE} || '/r2' ELSE '/r' || (hop + 1) END AS location",
 ]
+# hosts of the fetch log -> operator list lines
+HOP_LINES = ["CASE WHEN host LIKE 'rrr.%' OR host LIKE 'rrrr.%' THEN upper(host) ELSE '# ' || host END AS line"]
 # distinct hosts x (A, AAAA) -> DNS answers
 DNS = [
     "host", "qtype",

@@ -192,6 +192,27 @@ def test_redirect_to_no_url_is_rejected(spark):
     assert {r.req: r.reason for r in P.redirect_chains(df).collect()} == {1: "invalid-url", 2: None, 3: "private-ip"}
 
 
+def test_the_first_rejected_hop_of_any_kind_wins(spark):
+    hop = lambda req, *urls: [(req, k, u, 302 if k + 1 < len(urls) else 200, urls[k + 1] if k + 1 < len(urls) else None) for k, u in enumerate(urls)]
+    rows = hop(1, "http://a.example/", "http://b.example/", "http://x.listed.example/") + hop(2, "http://a.example/", "http://a.example/1", "http://inside.example/", "http://listed.example/")
+    rows += hop(3, "http://inside.example/", "http://listed.example/") + hop(4, "http://listed.example/", "http://10.0.0.1/") + hop(5, "http://93.184.216.34/", "http://b.example/") + hop(6, *["http://a.example/"] * 5)
+    rows += hop(7, "http://LISTED。example./x")
+    df = spark.createDataFrame(rows, "req bigint, hop bigint, url string, status int, location string")
+    entries = spark.createDataFrame([("listed.example",)], "entry string")
+    dns = spark.createDataFrame([("inside.example", "dns-private"), ("b.example", None), ("listed.example", "dns-nxdomain"), ("93.184.216.34", "dns-error")], "host string, reason string")
+    got = {r.req: r.reason for r in P.redirect_chains(df, entries=entries, dns=dns).collect()}
+    assert got == {1: "domain-blocked", 2: "dns-private", 3: "dns-private", 4: "domain-blocked", 5: None, 6: "too-many-redirects", 7: "domain-blocked"}
+    assert {r.req: r.reason for r in P.redirect_chains(df).collect()} == {1: None, 2: None, 3: None, 4: "private-ip", 5: None, 6: "too-many-redirects", 7: None}
+
+
+def test_rate_limit_of_sparse_clients(spark):
+    rng = random.Random(7)
+    rows = [(i, "a", f"c{rng.randrange(12)}", rng.randrange(0, 10**6) if i % 3 else rng.randrange(0, 30_000)) for i in range(600)]
+    df = spark.createDataFrame(rows, "request_id bigint, kind string, client string, ts_ms bigint")
+    for limit in (1, 2, 100):
+        assert {r.request_id: (r.admitted, r.retry_after) for r in R.rate_limit(df, {"a": limit}, 5_000).collect()} == brute_rate(rows, limit, 5_000)
+
+
 SPELLINGS = ["１２７.0.0.1", "127。0。0。1", "%31%32%37.0.0.1", "12\t7.0.0.1", "0x7F%2E1", "①②⑦.1"]
 
 
