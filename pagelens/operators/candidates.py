@@ -171,11 +171,22 @@ def page_elements(
     )
 
 
-def html_candidates(els: DataFrame, keep_all_pages: bool = False) -> DataFrame:
-    """Candidates of all elements, with groups and social-image sizes filled in."""
+#: Source of rows that are no candidates but links to style sheets.
+LINK = "#sheet"
+
+
+def html_candidates(els: DataFrame, keep_all_pages: bool = False, links: bool = False) -> DataFrame:
+    """Candidates of all elements, with groups and social-image sizes filled in; with ``links`` also style sheet links."""
+    cands = "cands"
+    if links:
+        link = (
+            f"struct(sheet_href AS raw, 0 AS rank, 0 AS idx, {q(LINK)} AS source, CAST(NULL AS BIGINT) AS width, "
+            f"CAST(NULL AS BIGINT) AS height, {NO_GROUP} AS grp)"
+        )
+        cands = f"concat(cands, CASE WHEN sheet_href IS NOT NULL THEN array({link}) ELSE array() END)"
     rows = els.selectExpr(
         "page_id", "size_cap_hit", "base", "frag", "pos", "own_no", "lazy_no", "sized_meta", "session_w",
-        "session_h", "style_open", f"{'inline_outer' if keep_all_pages else 'inline'}(cands)",
+        "session_h", "style_open", f"{'inline_outer' if keep_all_pages else 'inline'}({cands})",
     )
     rows = rows.filter("source IS NULL OR source <> 'style-block' OR style_open")
     number = f"CASE grp WHEN {OWN_GROUP} THEN own_no WHEN {LAZY_GROUP} THEN lazy_no END"
@@ -190,20 +201,21 @@ def html_candidates(els: DataFrame, keep_all_pages: bool = False) -> DataFrame:
 
 
 def raw_candidates(
-    pages: DataFrame, raw_cap: int | None = None, keep_all_pages: bool = False, **budgets
+    pages: DataFrame, raw_cap: int | None = None, keep_all_pages: bool = False, links: bool = False, **budgets
 ) -> DataFrame:
     """Candidates in document order with ``seq``; with a ``raw_cap`` only the first ones of a page are kept.
 
-    ``hit_raw_cap`` tells whether the page had more. ``base`` is the resolved document base.
+    ``hit_raw_cap`` tells whether the page had more. ``base`` is the resolved document base. With ``links`` the page's
+    style sheet links follow as rows with the source ``LINK``, numbered from 1.
     """
     els = page_elements(pages, keep_all_pages=keep_all_pages, **budgets)
-    rows = html_candidates(els, keep_all_pages)
+    rows = html_candidates(els, keep_all_pages, links)
     # Rows without a candidate only mark their page: they sort last and one of them stays.
-    order = "OVER (PARTITION BY page_id ORDER BY raw IS NULL, frag, pos, rank, idx)"
-    rows = rows.selectExpr("*", f"CAST(row_number() {order} AS BIGINT) AS seq")
-    n_raw = "max(CASE WHEN raw IS NOT NULL THEN seq END) OVER (PARTITION BY page_id)"
-    rows = rows.selectExpr("*", f"coalesce({n_raw}, 0L) AS n_raw")
-    rows = rows.filter(f"CASE WHEN raw IS NULL THEN seq = n_raw + 1 ELSE {'true' if raw_cap is None else f'seq <= {raw_cap}'} END")
+    kind = f"CASE WHEN raw IS NULL THEN 2 WHEN source = {q(LINK)} THEN 1 ELSE 0 END"
+    rows = rows.selectExpr("*", f"{kind} AS kind")
+    rows = rows.selectExpr("*", "CAST(row_number() OVER (PARTITION BY page_id, kind ORDER BY frag, pos, rank, idx) AS BIGINT) AS seq")
+    rows = rows.selectExpr("*", "max(CASE WHEN kind = 0 THEN seq ELSE 0L END) OVER (PARTITION BY page_id) AS n_raw")
+    rows = rows.filter(f"CASE kind WHEN 2 THEN seq = 1 WHEN 1 THEN true ELSE {'true' if raw_cap is None else f'seq <= {raw_cap}'} END")
     return rows.selectExpr(
         "page_id", "size_cap_hit", "base", "seq", "raw", "source", "width", "height", "variant_group",
         "false AS hit_raw_cap" if raw_cap is None else f"n_raw > {raw_cap} AS hit_raw_cap",

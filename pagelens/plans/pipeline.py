@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import values as V
 from ..functions.sqltext import q
 from ..functions.urls import split_absolute, with_resolved
-from ..operators import candidates as C, manifest as M, policy as P, tokens as T
+from ..operators import candidates as C, manifest as M, policy as P, tokens as T, view as VW
 from ..operators.skew import join_dimension
+from ..sources.shared import persist
 
 
 def admitted_pages(
@@ -56,20 +57,28 @@ def candidates_with_sheets(
     max_sheets: int | None = None, **budgets,
 ) -> DataFrame:
     """Raw candidates of the document followed by those of its style sheets."""
-    cands = C.raw_candidates(pages, raw_cap, keep_all_pages, **budgets)
     if sheets is None:
-        return cands
-    # A second pass over the pages finds the links; only link tags reach its shuffle.
-    extra = stylesheet_candidates(C.page_elements(pages), sheets, max_sheets)
-    base = "named_struct('scheme', '', 'authority', '', 'path', '', 'query', '')"
-    # Sheet URLs are absolute already; they follow all document candidates, in sheet order.
-    extra = extra.selectExpr(
-        "page_id", "false AS size_cap_hit", f"CAST({base} AS {cands.schema['base'].dataType.simpleString()}) AS base",
-        "1000000000000L + CAST(sheet_no AS BIGINT) * 100000000L + i AS seq", "raw", f"{q('stylesheet')} AS source",
-        "CAST(NULL AS BIGINT) AS width", "CAST(NULL AS BIGINT) AS height", "CAST(NULL AS STRING) AS variant_group",
-        "false AS hit_raw_cap",
+        return C.raw_candidates(pages, raw_cap, keep_all_pages, **budgets)
+    # Links are found in the same pass as the candidates and turned into their sheets' images where they stand.
+    rows = C.raw_candidates(pages, raw_cap, keep_all_pages, links=True, **budgets)
+    is_link = f"coalesce(source = {q(C.LINK)}, false)"
+    if max_sheets is not None:
+        rows = rows.filter(f"NOT {is_link} OR seq <= {max_sheets}")
+    rows = with_resolved(rows.selectExpr("*", f"CASE WHEN {is_link} THEN raw ELSE '' END AS _href"), "_href", "base", "sheet_url", sort=False).drop("_href")
+    rows = P.admit(rows, "sheet_url")
+    # Other rows get keys of their own, so that they are spread as by page.
+    rows = rows.selectExpr("*", f"CASE WHEN {is_link} AND ok THEN sheet_url ELSE concat('page ', page_id) END AS _key")
+    rows = join_dimension(rows, sheet_images(sheets).withColumnRenamed("sheet_url", "_key"), ["_key"])
+    image = "named_struct('i', CAST(NULL AS INT), 'image', CAST(NULL AS STRING))"
+    rows = rows.filter(f"NOT {is_link} OR urls IS NOT NULL" if not keep_all_pages else "true").selectExpr(
+        "*", f"inline(CASE WHEN {is_link} AND urls IS NOT NULL THEN transform(urls, (u_, i_) -> named_struct('i', i_, 'image', u_)) ELSE array({image}) END)"
+    )
+    # A link without images only marks its page. Sheet URLs are absolute already; they follow all document candidates, in sheet order.
+    return rows.selectExpr(
+        "page_id", "size_cap_hit", "base", f"CASE WHEN {is_link} THEN 1000000000000L + seq * 100000000L + coalesce(i, 0) ELSE seq END AS seq",
+        f"CASE WHEN {is_link} THEN image ELSE raw END AS raw", f"CASE WHEN {is_link} THEN {q('stylesheet')} ELSE source END AS source",
+        "width", "height", "variant_group", "hit_raw_cap",
     )
-    return cands.unionByName(extra)
 
 
 def extract_manifest(
@@ -89,8 +98,33 @@ def extract_manifest(
 
 
 def scan_pages(
-    pages: DataFrame, raw_cap: int | None = None, max_units: int | None = None, sheets: DataFrame | None = None, **cap
+    pages: DataFrame, raw_cap: int | None = None, max_units: int | None = None, sheets: DataFrame | None = None,
+    max_bytes: int | None = None, max_sheets: int | None = None, max_data_uri: int | None = None, **budgets,
 ) -> DataFrame:
-    """One row per page, empty ones included: images (style sheets' too, if given) and what the limits cut."""
-    rows = candidates_with_sheets(T.cap_pages(pages, **cap), sheets, raw_cap, keep_all_pages=True)
-    return M.page_scan(M.admitted_candidates(rows, max_units))
+    """One row per page, empty ones included: images (style sheets' too, if given) and whether they were cut.
+
+    Takes the limits of ``extract_manifest`` and ``max_bytes`` of a page. A cut page (``size-cap``) and cut images
+    (``image-cap``) are flagged; the other limits leave candidates out without a flag.
+    """
+    rows = candidates_with_sheets(T.cap_pages(pages, max_bytes), sheets, raw_cap, keep_all_pages=True, max_sheets=max_sheets, max_data_uri=max_data_uri, **budgets)
+    return M.page_scan(M.admitted_candidates(rows, max_units, max_data_uri))
+
+
+def scan_status(
+    pages: DataFrame, robots: DataFrame | None = None, blocklist: DataFrame | None = None, agent: str = "pagelens", **options
+) -> DataFrame:
+    """``page_id, n_images, truncated, status`` of every page, policy first.
+
+    Verdicts come from ``url`` alone; only admitted pages that robots allow are joined with their text and tokenized.
+    The others have no images and the status ``error`` or ``robots-blocked``. ``options`` go to ``scan_pages``.
+    """
+    verdicts = P.admit(pages.select("page_id", "url")).selectExpr("page_id", "url", "reason AS error_code")
+    if blocklist is not None:
+        passed = P.without_blocked(verdicts, P.blocklist_entries(blocklist)).select("page_id", F.lit(True).alias("passed"))
+        verdicts = verdicts.join(passed, "page_id", "left").selectExpr("page_id", "url", "coalesce(error_code, CASE WHEN passed IS NULL THEN 'domain-blocked' END) AS error_code")
+    verdicts = verdicts.withColumn("robots_allowed", F.lit(True)) if robots is None else P.robots_verdicts(verdicts, P.robots_rules(robots, agent))
+    verdicts = persist(verdicts.select("page_id", "error_code", "robots_allowed"), "verdicts")
+    allowed = verdicts.filter("error_code IS NULL AND robots_allowed").select("page_id")
+    scan = scan_pages(pages.join(allowed, "page_id", "left_semi"), **options).select("page_id", "n_images", "truncated")
+    rows = verdicts.join(scan, "page_id", "left").withColumn("n_images", F.expr("coalesce(n_images, 0L)"))
+    return VW.page_status(rows).select("page_id", "n_images", "truncated", "status")

@@ -49,7 +49,7 @@ def sheets(s, d):
 
 
 add("scan_stylesheets",
-    lambda s, d: C.stylesheet_links(C.page_elements(crawl(s, d))).join(sheets(s, d), "sheet_url", "left").selectExpr(
+    lambda s, d: C.stylesheet_links(C.page_elements(crawl(s, d)), 3).join(sheets(s, d), "sheet_url", "left").selectExpr(
         "page_id", "CAST(sheet_no AS BIGINT) AS sheet_no", "sheet_url",
         "coalesce(status BETWEEN 200 AND 299, false) AS usable"),
     ELS + f""", {SHEETS_SQL}, {LINKS_SQL} SELECT page_id, sheet_no, sheet_url, coalesce(status BETWEEN 200 AND 299, false) AS usable
@@ -112,11 +112,11 @@ sheet_urls AS (SELECT sheet_url, 1 AS ix, {O.resolve("regexp_extract(css, 'url[(
   UNION ALL SELECT sheet_url, 2, {O.resolve("regexp_extract(css, 'image-set[(].([^ ]*). 1x', 1)", 'final_url')} FROM sheets WHERE status = 200),
 sheet_cands AS (SELECT l.page_id, l.sheet_no, u.ix, u.raw FROM links l JOIN sheet_urls u USING (sheet_url) WHERE sheet_no <= 3)"""
 add("x_stylesheet",
-    lambda s, d: P.stylesheet_candidates(C.page_elements(crawl(s, d)), sheets(s, d)).selectExpr(
+    lambda s, d: P.stylesheet_candidates(C.page_elements(crawl(s, d)), sheets(s, d), 3).selectExpr(
         "page_id", "CAST(sheet_no AS BIGINT) AS sheet_no", "CAST(i + 1 AS BIGINT) AS ix", "raw"),
     ELS + f", {SHEET_CANDS_SQL} SELECT page_id, sheet_no, CAST(ix AS BIGINT) AS ix, raw FROM sheet_cands")
 add("join_sheets",
-    lambda s, d: P.stylesheet_candidates(C.page_elements(crawl(s, d)), sheets(s, d)).groupBy("page_id").agg(
+    lambda s, d: P.stylesheet_candidates(C.page_elements(crawl(s, d)), sheets(s, d), 3).groupBy("page_id").agg(
         F.count("*").alias("n"), F.count_distinct("sheet_no").alias("n_sheets")),
     ELS + f", {SHEET_CANDS_SQL} SELECT page_id, count(*) AS n, count(DISTINCT sheet_no) AS n_sheets FROM sheet_cands GROUP BY page_id")
 add("raw_candidates", lambda s, d: C.raw_candidates(crawl(s, d)).select(*CAND_COLS),
@@ -134,7 +134,7 @@ add("set_union_sources",
 # -- manifest ----------------------------------------------------------------------------------
 add("manifest", lambda s, d: P.extract_manifest(crawl(s, d)), MAN + f"SELECT {COLS} FROM man")
 add("manifest_with_sheets",
-    lambda s, d: P.extract_manifest(crawl(s, d), sheets(s, d)).drop("id"),
+    lambda s, d: P.extract_manifest(crawl(s, d), sheets(s, d), max_sheets=3).drop("id"),
     CANDS + f""", {SHEET_CANDS_SQL}, all_cands AS (SELECT page_id, seq, raw, source, width, height, variant_group FROM cands
       UNION ALL SELECT page_id, 1000000 + sheet_no * 1000 + ix, raw, 'stylesheet', NULL, NULL, NULL FROM sheet_cands),
     {O.manifest_cte('all_cands', with_id=False)} SELECT {COLS.replace('id, url', 'url', 1) if False else COLS.replace(' id,', '')} FROM man""")

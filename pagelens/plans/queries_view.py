@@ -13,7 +13,7 @@ from ..sources import derived as D
 from ..sources.image_files import image_prefixes, write_image_files
 from ..sources.shared import shared_folder
 from . import oracle_base as O, pipeline as PL
-from .queries_extract import MAN
+from .queries_extract import MAN, SHEET_CANDS_SQL, sheets
 from .queries_policy import AGENT, VERDICT_SQL, robots
 from .registry import add, crawl, ids, man, selection
 
@@ -22,6 +22,11 @@ FMT, GRP, QUERY = ["webp", "png"], ["page"], "hero"
 G = O.GROUPS
 
 
+def audited_pages(s, d):
+    """The crawl, with some pages at an address that admission rejects."""
+    return crawl(s, d).withColumn("url", F.expr("CASE WHEN page_id % 23 = 9 THEN 'http://10.0.0.' || page_id % 200 || '/' ELSE url END"))
+
+
 def listing(name, fn, where):
     add(name, lambda s, d: fn(man(s, d)).select("page_id", "doc_order", "url"), MAN + f"SELECT page_id, doc_order, url FROM man WHERE {where}")
 
@@ -186,24 +191,19 @@ over("measure_plan", lambda m: VW.measure_plan(VW.measure_todo(m, measured(m), "
      "SELECT page_id, count(*) AS n_todo, count(*) >= 10 AS warn FROM man ANTI JOIN measured USING (id) WHERE width IS NULL GROUP BY page_id")
 
 
-def scans(s, d):
-    """Scan outcome per page with policy verdicts, nothing cut."""
-    pages = crawl(s, d)
-    scan = PL.scan_pages(pages).select("page_id", "n_images", "truncated")
-    verdicts = P.robots_verdicts(P.admit(pages.select("page_id", "url")), P.robots_rules(robots(s, d), AGENT))
-    rows = scan.join(verdicts.selectExpr("page_id", "robots_allowed", "reason AS error_code"), "page_id")
-    rows = rows.withColumn("n_images", F.expr("CASE WHEN robots_allowed THEN n_images ELSE 0L END"))
-    return VW.page_status(rows).select("page_id", "n_images", "truncated", "status")
-
-
-add("page_status", scans,
-    f"""WITH {O.CANDIDATES}, {O.manifest_cte(with_id=False)}, {VERDICT_SQL},
-    per AS (SELECT c.page_id, (SELECT count(*) FROM man m WHERE m.page_id = c.page_id) AS n FROM crawl c)
-    SELECT page_id, CASE WHEN robots_allowed THEN n ELSE 0 END AS n_images, CAST(NULL AS VARCHAR) AS truncated,
-      CASE WHEN NOT robots_allowed THEN 'robots-blocked' WHEN n = 0 THEN 'empty' ELSE 'results' END AS status FROM per JOIN judged USING (page_id)""")
-add("page_scan", lambda s, d: PL.scan_pages(crawl(s, d)).select("page_id", "n_images", "truncated"),
-    f"""WITH {O.CANDIDATES}, {O.manifest_cte(with_id=False)}
-    SELECT c.page_id, (SELECT count(*) FROM man m WHERE m.page_id = c.page_id) AS n_images, CAST(NULL AS VARCHAR) AS truncated FROM crawl c""")
+CAP = 24
+SCAN_SQL = f"""{O.CANDIDATES}, {SHEET_CANDS_SQL.replace('WHERE sheet_no <= 3', 'WHERE true')}, all_cands AS (SELECT page_id, seq, raw, source, width, height, variant_group FROM cands
+    UNION ALL SELECT page_id, 1000000 + sheet_no * 1000 + ix, raw, 'stylesheet', NULL, NULL, NULL FROM sheet_cands), {O.manifest_cte('all_cands', max_units=CAP, with_id=False)},
+per AS (SELECT page_id, n_images, CASE WHEN units > {CAP} THEN 'image-cap' END AS truncated FROM (SELECT c.page_id, (SELECT count(*) FROM man m WHERE m.page_id = c.page_id) AS n_images,
+    (SELECT max(uno) FROM ranked r WHERE r.page_id = c.page_id) AS units FROM crawl c))"""
+# Scans count images of pages and their style sheets, and cut them at a number of units.
+add("page_status",
+    lambda s, d: PL.scan_status(audited_pages(s, d), robots(s, d), agent=AGENT, sheets=sheets(s, d), max_units=CAP),
+    f"""WITH {SCAN_SQL}, {VERDICT_SQL}
+    SELECT page_id, CASE WHEN robots_allowed AND page_id % 23 <> 9 THEN n_images ELSE 0 END AS n_images, CASE WHEN robots_allowed AND page_id % 23 <> 9 THEN truncated END AS truncated,
+      CASE WHEN page_id % 23 = 9 THEN 'error' WHEN NOT robots_allowed THEN 'robots-blocked' WHEN n_images = 0 THEN 'empty' ELSE 'results' END AS status FROM per JOIN judged USING (page_id)""")
+add("page_scan", lambda s, d: PL.scan_pages(crawl(s, d), sheets=sheets(s, d), max_units=CAP).select("page_id", "n_images", "truncated"),
+    f"WITH {SCAN_SQL} SELECT page_id, n_images, truncated FROM per")
 add("zero_result_sites",
     lambda s, d: D.read_pages(s, d).selectExpr("page_id", f"{url_host('url')} AS host").join(
         man(s, d).groupBy("page_id").agg(F.count("*").alias("n")), "page_id", "left").groupBy("host").agg(
