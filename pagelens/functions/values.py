@@ -127,10 +127,10 @@ def data_uri_bytes(url: str) -> str:
 
 def format_bytes(n: str) -> str:
     """Decimal units with one decimal, a trailing '.0' dropped."""
-    # Half-up on the double's exact value, as fixed-point formatting does.
+    # Rounded by the double's exact value, as fixed-point formatting does (1.65 is a little less); true ties go up.
     def scaled(divisor: str, unit: str) -> str:
-        value = f"CAST(round(CAST({n} / {divisor} AS DECIMAL(30, 15)), 1) AS DECIMAL(20, 1))"
-        return f"concat({sub(f'CAST({value} AS STRING)', r'\.0$', '')}, ' {unit}')"
+        text = f"transform(array({n} / {divisor}), v_ -> format_number(v_ + CASE WHEN v_ * 4 % 4 = 1 THEN 0.05D ELSE 0D END, '0.0'))[0]"
+        return f"concat({sub(text, r'\.0$', '')}, ' {unit}')"
 
     return (
         f"CASE WHEN {n} < 1000 THEN concat(CAST({n} AS STRING), ' B') "

@@ -138,22 +138,22 @@ add("manifest_with_sheets",
     CANDS + f""", {SHEET_CANDS_SQL}, all_cands AS (SELECT page_id, seq, raw, source, width, height, variant_group FROM cands
       UNION ALL SELECT page_id, 1000000 + sheet_no * 1000 + ix, raw, 'stylesheet', NULL, NULL, NULL FROM sheet_cands),
     {O.manifest_cte('all_cands', with_id=False)} SELECT {COLS.replace('id, url', 'url', 1) if False else COLS.replace(' id,', '')} FROM man""")
-add("f_image_id", lambda s, d: P.extract_manifest(crawl(s, d)).select("url", "id").distinct(),
+add("f_image_id", lambda s, d: man(s, d).select("url", "id").distinct(),
     MAN + "SELECT DISTINCT url, id FROM man")
 
 
 def element_scope(s, d):
-    els = C.page_elements(crawl(s, d)).filter("frag = 0")
+    els = C.page_elements(crawl(s, d))
     els = els.filter("picture_start OR picture_end OR takes_group OR exists(cands, c -> c.source = 'img')")
-    return els.groupBy("page_id").agg(
+    return els.groupBy("page_id", F.col("frag").cast("bigint").alias("frag")).agg(
         F.count_if("inside").alias("n_inside"), F.count_if("picture_start").alias("n_pictures"),
         F.max("picture_no").cast("bigint").alias("last_picture"))
 
 
 add("w_picture_scope", element_scope,
-    ELS + """SELECT page_id, count(*) FILTER (inside = 1 AND (tag IN ('picture', 'img', 'source'))) AS n_inside,
+    ELS + """SELECT page_id, frag, count(*) FILTER (inside = 1 AND (tag IN ('picture', 'img', 'source'))) AS n_inside,
       count(*) FILTER (tag = 'picture') AS n_pictures, CAST(max(pno) AS BIGINT) AS last_picture
-    FROM els WHERE frag = 0 GROUP BY page_id HAVING count(*) FILTER (tag IN ('picture', 'img', 'source')) > 0""")
+    FROM els GROUP BY page_id, frag HAVING count(*) FILTER (tag IN ('picture', 'img', 'source')) > 0""")
 add("w_variant_group",
     lambda s, d: C.html_candidates(C.page_elements(crawl(s, d))).filter("variant_group IS NOT NULL").groupBy("page_id", "variant_group").agg(
         F.count("*").alias("n"), F.min("raw").alias("first_raw"), F.max("raw").alias("last_raw")),
@@ -222,20 +222,30 @@ add("f_document_base",
         "page_id", "concat(base.scheme, '://', base.authority, base.path) AS base").distinct(),
     ELS + "SELECT page_id, regexp_replace(base, '[?#].*$', '') AS base FROM docs")
 add("f_parse_srcset",
-    lambda s, d: C.html_candidates(C.page_elements(crawl(s, d))).filter("source IN ('srcset', 'picture')").groupBy("source", "width").agg(
+    lambda s, d: C.html_candidates(C.page_elements(crawl(s, d))).filter("source IN ('srcset', 'picture', 'lazy')").groupBy("source", "width").agg(
         F.count("*").alias("n")),
-    CANDS + "SELECT source, width, count(*) AS n FROM cands WHERE source IN ('srcset', 'picture') GROUP BY ALL")
+    CANDS + "SELECT source, width, count(*) AS n FROM cands WHERE source IN ('srcset', 'picture', 'lazy') GROUP BY ALL")
 add("f_css_urls",
     lambda s, d: sheets(s, d).selectExpr("sheet_url", f"inline(transform({V.css_urls('css')}, (u, i) -> struct(CAST(i AS BIGINT) AS ix, u AS raw)))"),
     f"""WITH {SHEETS_SQL} SELECT sheet_url, 0 AS ix, regexp_extract(css, 'url[(]([^)]*)[)]', 1) AS raw FROM sheets
     UNION ALL SELECT sheet_url, 1, regexp_extract(css, 'image-set[(].([^ ]*). 1x', 1) FROM sheets""")
-_DIMS = "CASE page_id % 6 WHEN 0 THEN page_id || 'px' WHEN 1 THEN ' ' || page_id WHEN 2 THEN 'auto' WHEN 3 THEN '0' || page_id WHEN 4 THEN page_id || '%' ELSE cast(page_id as string) END"
-add("f_coerce_dim",
-    lambda s, d: D.read_pages(s, d).selectExpr("page_id", f"{_DIMS} AS v").selectExpr("page_id", f"{V.leading_int('v')} AS dim"),
-    f"SELECT page_id, nullif(TRY_CAST(nullif(regexp_extract(v, '^\\s*([0-9]+)', 1), '') AS BIGINT), 0) AS dim FROM (SELECT page_id, {_DIMS} AS v FROM pages)")
-add("f_int_attr",
-    lambda s, d: D.read_pages(s, d).selectExpr("page_id", f"{_DIMS} AS v").selectExpr("page_id", f"{V.int_attr('v')} AS dim"),
-    f"SELECT page_id, CASE WHEN regexp_matches(v, '^[0-9]+$') THEN nullif(CAST(v AS BIGINT), 0) END AS dim FROM (SELECT page_id, {_DIMS} AS v FROM pages)")
+# Widths and heights of all elements as written, table cells' odd ones included.
+SIDES_SQL = PLAIN + r""", attrs AS (SELECT tag, lower(unnest(regexp_extract_all(inner_text, '([a-zA-Z:-]+)="([^"]*)"', 1))) AS name,
+        unnest(regexp_extract_all(inner_text, '([a-zA-Z:-]+)="([^"]*)"', 2)) AS value
+      FROM (SELECT lower(regexp_extract(tok, '^<([a-zA-Z0-9]+)', 1)) AS tag,
+          regexp_extract(tok, '^<[a-zA-Z0-9]+((?:\s+[a-zA-Z:-]+="[^"]*")*)', 1) AS inner_text FROM tok0 WHERE regexp_matches(tok, '^<[a-zA-Z]'))),
+sides AS (SELECT tag, value, count(*) AS n FROM attrs WHERE name IN ('width', 'height') GROUP BY ALL)"""
+
+
+def sides(s, d):
+    attrs = T.token_attributes(crawl(s, d)).filter("name IN ('width', 'height')")
+    return attrs.groupBy("tag", "value").agg(F.count("*").alias("n"))
+
+
+add("f_coerce_dim", lambda s, d: sides(s, d).selectExpr("tag", "value", "n", f"{V.leading_int('value')} AS dim"),
+    SIDES_SQL + " SELECT tag, value, n, nullif(TRY_CAST(nullif(regexp_extract(value, '^\\s*([0-9]+)', 1), '') AS BIGINT), 0) AS dim FROM sides")
+add("f_int_attr", lambda s, d: sides(s, d).selectExpr("tag", "value", "n", f"{V.int_attr('value')} AS dim"),
+    SIDES_SQL + " SELECT tag, value, n, CASE WHEN regexp_matches(value, '^[0-9]+$') THEN nullif(CAST(value AS BIGINT), 0) END AS dim FROM sides")
 add("f_ext_path",
     lambda s, d: man(s, d).filter("NOT startswith(url, 'data:')").groupBy(F.expr(url_host("url")).alias("host"), "ext").agg(F.count("*").alias("n")),
     MAN + "SELECT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, ext, count(*) AS n FROM man WHERE url NOT LIKE 'data:%' GROUP BY ALL")
@@ -259,12 +269,6 @@ add("f_data_uri_bytes",
     lambda s, d: man(s, d).filter("startswith(url, 'data:')").selectExpr("page_id", "doc_order", f"{V.data_uri_bytes('url')} AS bytes"),
     MAN + """SELECT page_id, doc_order, CASE WHEN url LIKE '%;base64,%' THEN CAST(octet_length(from_base64(split_part(url, ',', 2))) AS BIGINT)
       ELSE strlen(url_decode(substring(url, strpos(url, ',') + 1))) END AS bytes FROM man WHERE url LIKE 'data:%'""")
-add("f_format_bytes",
-    lambda s, d: D.read_pages(s, d).selectExpr("page_id", "CAST(length(html) AS BIGINT) * page_id * 37 AS n").selectExpr("page_id", f"{V.format_bytes('n')} AS size"),
-    """SELECT page_id, CASE WHEN n < 1000 THEN n || ' B' ELSE regexp_replace(printf('%.1f', n / u), '[.]0$', '') ||
-        CASE u WHEN 1e9 THEN ' GB' WHEN 1e6 THEN ' MB' ELSE ' KB' END END AS size
-    FROM (SELECT page_id, n, CASE WHEN n >= 1e9 THEN 1e9::DOUBLE WHEN n >= 1e6 THEN 1e6::DOUBLE ELSE 1e3::DOUBLE END AS u FROM (
-      SELECT page_id, length(html) * page_id * 37 AS n FROM pages))""")
 add("f_format_label",
     lambda s, d: man(s, d).groupBy("ext", F.expr(V.format_label("ext")).alias("label")).agg(F.count("*").alias("n")),
     MAN + "SELECT ext, CASE ext WHEN 'jpeg' THEN 'JPG' ELSE upper(ext) END AS label, count(*) AS n FROM man GROUP BY ALL")

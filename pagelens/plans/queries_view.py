@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..constants import SAVED_FILTERS, SKIP_FOOTNOTES
+from ..functions import values as V
 from ..functions.urls import url_host
 from ..operators import bundle as B, coverage as K, enrich as E, policy as P, view as VW
 from ..sources import derived as D
@@ -204,6 +205,19 @@ add("page_status",
       CASE WHEN page_id % 23 = 9 THEN 'error' WHEN NOT robots_allowed THEN 'robots-blocked' WHEN n_images = 0 THEN 'empty' ELSE 'results' END AS status FROM per JOIN judged USING (page_id)""")
 add("page_scan", lambda s, d: PL.scan_pages(crawl(s, d), sheets=sheets(s, d), max_units=CAP).select("page_id", "n_images", "truncated"),
     f"WITH {SCAN_SQL} SELECT page_id, n_images, truncated FROM per")
+
+
+def corpus_units(s, d):
+    """Distinct images and pages by format: sketches per site, united for the corpus, beside the exact counts."""
+    m = man(s, d).join(D.read_pages(s, d).selectExpr("page_id", f"{url_host('url')} AS site"), "page_id")
+    told = VW.united_sketches(VW.unit_sketches(m, ["site", "ext"]), ["ext"])
+    exact = m.groupBy("ext").agg(F.count_distinct("id").alias("images"), F.count_distinct("page_id").alias("pages"))
+    near = lambda c: f"abs(approx_{c} - {c}) <= {VW.SKETCH_ERROR} * {c} AS {c}_near"
+    return told.join(exact, "ext").selectExpr("ext", "images", "pages", near("images"), near("pages"))
+
+
+add("facet_corpus_sketches", corpus_units,
+    MAN + "SELECT ext, count(DISTINCT id) AS images, count(DISTINCT page_id) AS pages, true AS images_near, true AS pages_near FROM man GROUP BY ext")
 add("zero_result_sites",
     lambda s, d: D.read_pages(s, d).selectExpr("page_id", f"{url_host('url')} AS host").join(
         man(s, d).groupBy("page_id").agg(F.count("*").alias("n")), "page_id", "left").groupBy("host").agg(
@@ -271,6 +285,14 @@ add("size_summary",
     + ", ".join(f"count(*) FILTER (st = '{x}') AS {x}_count" for x in ("known", "unknown", "pending", "unprobed"))
     + " FROM st GROUP BY page_id")
 
+add("f_format_bytes",
+    lambda s, d: E.size_summary(VW.selected_images(E.with_sizes(man(s, d), sizes(man(s, d))), selection(man(s, d))), pending(man(s, d))).selectExpr(
+        "page_id", "known_bytes", f"{V.format_bytes('known_bytes')} AS size"),
+    MAN + f""", {SUMMARY}, totals AS (SELECT page_id, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS n FROM st GROUP BY page_id)
+    SELECT page_id, n AS known_bytes, CASE WHEN n < 1000 THEN n || ' B' ELSE regexp_replace(printf('%.1f', n / u + CASE WHEN n / u * 4 % 4 = 1 THEN 0.05 ELSE 0 END), '[.]0$', '') ||
+        CASE u WHEN 1e9 THEN ' GB' WHEN 1e6 THEN ' MB' ELSE ' KB' END END AS size
+    FROM (SELECT page_id, n, CASE WHEN n >= 1e9 THEN 1e9::DOUBLE WHEN n >= 1e6 THEN 1e6::DOUBLE ELSE 1e3::DOUBLE END AS u FROM totals)""")
+
 # -- bundles -----------------------------------------------------------------------------------
 results = lambda m: B.outcomes(E.classify(responses(m)))
 RESULT = f"""{RESP}, res AS (SELECT *, CASE WHEN canceled THEN 'canceled' WHEN url LIKE 'data:%' THEN 'written' ELSE CASE doc_order % 8 WHEN 2 THEN 'http-403'

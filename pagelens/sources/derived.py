@@ -37,6 +37,7 @@ THIRD = (
     '<svg viewbox="0 0 {m} 9"><g><circle r="2"/></g><text>a&b</text></svg>'
     '<svg><title/><path d="M{m} 0"/></svg><img src="/after/title-{m}.png">'
     '<svg><style/><g><script/></g></svg><img src="/after/style-{p}.png">'
+    '<table><tr><td width="{m}px" height="0{p}">x</td><td width=" {p}" height="auto">y</td><td width="{m}%" height="{p}">z</td></tr></table>'
     '<img data-srcset="/z/{m}-s.jpg 320w, /z/{m}-l.jpg 640w" width="640" height="480">'
 )
 # Only on every fourth page: a product grid.

@@ -208,3 +208,18 @@ def test_foreign_content_has_its_own_grammar(manifests):
     assert images("svg_left") == ["a.png", "b.png"]
     assert images("svg_html_inside") == ["a.png", "b.png"]
     assert images("svg_cdata") == ["a.png"]
+
+
+def test_scan_takes_every_limit_and_reads_policy_first(spark):
+    sheet = spark.createDataFrame([(f"https://museum.example/s{k}.css", f"https://museum.example/s{k}.css", 200, f"a{{background:url(i{k}.png)}}") for k in (1, 2)], "sheet_url string, final_url string, status int, css string")
+    html = '<link rel=stylesheet href=/s1.css><link rel=stylesheet href=/s2.css><img src=a.png><img src=b.png><style>x{background:url(c.png)}</style>'
+    pages = spark.createDataFrame([(1, BASE, html), (2, "http://10.0.0.1/", html), (3, "https://museum.example/no/x", html), (4, "https://museum.example/e", "<p>")], "page_id bigint, url string, html string")
+    count = lambda **o: {r.page_id: (r.n_images, r.truncated) for r in P.scan_pages(pages, sheets=sheet, **o).select("page_id", "n_images", "truncated").collect()}[1]
+    assert count() == (5, None) and count(max_sheets=1) == (4, None) and count(style_budget=0) == (4, None) and count(max_units=3) == (3, "image-cap")
+    assert count(max_bytes=len(html) - 60)[1] == "size-cap" and count(raw_cap=1) == (3, "image-cap")
+    robots = spark.createDataFrame([("https://museum.example", 200, "User-agent: *\nDisallow: /no/")], "origin string, status int, body string")
+    got = {r.page_id: (r.n_images, r.status) for r in P.scan_status(pages, robots, sheets=sheet).collect()}
+    assert got == {1: (5, "results"), 2: (0, "error"), 3: (0, "robots-blocked"), 4: (0, "empty")}
+    # Only joined rows are tokenized: the join with the verdicts stands below the tokenizer in the plan.
+    plan = P.scan_status(pages, robots)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all(html") < plan.index("Join LeftSemi")

@@ -23,8 +23,8 @@ def test_srcset_and_css(spark):
 
 
 def test_format_bytes(spark):
-    got = many(spark, lambda c: V.format_bytes(f"CAST({c} AS BIGINT)"), ["0", "999", "1000", "1949", "2000000", "15500000000"])
-    assert got == ["0 B", "999 B", "1 KB", "1.9 KB", "2 MB", "15.5 GB"]
+    got = many(spark, lambda c: V.format_bytes(f"CAST({c} AS BIGINT)"), ["0", "999", "1000", "1949", "2000000", "15500000000", "1650000", "1250", "1350", "1999950"])
+    assert got == ["0 B", "999 B", "1 KB", "1.9 KB", "2 MB", "15.5 GB", "1.6 MB", "1.3 KB", "1.4 KB", "2 MB"]
 
 
 def test_data_uri_bytes(spark):
@@ -238,3 +238,13 @@ def test_canonical_hosts_in_resolved_urls(spark):
              "http://1.2.3.4.5/": None, "http://a%20b/": None, "http://１２７.1:8080": "http://127.0.0.1:8080/", "//09/": None}
     df = spark.createDataFrame([(k,) for k in cases], "raw string").selectExpr("raw", f"{U.split_absolute('''concat('https://s.example/p/', '')''')} AS base")
     assert {r.raw: r.u for r in U.with_resolved(df, "raw", "base", "u").collect()} == cases
+
+
+def test_united_sketches_equal_one_pass(spark):
+    m = spark.range(60_000).selectExpr("cast(pmod(hash(id), 40000) AS string) AS id", "id % 7000 AS page_id", "id % 9 AS site", "id % 2 AS ext")
+    parts = VW.united_sketches(VW.unit_sketches(m, ["site", "ext"]), ["ext"])
+    whole = VW.united_sketches(VW.unit_sketches(m, ["ext"]), ["ext"])
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect()))
+    for r in parts.collect():
+        n = m.filter(f"ext = {r.ext}").select("id").distinct().count()
+        assert abs(r.approx_images - n) <= VW.SKETCH_ERROR * n and abs(r.approx_pages - 3500) <= VW.SKETCH_ERROR * 3500
