@@ -84,7 +84,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("text", F.coalesce("text", F.lit("")))
 
 
-ORACLE["op8_line_dedup"] = f"SELECT doc_id, coalesce(text, '') AS text, n_chunks, n_removed FROM ({LINE_DEDUP_SQL})"
+ORACLE["op8_line_dedup"] = f"SELECT doc_id, coalesce(text, '') AS text, n_lines, n_removed FROM ({LINE_DEDUP_SQL})"
 
 
 @query

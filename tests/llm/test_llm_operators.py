@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import pathlib
+import random
 import re
 import zlib
 
@@ -283,13 +284,36 @@ def test_line_dedup_takes_repeated_blocks_only(spark, odd, none):
     own = lambda k: "\n".join(f"own line {k} {i}" for i in range(6))
     df = spark.createDataFrame([(i, f"{own(i)}\n{block}\n{own(i + 50)}") for i in range(1, 5)], "doc_id bigint, text string")
     got = {r.doc_id: r for r in L.line_dedup(df).collect()}
-    assert got[1].n_removed == 0 and got[1].text == df.filter("doc_id = 1").first().text
+    assert got[1].n_removed == 0 and got[1].n_lines == 24 and got[1].text == df.filter("doc_id = 1").first().text
     for i in (2, 3, 4):
-        lines = got[i].text.split("\n")
-        assert got[i].n_removed > 0 and all(x in lines for x in (own(i) + "\n" + own(i + 50)).split("\n")) and sum("shared" in x for x in lines) <= 6
+        assert got[i].n_removed == 12 and got[i].text == own(i) + "\n" + own(i + 50)
     rows = L.line_dedup(odd).collect()
     assert len(rows) == odd.count() and [r.text for r in rows if r.doc_id == 3] == [None] and {r.text for r in rows if r.doc_id == 4} == {""}
-    assert L.line_dedup(none).count() == 0 and set(L.line_dedup(none).columns) == {*odd.columns, "n_chunks", "n_removed"}
+    assert L.line_dedup(none).count() == 0 and set(L.line_dedup(none).columns) == {*odd.columns, "n_lines", "n_removed"}
+
+
+def test_line_dedup_finds_passages_between_any_lines(spark):
+    # Passages of over 50 words in two to five lines, each between lines of the document's own: every copy but the first goes.
+    rng = random.Random(5)
+    line = lambda name, words: " ".join(f"{name}w{j}" for j in range(words))
+    passages = [[line(f"p{k}l{i}", rng.choice([18, 24, 30, 60])) for i in range(rng.randint(3, 5))] for k in range(12)]
+    rows, left = [], {}
+    for n in range(60):
+        k = n % len(passages)
+        around = [line(f"d{n}a{i}", rng.randint(1, 30)) for i in range(6)]
+        cut = rng.randint(0, 6)
+        rows.append((n, "\n".join(around[:cut] + passages[k] + around[cut:])))
+        left[n] = rows[-1][1] if n < len(passages) else "\n".join(around)
+    got = {r.doc_id: r.text for r in L.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == left
+
+
+def test_line_dedup_leaves_single_short_lines_and_keeps_a_first_copy(spark):
+    rows = [(1, "a b c\none\nd e"), (2, "f\na b c\ng"), (3, "x y\nx y\nx y\nx y"), (None, "n1\nn2\nn3"), (4, "n1\nn2\nn3"), (5, " \n\n "), (6, " \n\n "), (7, ""), (7, "")]
+    got = [(r.doc_id, r.text) for r in L.line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    text = dict(got)
+    assert len(got) == len(rows) and text[1] == rows[0][1] and text[2] == rows[1][1] and text[None] == rows[3][1] and text[4] == ""
+    assert text[5] == text[6] == rows[5][1] and text[7] == "" and "x y" in text[3]
 
 
 # Language ID

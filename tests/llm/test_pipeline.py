@@ -12,7 +12,7 @@ from pagelens.llm.language_id import in_declared_language
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-CLASH = ["n_removed", "n_chunks", "n_values", "host", "rest", "doc", "body", "slot", "rep", "key", "root", "units", "items"]
+CLASH = ["n_removed", "n_chunks", "n_lines", "gone", "lines", "n_values", "host", "rest", "doc", "body", "slot", "rep", "key", "root", "units", "items"]
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in CLASH)
 
 
@@ -20,39 +20,48 @@ def lower(text):
     return re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
 
 
-def chunks(text):
-    lines = text.split("\n")
+def chunks(lines):
+    """Beginnings and ends of the chunks of a text's lines."""
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
     roll = [md5(md5("" if i == 0 else lines[i - 1]) + md5(x)) for i, x in enumerate(lines)]
-    wide = [x.count(" ") + 1 >= 50 for x in lines]
-    out, now = [], []
-    for i, x in enumerate(lines):
-        now.append(x)
+    wide = [x.count(" ") + 1 >= 16 for x in lines]
+    out, low = [], 0
+    for i in range(len(lines)):
         last = i + 1 == len(lines)
         if last or wide[i] or wide[i + 1] or (i == 0 or roll[i] < roll[i - 1]) and roll[i] < roll[i + 1]:
-            out.append("\n".join(now))
-            now = []
+            out.append((low, i + 1))
+            low = i + 1
     return out
 
 
 def plain_lines(rows):
-    seen, out = set(), []
+    """Each chunk but the first of its text, extended within its neighbours, line by line."""
+    first, out = {}, []
     for r in sorted(rows, key=lambda r: r["doc_id"]):
         if r["text"] is None:
             out.append(r)
             continue
-        kept, removed = [], 0
-        for c in chunks(r["text"]):
-            eligible = c.count(" ") + 1 >= 50 and c.strip(" ") or sum(x.strip(" ") != "" for x in c.split("\n")) >= 2
-            if eligible and c in seen:
-                removed += 1
+        lines = r["text"].split("\n")
+        at, gone = chunks(lines), set()
+        for k, (low, high) in enumerate(at):
+            before = lines[at[max(0, k - 2)][0] : low]
+            after = lines[high : at[k + 1][1]] if k + 1 < len(at) else []
+            chunk = tuple(lines[low:high])
+            if all(x.strip(" ") == "" for x in chunk):
                 continue
-            kept.append(c)
-            if eligible:
-                seen.add(c)
-        text = "\n".join(kept)
-        if not removed or text.strip(" "):
-            out.append({**r, "text": text if removed else r["text"], "n_chars": len(text) if removed else r["n_chars"]})
+            if chunk not in first:
+                first[chunk] = before, after
+                continue
+            while low > at[k][0] - len(before) and (n := at[k][0] - low + 1) <= len(first[chunk][0]) and lines[low - 1] == first[chunk][0][-n]:
+                low -= 1
+            while (n := high - at[k][1]) < min(len(after), len(first[chunk][1])) and lines[high] == first[chunk][1][n]:
+                high += 1
+            run = lines[low:high]
+            if sum(x.strip(" ") != "" for x in run) >= 2 or "\n".join(run).count(" ") + 1 >= 50:
+                gone |= set(range(low, high))
+        text = "\n".join(x for i, x in enumerate(lines) if i not in gone)
+        if not gone or text.strip(" "):
+            out.append({**r, "text": text if gone else r["text"], "n_chars": len(text) if gone else r["n_chars"]})
     return out
 
 
@@ -97,6 +106,9 @@ def folder(spark, tmp_path_factory):
     shared = "\n".join(" ".join(f"l{i}x{j}" for j in range(12)) for i in range(14))
     rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in real]
     rows += [(5000 + i, f"own{i} line {i}\n{shared}\nend{i} of {i} text", "en", None, None) for i in range(6)]
+    short = ["a passage of two lines that many share and that has more", "than sixteen words in one of its lines so that it is a chunk by itself always"]
+    rows += [(5050 + i, "\n".join([f"own {i} {j}" for j in range(i % 4)] + short + [f"end {i} {j}" for j in range(i % 3)]), "en", "s", 7) for i in range(8)]
+    rows += [(5070 + i, f"alone {i}\n{short[1]}\nother {i}", "en", "s", 7) for i in range(2)]
     rows += [(5100 + i, " ".join(f"n{j if rng.random() > 0.01 * i else -i}" for j in range(200)), "de", "s", 5) for i in range(8)]
     rows += [(5200, f"a b c {items[0]} d", "en", "s", 1), (5201, " ".join(f"c{j}" for j in range(600)) + " " + items[1][:60], "en", "s", 1), (5202, "Short, ITEM", "en", "s", 1)]
     rows += [(5300, None, None, None, None), (5301, "", "en", "s", 0), (5302, " \n\t", "en", "s", 3), (5303, "ß" * 30_000 + "\n" + "word " * 30_000, None, "s", 9)]
