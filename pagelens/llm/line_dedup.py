@@ -62,7 +62,7 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", long
 
     # Digests of all chunks: no text is shuffled here.
     light = chunked(wrapped.select("doc", "body", "text"), own_words).select("doc", "body", F.posexplode("chunks").alias("at", "chunk")).filter(r"chunk RLIKE '[^ \n]'")
-    light = light.select("doc", "body", "at", F.md5("chunk").alias("digest"))
+    light = light.select("doc", "body", "at", F.unhex(F.md5("chunk")).alias("digest"))
     repeated = light.groupBy("digest").agg(F.min(F.struct("doc", "body", "at")).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     places = light.join(repeated, "digest").select("doc", "body", "at", "digest", F.expr("struct(doc, body, at) <=> first").alias("is_first")).distinct()
     marked = places.groupBy("doc", "body").agg(F.collect_list(F.struct("at", "digest", "is_first")).alias("marks"))
