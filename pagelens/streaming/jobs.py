@@ -15,12 +15,11 @@ from ..constants import RATE_WINDOW_MS
 from ..sources import derived as D
 from ..sources.shared import shared_folder
 
-# File streams list a folder of like files; the given tables lie side by side, hence the name filter.
-
-
 def table_stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    """The table as a file stream, whether it is one file or a folder of them."""
+    path = f"{sf_dir}/{table}.parquet"
+    # A plain path must be a folder; a pattern is listed first and takes both.
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path.removesuffix("t") + "[t]")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
