@@ -11,7 +11,7 @@ from ..functions import values as V
 from ..functions.urls import url_host
 from ..operators import bundle as B, coverage as K, enrich as E, policy as P, view as VW
 from ..sources import derived as D
-from ..sources.image_files import image_prefixes, write_image_files
+from ..sources.image_files import image_prefixes, write_image_archives
 from ..sources.shared import shared_folder
 from . import oracle_base as O, pipeline as PL
 from .queries_extract import MAN, SHEET_CANDS_SQL, sheets
@@ -232,19 +232,19 @@ _FILES: dict[tuple[str, str], str] = {}
 
 
 def image_folder(s, d):
-    """One file per image of the manifest, its header followed by up to 10,000 bytes; written once per application."""
+    """One file per image of the manifest, its header followed by up to 10,000 bytes, in archives; written once per application."""
     key = (s.sparkContext.applicationId, d)
     if key not in _FILES:
         folder = f"{shared_folder(s)}/pagelens/images-{uuid.uuid4().hex}"
         rows = man(s, d).selectExpr(*D.PREFIXES).selectExpr(
             "concat(page_id, '-', doc_order) AS name", f"CAST(concat(content, CAST(repeat(' ', {D.FILE_TAIL}) AS BINARY)) AS BINARY) AS content")
-        write_image_files(rows, folder)
+        write_image_archives(rows, folder)
         _FILES[key] = folder
     return _FILES[key]
 
 
 def scanned_files(s, d):
-    rows = image_prefixes(s, image_folder(s, d), 4096)
+    rows = image_prefixes(s, image_folder(s, d), 4096, archives=True)
     name = "regexp_extract(path, '([0-9]+)-([0-9]+)$', {})"
     rows = rows.selectExpr(f"CAST({name.format(1)} AS BIGINT) AS page_id", f"CAST({name.format(2)} AS BIGINT) AS doc_order", "length", "content")
     return E.measure_prefixes(rows).selectExpr(
