@@ -134,10 +134,11 @@ def element_candidates(marks: DataFrame) -> DataFrame:
 
 def page_elements(
     pages: DataFrame, noscript_budget: int | None = None, style_budget: int | None = None, keep_all_pages: bool = False,
-    max_data_uri: int | None = None,
+    max_data_uri: int | None = None, parts: int | None = None,
 ) -> DataFrame:
-    """Elements with every cross-token rule applied; one shuffle, by ``page_id``."""
-    els = element_candidates(page_marks(pages, noscript_budget, keep_all_pages, max_data_uri)).repartition("page_id")
+    """Elements with every cross-token rule applied; one shuffle, by ``page_id``, into ``parts`` if given."""
+    els = element_candidates(page_marks(pages, noscript_budget, keep_all_pages, max_data_uri))
+    els = els.repartition(*([] if parts is None else [parts]), "page_id")
     sofar = "OVER (PARTITION BY page_id, frag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     before = sofar.replace("CURRENT ROW", "1 PRECEDING")
     # Inside a <picture>? The last start or end tag decides.

@@ -73,9 +73,13 @@ def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def with_images(pages: DataFrame) -> DataFrame:
     """``page_id, url, html`` with image markup in place."""
-    return read_pages(spark, sf_dir).select("page_id", "url", F.expr(CRAWL_HTML).alias("html"))
+    return pages.select("page_id", "url", F.expr(CRAWL_HTML).alias("html"))
+
+
+def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_images(read_pages(spark, sf_dir))
 
 
 # Column lists over ``pages`` or the manifest; both engines evaluate the same text.

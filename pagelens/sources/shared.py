@@ -51,17 +51,17 @@ class Pieces:
             path.getFileSystem(conf).delete(path, True)
 
 
-def bucketed(build: Callable[[], DataFrame], spark: SparkSession, name: str, key: str, source: str) -> DataFrame:
+def bucketed(build: Callable[[int], DataFrame], spark: SparkSession, name: str, key: str, source: str, buckets: Callable[[], int]) -> DataFrame:
     """A derived table written once per application and source, bucketed by ``key``.
 
-    Joins, windows and aggregations on the key then need no shuffle.
+    Joins, windows and aggregations on the key then need no shuffle, and have a task for each bucket, so the number of
+    buckets must grow with the table. ``build`` makes the table from that number; partitioned by the key in as many parts,
+    it becomes one file a bucket.
     """
     ident = (spark.sparkContext.applicationId, name, source)
     if ident not in _TABLES:
-        table = f"{name}_{uuid.uuid4().hex}"
-        shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        buckets = min(shuffles, 4 * spark.sparkContext.defaultParallelism)
+        table, n = f"{name}_{uuid.uuid4().hex}", buckets()
         path = f"{shared_folder(spark)}/pagelens/{table}"
-        build().write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+        build(n).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(table)
         _TABLES[ident] = table
     return spark.table(_TABLES[ident])
