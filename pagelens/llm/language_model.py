@@ -4,9 +4,9 @@ A text is its words in lower case (A-Z), each with a space before it, and one en
 vocabulary; each distinct word of a slice of texts is encoded once.
 
 Gathered from all learning texts: counts of words and of subword ids. The attention model (``attention.py``) starts from a
-task that learns from ``warm_docs`` texts, those with the smallest hashes; then every partition refines it on a fixed share
-of its learning texts, one in ``refine_one_in``, so what it learns from grows with the corpus, and the refined models are
-averaged by the tokens they saw. Parameters are one array of fixed size; averages are made per piece of it.
+task that learns from ``warm_docs`` texts, those with the smallest hashes; then every partition refines it on all of its
+learning texts, and the refined models are averaged by the tokens they saw. Parameters are one array of fixed size;
+averages are made per piece of it.
 
 Scoring lays windows over each text, every one with some context that the window before has scored, and scores each token
 once, many windows in one batch. The counts of the most frequent words, at most ``top_words``, are broadcast; other words
@@ -214,7 +214,7 @@ def _scored(sent, top, files: tuple):
 
 
 def lm_scores(
-    docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", warm_docs: int = 1500, epochs: int = 2, refine_one_in: int = 32, top_words: int = 1 << 18,
+    docs: DataFrame, learn_from: Column, doc_id: str = "doc_id", text: str = "text", warm_docs: int = 1500, epochs: int = 2, top_words: int = 1 << 18,
     tokenizer_file: str | None = None, rank_file: str | None = None,
 ) -> DataFrame:
     """Per document ``(doc_id, n_tokens, n_known, train_tokens, base_score, score)``; ``learn_from`` is a condition on rows."""
@@ -250,8 +250,7 @@ def lm_scores(
     slot, flat = np.frombuffer(warm.slot, np.int32), np.frombuffer(warm.flat, np.float32)
     within = Slots(ids).within
     state = (slot, int(slot[end]), flat, within)
-    part = learn.filter(F.pmod(order, F.lit(refine_one_in)) == 0).select("text")
-    pieces = part.mapInArrow(_refined(spark.sparkContext.broadcast(state), files), "piece int, tokens bigint, part binary")
+    pieces = learn.select("text").mapInArrow(_refined(spark.sparkContext.broadcast(state), files), "piece int, tokens bigint, part binary")
     mean = {r.piece: np.frombuffer(r.part, "<f4") for r in pieces.repartition("piece").mapInArrow(_averaged, "piece int, part binary").collect()}
     if mean:
         state = (*state[:2], np.concatenate([mean[i] for i in range(len(mean))]), within)
