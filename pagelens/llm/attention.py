@@ -53,17 +53,21 @@ def _grouped(bigrams: np.ndarray) -> np.ndarray:
     return place
 
 
-def windows(slots: np.ndarray, text_at: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(slots: np.ndarray, text_at: np.ndarray, start: int, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """Inputs and positions of scored tokens (-1: none) of all windows; texts are consecutive ranges of ``slots``."""
     lengths = np.diff(text_at)
-    per = -(-lengths // STRIDE)
-    text = np.repeat(np.arange(len(lengths)), per)
-    first = (np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)) * STRIDE
-    inside = first[:, None] + np.arange(-(WINDOW - STRIDE), STRIDE)[None]  # position of the token that each place predicts
-    at = text_at[:-1][text][:, None] + inside
-    before = np.where(inside > 0, slots[np.clip(at - 1, 0, max(0, len(slots) - 1))], start)
-    scored = np.where((inside >= first[:, None]) & (inside < lengths[text][:, None]), at, -1)
-    return before.astype(np.int32), scored
+    per = -(-lengths // stride)
+    first = (np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)) * stride
+    before = np.empty(len(slots), dtype=np.int32)  # the slot before each token of a text
+    before[1:] = slots[:-1]
+    before[text_at[:-1][lengths > 0]] = start
+    context = WINDOW - stride
+    at = (np.repeat(text_at[:-1], per) + first - context)[:, None] + np.arange(WINDOW)  # position of the token that each place predicts
+    x = before.take(at, mode="clip") if len(slots) else np.empty((0, WINDOW), dtype=np.int32)
+    x[first == 0, :context] = start
+    at[at >= np.repeat(text_at[1:], per)[:, None]] = -1
+    at[:, :context] = -1
+    return x, at
 
 
 class Model:
@@ -96,98 +100,124 @@ class Model:
     def flat(self) -> np.ndarray:
         return np.concatenate([self.p[name].ravel() for name in self.SHAPES])
 
-    def _attend(self, x: np.ndarray) -> tuple:
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Tables by slot side by side, biases by distance, layers (groups and one group's slots) with biases below, and what sums both halves."""
         p = self.p
-        bias = np.where(self.delta >= 0, p["near"][np.maximum(self.delta, 0)], np.float32(-1e9)).astype(np.float32)
-        q, k, v = p["q"][x], p["k"][x], p["v"][x]
+        own = np.concatenate([p["wm"], p["bm"][:, None]], axis=1)
+        layers = np.concatenate([np.broadcast_to(np.vstack([p["wg"], p["bg"]]), own.shape), own], axis=2)
+        bias = np.where(self.delta >= 0, p["near"][np.maximum(self.delta, 0)], -1e9).astype(own.dtype)
+        return np.concatenate([p[name] for name in "qkvr"], axis=1), bias, layers, np.kron(np.eye(2), np.ones((MEMBERS, 1))).astype(own.dtype)
+
+    @staticmethod
+    def _attend(x: np.ndarray, table: np.ndarray, bias: np.ndarray) -> tuple:
+        """Rows of the tables, weights, and mixes with a one behind each; of the last places, as many as ``bias`` has rows."""
+        rows = table.take(x, axis=0)
+        q, k, v, r = (rows[:, :, i : i + WIDTH] for i in range(0, 4 * WIDTH, WIDTH))
+        q, r = q[:, -len(bias) :], r[:, -len(bias) :]
         a = q @ k.transpose(0, 2, 1)
+        if a.size and (a.max() > 60 or a.min() < -60):
+            np.clip(a, -60, 60, out=a)
         a += bias
-        np.clip(a, -1e9, 60, out=a)
         np.exp(a, out=a)
-        a /= a.sum(axis=2, keepdims=True)
-        return q, k, v, a, a @ v + p["r"][x]
+        a /= (a.reshape(-1, WINDOW) @ np.ones((WINDOW, 1), a.dtype)).reshape(a.shape[:2] + (1,))
+        h = np.ones(a.shape[:2] + (WIDTH + 1,), a.dtype)
+        np.add(a @ v, r, out=h[:, :, :WIDTH])
+        return rows, q, k, v, a, h
 
     @staticmethod
-    def _log_softmax(s: np.ndarray) -> np.ndarray:
-        s -= s.max(axis=1, keepdims=True)
-        s -= np.log(np.exp(s).sum(axis=1, keepdims=True))
-        return s
+    def _targets(scored: np.ndarray, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places with a token to predict ordered by its slot, its position, borders of groups in them, and the column of each one's slot."""
+        at = scored.ravel()
+        target = slots.take(at, mode="clip").astype(np.uint16)
+        target[at < 0] = SLOTS
+        order = np.argsort(target, kind="stable")[: np.count_nonzero(at >= 0)]
+        target = target[order]
+        return order, at[order], np.searchsorted(target, np.arange(0, SLOTS + 1, MEMBERS)), MEMBERS + (target % MEMBERS).astype(np.int64)
+
+    @staticmethod
+    def _shares(h: np.ndarray, layer: np.ndarray, sides: np.ndarray, group: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponents of the scores of groups and of a group's slots, side by side, sums of both halves, and the scores of each token's own two."""
+        e = h @ layer
+        picked = e[:, group] + e.ravel()[own]
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(e, out=e)
+            sums = e @ sides
+        if not (1e-30 < sums.min() and sums.max() < 1e30):  # near the end of the range: once more, lowered by the greatest
+            e = h @ layer
+            halves = e.reshape(-1, 2, MEMBERS)
+            halves -= halves.max(axis=2, keepdims=True)
+            picked = e[:, group] + e.ravel()[own]
+            np.exp(e, out=e)
+            sums = e @ sides
+        return e, sums, picked
 
     def scores(self, x: np.ndarray, scored: np.ndarray, slots: np.ndarray, most: int = 1024) -> tuple[np.ndarray, np.ndarray]:
         """Positions and natural log-probabilities of their slots; a bounded number of windows at once, as they fit a cache."""
-        p, context = self.p, WINDOW - STRIDE
-        bias = np.where(self.delta >= 0, p["near"][np.maximum(self.delta, 0)], np.float32(-1e9)).astype(np.float32)[context:]
-        ones = np.ones((GROUPS, 1), np.float32)
+        context = WINDOW - STRIDE
+        table, bias, layers, sides = self._tables()
         positions, logs = [], []
         for lo in range(0, len(x), most):
-            xb, own = x[lo : lo + most], x[lo : lo + most, context:]
-            a = p["q"].take(own, axis=0) @ p["k"].take(xb, axis=0).transpose(0, 2, 1)
-            a += bias
-            np.minimum(a, np.float32(60), out=a)
-            np.exp(a, out=a)
-            h = a @ p["v"].take(xb, axis=0)
-            h /= a.sum(axis=2, keepdims=True)
-            h += p["r"].take(own, axis=0)
-            at = scored[lo : lo + most, context:].ravel()
-            keep = np.flatnonzero(at >= 0)
-            h, at = h.reshape(-1, WIDTH)[keep], at[keep]
-            target = slots[at]
-            order = np.argsort((target // MEMBERS).astype(np.uint8), kind="stable")  # tokens of one group side by side
-            h, at, target = h[order], at[order], target[order]
-            group, member = target // MEMBERS, target % MEMBERS
-            e = h @ p["wg"]
-            e += p["bg"]
-            out = np.take_along_axis(e, group[:, None], 1)[:, 0].astype(np.float64)
-            np.exp(np.minimum(e, np.float32(80), out=e), out=e)
-            out -= np.log((e @ ones)[:, 0])
-            border = np.searchsorted(group, np.arange(GROUPS + 1))
+            h = self._attend(x[lo : lo + most], table, bias[context:])[-1]
+            order, at, border, column = self._targets(scored[lo : lo + most, context:], slots)
+            h = h.reshape(-1, WIDTH + 1).take(order, axis=0)
+            out, cells = np.empty(len(at)), np.arange(len(at)) * (2 * MEMBERS)
             for g in range(GROUPS):
                 i, j = border[g], border[g + 1]
                 if j > i:
-                    np.matmul(h[i:j], p["wm"][g], out=e[i:j])
-                    e[i:j] += p["bm"][g]
-            out += np.take_along_axis(e, member[:, None], 1)[:, 0]
-            np.exp(np.minimum(e, np.float32(80), out=e), out=e)
-            out -= np.log((e @ ones)[:, 0])
+                    _, sums, picked = self._shares(h[i:j], layers[g], sides, g, cells[: j - i] + column[i:j])
+                    np.log(sums, out=sums)
+                    out[i:j] = picked - (sums[:, 0] + sums[:, 1])
             positions.append(at)
             logs.append(out)
         return (np.concatenate(positions), np.concatenate(logs)) if positions else (np.empty(0, np.int64), np.empty(0))
 
     def gradient(self, x: np.ndarray, scored: np.ndarray, slots: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        p = self.p
-        q, k, v, a, h = self._attend(x)
-        keep = scored >= 0
-        hk, target = h[keep], slots[scored[keep]]
-        group, member = target // MEMBERS, target % MEMBERS
-        n = max(1, len(target))
-        lg = self._log_softmax(hk @ p["wg"] + p["bg"])
-        loss = -float(np.take_along_axis(lg, group[:, None], 1).sum())
-        dg = np.exp(lg)
-        dg[np.arange(len(target)), group] -= 1
-        grads = {"wg": hk.T @ dg / n, "bg": dg.sum(0) / n, "wm": np.zeros_like(p["wm"]), "bm": np.zeros_like(p["bm"])}
-        dhk = dg @ p["wg"].T
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        border = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        """Mean loss of the tokens and its gradient."""
+        table, bias, layers, sides = self._tables()
+        rows, q, k, v, a, h = self._attend(x, table, bias)
+        order, at, border, column = self._targets(scored, slots)
+        n = max(1, len(at))
+        hs = h.reshape(-1, WIDTH + 1).take(order, axis=0)
+        dhs = np.zeros((len(at) + 1, WIDTH), h.dtype)  # the last one for places without a token
+        dlayers, cells = np.zeros_like(layers), np.arange(len(at)) * (2 * MEMBERS)
+        loss = 0.0
         for g in range(GROUPS):
-            i = order[border[g] : border[g + 1]]
-            if len(i):
-                lm = self._log_softmax(hk[i] @ p["wm"][g] + p["bm"][g])
-                loss -= float(np.take_along_axis(lm, member[i][:, None], 1).sum())
-                dm = np.exp(lm)
-                dm[np.arange(len(i)), member[i]] -= 1
-                grads["wm"][g], grads["bm"][g] = hk[i].T @ dm / n, dm.sum(0) / n
-                dhk[i] += dm @ p["wm"][g].T
-        dh = np.zeros_like(h)
-        dh[keep] = dhk / n
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(axis=2, keepdims=True))
-        grads["near"] = np.bincount(np.maximum(self.delta, 0).ravel(), (ds.sum(0) * (self.delta >= 0)).ravel(), WINDOW).astype(np.float32)
-        flat = x.ravel()
+            i, j = border[g], border[g + 1]
+            if j > i:
+                own = cells[: j - i] + column[i:j]
+                e, sums, picked = self._shares(hs[i:j], layers[g], sides, g, own)
+                loss += float(np.log(sums).sum() - picked.sum())
+                halves, flat = e.reshape(-1, 2, MEMBERS), e.reshape(-1)
+                halves *= (1 / sums)[:, :, None]
+                e[:, g] -= 1
+                flat[own] -= 1
+                dlayers[g] = (e.T @ hs[i:j]).T
+                np.matmul(e, layers[g, :WIDTH].T, out=dhs[i:j])
+        dlayers /= n
+        dhs /= n
+        place = np.full(scored.size, len(at))
+        place[order] = np.arange(len(at))
+        dh = dhs.take(place, axis=0).reshape(x.shape + (WIDTH,))
+        ds = dh @ v.transpose(0, 2, 1)
+        ds -= np.einsum("bij,bij->bi", ds, a)[:, :, None]
+        ds *= a
+        drows = np.empty_like(rows)
+        np.matmul(ds, k, out=drows[:, :, :WIDTH])
+        np.matmul(ds.transpose(0, 2, 1), q, out=drows[:, :, WIDTH : 2 * WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dh, out=drows[:, :, 2 * WIDTH : 3 * WIDTH])
+        drows[:, :, 3 * WIDTH :] = dh
+        near = np.bincount(np.maximum(self.delta, 0).ravel(), (ds.sum(0) * (self.delta >= 0)).ravel(), WINDOW).astype(h.dtype)
+        flat = x.ravel().astype(np.uint16)
         order = np.argsort(flat, kind="stable")
-        starts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        for name, g in (("q", ds @ k), ("k", ds.transpose(0, 2, 1) @ q), ("v", a.transpose(0, 2, 1) @ dh), ("r", dh)):
-            grads[name] = np.zeros_like(p[name])
-            grads[name][flat[order][starts]] = np.add.reduceat(g.reshape(-1, WIDTH)[order], starts)
+        flat = flat[order]
+        starts = np.flatnonzero(np.diff(flat.astype(np.int32), prepend=-1))
+        pairs = np.complex64 if h.dtype == np.float32 else np.complex128  # two columns are added at once
+        dtable = np.zeros_like(table)
+        if len(starts):
+            dtable[flat[starts]] = np.add.reduceat(drows.reshape(-1, 4 * WIDTH).take(order, axis=0).view(pairs), starts, axis=0).view(h.dtype)
+        grads = {name: dtable[:, i * WIDTH : (i + 1) * WIDTH] for i, name in enumerate("qkvr")}
+        groups = dlayers[:, :, :MEMBERS].sum(0)
+        grads |= {"near": near, "wg": groups[:WIDTH], "bg": groups[WIDTH], "wm": dlayers[:, :WIDTH, MEMBERS:], "bm": dlayers[:, WIDTH, MEMBERS:]}
         return loss / n, grads
 
     def train(self, batches, rate: float) -> int:

@@ -1,12 +1,12 @@
 """Language-model scores: word counts of the whole corpus beside a causal self-attention model on subword ids.
 
 A text is its words in lower case (A-Z), each with a space before it, and one end token. Words become ids of a public
-vocabulary; each distinct word of a slice of texts is encoded once.
+vocabulary; each distinct word of a slice of texts is encoded once, and the ids of all texts are written once for what follows.
 
 Gathered from all learning texts: counts of words and of subword ids. The attention model (``attention.py``) starts from a
 task that learns from ``warm_docs`` texts, those with the smallest hashes; then every partition refines it on all of its
-learning texts, and the refined models are averaged by the tokens they saw. Parameters are one array of fixed size;
-averages are made per piece of it.
+learning texts, each token once, and the refined models are averaged by the tokens they saw. Parameters are one array of
+fixed size; averages are made per piece of it.
 
 Scoring lays windows over each text, every one with some context that the window before has scored, and scores each token
 once, many windows in one batch. The counts of the most frequent words, at most ``top_words``, are broadcast; other words
@@ -23,16 +23,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .attention import SLOTS, Model, Slots, windows
+from .attention import SLOTS, WINDOW, Model, Slots, windows
 from .pack import Encoder
 from .storage import written
-from .textscan import NOT_SPACE, Scan, mix, scan
+from .textscan import NOT_SPACE, Scan, buffers, mix, scan, slices
 
 SLICE = 1 << 21
 PIECE = 1 << 10
-WORD, SUBWORD, TEXTS = 0, 1, 2
+WORD, SUBWORD, TEXTS, IDS = 0, 1, 2, 3
+#: Windows of one step of the refinement.
+STEP = 384
 
 
 def vocabulary(tokenizer_file: str | None = None) -> tuple[int, int]:
@@ -89,74 +92,100 @@ class Subwords:
         return out, text_at, distinct, inverse
 
 
-def _counts(files: tuple):
-    """Counts of a task's words and ids; merged as they come, and let go when they are many."""
+def _width(size: int) -> np.dtype:
+    """How an id of the vocabulary is written."""
+    return np.dtype("<u2" if size <= 1 << 16 else "<u4")
+
+
+def _encoded(files: tuple):
+    """A row with the ids of each text, and counts of a task's words and ids in texts to learn from; merged as they come, and let go when they are many."""
+    names = ["kind", "key", "n", "doc", "body", "learn", "ids"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Subwords(*files)
-        keys, numbers, held, texts = [], [], 0, 0
-        ids = np.zeros(encode.size, np.int64)
+        keys, numbers, held, texts, doc_type = [], [], 0, 0, None
+        ids, width = np.zeros(encode.size, np.int64), _width(encode.size)
+
+        def counted(kind: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            none = [pa.nulls(len(key), t) for t in (doc_type, pa.int64(), pa.bool_(), pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(n.astype(np.int64)), *none], names)
 
         def merged() -> pa.RecordBatch:
             k, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, np.concatenate(numbers), len(k)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(k), WORD, np.int32)), pa.array(k.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+            return counted(WORD, k, np.bincount(at, np.concatenate(numbers), len(k)))
 
         for batch in batches:
-            for s in scan(batch.column("text"), NOT_SPACE, SLICE):
-                out, _, distinct, inverse = encode(s, s.hashes())
-                ids += np.bincount(out, minlength=encode.size)
-                texts += s.texts
-                keys.append(distinct)
-                numbers.append(np.bincount(inverse, minlength=len(distinct)))
-                held += len(distinct)
-                if held > 3_000_000:
-                    yield merged()
-                    keys, numbers, held = [], [], 0
+            doc_type = batch.column("doc").type
+            for learn in (True, False):
+                part = batch.filter(batch.column("learn") if learn else pc.invert(batch.column("learn")))
+                for s in scan(part.column("text"), NOT_SPACE, SLICE):
+                    out, text_at, distinct, inverse = encode(s, s.hashes())
+                    offsets = pa.py_buffer((text_at * width.itemsize).astype(np.int32))
+                    own = pa.Array.from_buffers(pa.binary(), s.texts, [None, offsets, pa.py_buffer(out.astype(width))])
+                    none = pa.nulls(s.texts, pa.int64())
+                    doc, body = part.column("doc").slice(s.first, s.texts), part.column("body").slice(s.first, s.texts)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(s.texts, IDS, np.int32)), none, none, doc, body, pa.array(np.full(s.texts, learn)), own], names)
+                    if learn:
+                        ids += np.bincount(out, minlength=encode.size)
+                        texts += s.texts
+                        keys.append(distinct)
+                        numbers.append(np.bincount(inverse, minlength=len(distinct)))
+                        held += len(distinct)
+                    if held > 3_000_000:
+                        yield merged()
+                        keys, numbers, held = [], [], 0
         if keys:
             yield merged()
-        some = np.flatnonzero(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), SUBWORD, np.int32)), pa.array(some), pa.array(ids[some])], ["kind", "key", "n"])
-        yield pa.RecordBatch.from_pydict({"kind": pa.array([TEXTS], pa.int32()), "key": pa.array([0], pa.int64()), "n": pa.array([texts], pa.int64())})
+        if texts:
+            some = np.flatnonzero(ids)
+            yield counted(SUBWORD, some, ids[some])
+            yield counted(TEXTS, np.zeros(1, np.int64), np.array([texts]))
 
     return run
 
 
-def _window_batches(batches: Iterator[pa.RecordBatch], encode: Subwords, slot: np.ndarray, start: int, size: int, seed: int):
-    rng = np.random.default_rng(seed)
+def _texts(batch: pa.RecordBatch, width: np.dtype) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The first row, ids and offsets of texts, a bounded number of bytes at a time."""
+    raw, offsets = buffers(batch.column("ids"))
+    for i, j in slices(offsets, SLICE):
+        yield i, raw[offsets[i] : offsets[j]].view(width), (offsets[i : j + 1] - offsets[i]) // width.itemsize
+
+
+def _window_batches(batches: Iterator[pa.RecordBatch], slot: np.ndarray, start: int, size: int, seed: int):
+    """Windows without context that is scored elsewhere: each token is learned from once, with what its window holds before it."""
+    rng, width = np.random.default_rng(seed), _width(len(slot))
     for batch in batches:
-        for s in scan(batch.column("text"), NOT_SPACE, SLICE):
-            ids, text_at, _, _ = encode(s, s.hashes())
+        for _, ids, text_at in _texts(batch, width):
             slots = slot[ids]
-            x, scored = windows(slots, text_at, start)
+            x, scored = windows(slots, text_at, start, WINDOW)
             order = rng.permutation(len(x))
             for i in range(0, len(order), size):
                 yield x[order[i : i + size]], scored[order[i : i + size]], slots
 
 
-def _warm(counts: np.ndarray, files: tuple, epochs: int):
+def _warm(counts: np.ndarray, end: int, epochs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Subwords(*files)
         kept = [b for b in batches if b.num_rows]
         rank = np.minimum(np.argsort(np.argsort(-counts, kind="stable"), kind="stable"), SLOTS - 1)
         pairs = np.zeros((SLOTS, SLOTS))
         for batch in kept:
-            for s in scan(batch.column("text"), NOT_SPACE, SLICE):
-                r = rank[encode(s, s.hashes())[0]]
+            for _, ids, _ in _texts(batch, _width(len(counts))):
+                r = rank[ids]
                 pairs += np.bincount(r[1:] * SLOTS + r[:-1], minlength=SLOTS * SLOTS).reshape(SLOTS, SLOTS)
         table = Slots(counts, np.hstack([pairs, pairs.T]))
-        model = Model(int(table.slot[encode.end]), counts=np.bincount(table.slot, counts, SLOTS))
+        model = Model(int(table.slot[end]), counts=np.bincount(table.slot, counts, SLOTS))
         for epoch in range(epochs):
-            model.train(_window_batches(iter(kept), encode, table.slot, model.start, 256 << min(epoch, 1), epoch), 0.02 / (1 + epoch))
+            model.train(_window_batches(iter(kept), table.slot, model.start, 256 << min(epoch, 1), epoch), 0.02 / (1 + epoch))
         yield pa.RecordBatch.from_pydict({"slot": pa.array([table.slot.tobytes()], pa.binary()), "flat": pa.array([model.flat().tobytes()], pa.binary())})
 
     return run
 
 
-def _refined(sent, files: tuple):
+def _refined(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot, start, flat, _ = sent.value
-        encode, model = Subwords(*files), Model(start, flat)
-        tokens = model.train(_window_batches(batches, encode, slot, start, 512, 1), 0.004)
+        model = Model(start, flat)
+        tokens = model.train(_window_batches(batches, slot, start, STEP, 1), 0.004)
         if tokens:
             new = model.flat()
             pieces = [new[i : i + PIECE].astype("<f4").tobytes() for i in range(0, len(new), PIECE)]
@@ -176,21 +205,34 @@ def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"piece": pa.array([piece], pa.int32()), "part": pa.array([(t / weight[piece]).astype("<f4").tobytes()], pa.binary())})
 
 
-def _scored(sent, top, files: tuple):
-    """Per text a row with its sums, and a row for each of its words that isn't in the broadcast counts."""
-    names = ["doc", "body", "key", "times", "n_tokens", "n_known", "base", "score"]
-
+def _scored(sent):
+    """The model's log10 probability of each text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (slot, start, flat, within), (common, logs, end_log, end_known) = sent.value, top.value
-        encode, model = Subwords(*files), Model(start, flat)
+        slot, start, flat, within = sent.value
+        model, width = Model(start, flat), _width(len(slot))
         for batch in batches:
-            for s in scan(batch.column("text"), NOT_SPACE, SLICE):
-                ids, text_at, distinct, inverse = encode(s, s.hashes())
+            for first, ids, text_at in _texts(batch, width):
                 slots = slot[ids]
                 value = np.empty(len(ids))
                 at, log = model.scores(*windows(slots, text_at, start), slots)
                 value[at] = log
                 value += within[ids]
+                n = len(text_at) - 1
+                score = pa.array(np.add.reduceat(value, text_at[:-1]) / np.log(10))
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(first, n), batch.column("body").slice(first, n), score], ["doc", "body", "score"])
+
+    return run
+
+
+def _base(top):
+    """Per text a row with its sums, and a row for each of its words that isn't in the broadcast counts."""
+    names = ["doc", "body", "key", "times", "n_tokens", "n_known", "base"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, logs, end_log, end_known = top.value
+        for batch in batches:
+            for s in scan(batch.column("text"), NOT_SPACE, SLICE):
+                distinct, inverse = np.unique(s.hashes(), return_inverse=True)
                 text = np.repeat(np.arange(s.texts), np.diff(s.word_at))
                 place = np.searchsorted(common, distinct)
                 known = (place < len(common)) & (common[np.minimum(place, max(0, len(common) - 1))] == distinct) if len(common) else np.zeros(len(distinct), bool)
@@ -204,11 +246,11 @@ def _scored(sent, top, files: tuple):
                 none = mix(np.asarray(body).view(np.uint64) if body.null_count == 0 else np.zeros(s.texts, np.uint64))
                 n = np.diff(s.word_at) + 1
                 yield pa.RecordBatch.from_arrays(
-                    [doc, body, pa.array(none.view(np.int64)), pa.array(np.zeros(s.texts, np.int32)), pa.array(n, pa.int64()), pa.array(n_known), pa.array(base), pa.array(np.add.reduceat(value, text_at[:-1]) / np.log(10))], names
+                    [doc, body, pa.array(none.view(np.int64)), pa.array(np.zeros(s.texts, np.int32)), pa.array(n, pa.int64()), pa.array(n_known), pa.array(base)], names
                 )
                 i = pa.array(row)
                 empty = lambda t: pa.nulls(len(row), t)
-                yield pa.RecordBatch.from_arrays([doc.take(i), body.take(i), pa.array(distinct[word].view(np.int64)), pa.array(times, pa.int32()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64()), empty(pa.float64())], names)
+                yield pa.RecordBatch.from_arrays([doc.take(i), body.take(i), pa.array(distinct[word].view(np.int64)), pa.array(times, pa.int32()), empty(pa.int64()), empty(pa.int64()), empty(pa.float64())], names)
 
     return run
 
@@ -219,8 +261,11 @@ def lm_scores(
 ) -> DataFrame:
     """Per document ``(doc_id, n_tokens, n_known, train_tokens, base_score, score)``; ``learn_from`` is a condition on rows."""
     spark, files = docs.sparkSession, (tokenizer_file, rank_file)
-    learn = docs.filter(F.coalesce(learn_from, F.lit(False))).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    counts = written(learn.select("text").mapInArrow(_counts(files), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n")), "word-counts")
+    source = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("body"), F.coalesce(learn_from, F.lit(False)).alias("learn"), F.col(text).alias("text"))
+    kind = source.schema["doc"].dataType.simpleString()
+    encoded = written(source.mapInArrow(_encoded(files), f"kind int, key bigint, n bigint, doc {kind}, body bigint, learn boolean, ids binary"), "encoded")
+    every = encoded.filter(F.col("kind") == IDS).select("doc", "body", "learn", "ids")
+    counts = written(encoded.filter(F.col("kind") < IDS).groupBy("kind", "key").agg(F.sum("n").alias("n")), "word-counts")
     words = counts.filter(F.col("kind") == WORD).select("key", "n")
     found = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     texts = counts.filter(F.col("kind") == TEXTS).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -242,25 +287,26 @@ def lm_scores(
     size, end = vocabulary(tokenizer_file)
     ids = np.zeros(size, np.int64)
     ids[small["key"].to_numpy(np.int64)] = small["n"].to_numpy(np.int64)
-    order = F.xxhash64("doc", "text")
-    sample = learn.orderBy(order).limit(warm_docs)
-    warm = sample.select("text").coalesce(1).mapInArrow(_warm(ids, files, epochs), "slot binary, flat binary").first()
+    learn, order = every.filter("learn"), F.xxhash64("doc", "body")
+    # The hashes are looked at first, so only texts of the sample leave their tasks.
+    most = learn.select(order.alias("hash")).orderBy("hash").limit(warm_docs).agg(F.max("hash")).first()[0]
+    sample = learn.filter(order <= F.lit(most)).orderBy(order).limit(warm_docs)
+    warm = sample.select("ids").coalesce(1).mapInArrow(_warm(ids, end, epochs), "slot binary, flat binary").first()
     if warm is None:  # no partition to learn from: the model as it begins
-        warm = next(_warm(ids, files, 0)(iter(()))).to_pandas().iloc[0]
+        warm = next(_warm(ids, end, 0)(iter(()))).to_pandas().iloc[0]
     slot, flat = np.frombuffer(warm.slot, np.int32), np.frombuffer(warm.flat, np.float32)
     within = Slots(ids).within
     state = (slot, int(slot[end]), flat, within)
-    pieces = learn.select("text").mapInArrow(_refined(spark.sparkContext.broadcast(state), files), "piece int, tokens bigint, part binary")
+    pieces = learn.select("ids").mapInArrow(_refined(spark.sparkContext.broadcast(state)), "piece int, tokens bigint, part binary")
     mean = {r.piece: np.frombuffer(r.part, "<f4") for r in pieces.repartition("piece").mapInArrow(_averaged, "piece int, part binary").collect()}
     if mean:
         state = (*state[:2], np.concatenate([mean[i] for i in range(len(mean))]), within)
 
-    source = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("body"), F.col(text).alias("text"))
-    kind = source.schema["doc"].dataType.simpleString()
-    rows = source.mapInArrow(_scored(spark.sparkContext.broadcast(state), top, files), f"doc {kind}, body bigint, key bigint, times int, n_tokens bigint, n_known bigint, base double, score double")
+    scores = every.select("doc", "body", "ids").mapInArrow(_scored(spark.sparkContext.broadcast(state)), f"doc {kind}, body bigint, score double")
+    rows = source.select("doc", "body", "text").mapInArrow(_base(top), f"doc {kind}, body bigint, key bigint, times int, n_tokens bigint, n_known bigint, base double")
     rare = words.filter(F.col("n") < least).select("key", "n")
     own = F.col("times") == 0
-    met = rows.join(rare, "key", "left")
+    met = rows.join(rare, "key", "left").unionByName(scores, allowMissingColumns=True)
     gain = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.1) / F.lit(scale))
     grouped = met.groupBy("doc", "body").agg(
         F.max("n_tokens").alias("n_tokens"), F.max("n_known").alias("n_known"), F.max("base").alias("base"), F.max("score").alias("score"), F.count(F.when(own, 1)).alias("copies"),

@@ -383,6 +383,39 @@ def test_language_model_counts_and_probabilities(spark, docs, odd, none):
     assert {r.n_known for r in lm_scores(odd, F.lit(False)).collect()} == {0}
 
 
+def test_language_model_writes_ids_once_and_learns_each_token_once():
+    import pyarrow as pa
+
+    from pagelens.llm import language_model as lm
+
+    texts = ["", None, "A b  c", *(" ".join(f"Wort{j * i % 97} and" for j in range(i)) for i in (3, 16, 40, 700))]
+    n, encode = len(texts), lm.Subwords()
+    rows = pa.RecordBatch.from_pydict({"doc": pa.array(range(n)), "body": pa.array(range(n)), "learn": pa.array([i != 4 for i in range(n)]), "text": pa.array(texts, pa.string())})
+    made = pa.Table.from_batches(list(lm._encoded((None, None))(iter([rows]))))
+    ids = made.filter(pa.compute.equal(made["kind"], lm.IDS)).select(["doc", "learn", "ids"]).to_pylist()
+    assert sorted((r["doc"], r["learn"]) for r in ids) == [(i, i != 4) for i in range(n)]
+    for r in ids:
+        got = np.frombuffer(r["ids"], lm._width(encode.size))
+        want = [t for w in SPACED.findall(lowered(texts[r["doc"]])) for t in encode.encoder.tokenizer.encode(" " + w, add_special_tokens=False).ids]
+        assert got.tolist() == [*want, encode.end]
+    batch = pa.RecordBatch.from_pydict({"ids": pa.array([r["ids"] for r in ids], pa.binary())})
+    seen = [scored[scored >= 0] for _, scored, _ in lm._window_batches(iter([batch]), np.zeros(encode.size, np.int32), 0, 7, 1)]
+    assert sorted(np.concatenate(seen).tolist()) == list(range(sum(len(r["ids"]) for r in ids) // 2))
+
+
+def test_attention_scores_stay_finite():
+    from pagelens.llm.attention import SLOTS, Model, windows
+
+    rng = np.random.default_rng(3)
+    model = Model(0, flat=(rng.standard_normal(Model(0).flat().size) * 8).astype(np.float32))
+    slots = rng.integers(0, SLOTS, 60).astype(np.int32)
+    x, scored = windows(slots, np.array([0, 60]), 0)
+    at, log = model.scores(x, scored, slots)
+    loss, grads = model.gradient(x, scored, slots)
+    assert np.isfinite(log).all() and (log <= 1e-3).all() and all(np.isfinite(g).all() for g in grads.values())
+    assert math.isclose(-log.mean(), loss, rel_tol=1e-4)
+
+
 def test_attention_is_causal_and_normalized():
     from pagelens.llm.attention import SLOTS, WINDOW, Model, windows
 
