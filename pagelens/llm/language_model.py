@@ -175,7 +175,7 @@ def _warm(counts: np.ndarray, end: int, epochs: int):
         table = Slots(counts, np.hstack([pairs, pairs.T]))
         model = Model(int(table.slot[end]), counts=np.bincount(table.slot, counts, SLOTS))
         for epoch in range(epochs):
-            model.train(_window_batches(iter(kept), table.slot, model.start, 256 << min(epoch, 1), epoch), 0.02 / (1 + epoch))
+            model.train(_window_batches(iter(kept), table.slot, model.start, 192 << min(epoch, 1), epoch), 0.02 / (1 + epoch))
         yield pa.RecordBatch.from_pydict({"slot": pa.array([table.slot.tobytes()], pa.binary()), "flat": pa.array([model.flat().tobytes()], pa.binary())})
 
     return run
