@@ -47,14 +47,21 @@ _AMERICAN = rf"\+1[ .-]?\(?[0-9]{{3}}\)?[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}\b|(?<![
 _ABROAD = r"(?:\+|(?<![0-9A-Za-z])00)[1-9](?:[ ./-]?\(?[0-9]\)?){7,14}\b"
 _TRUNK = r"(?<![0-9A-Za-z])(?:(?:\(0[0-9]{1,5}\) ?|0[1-9][0-9]{1,4}[ /-])[0-9](?:[ -]?[0-9]){4,8}|0[1-9](?:[ .-][0-9]{2}){4})\b"
 
+# Java's matcher calls itself for each round of a group that may give rounds back, so a run of some thousand digits or labels
+# ends the JVM. Groups without an upper bound are possessive, and what follows them needs nothing back.
+#: Labels up to the last that begins with two letters.
+_ENDS, _OTHER = (rf"\.(?{sign}[A-Za-z]{{2}})[A-Za-z0-9-]++" for sign in "=!")
+_LABELS = rf"[A-Za-z0-9-]++(?:(?:{_OTHER})*+{_ENDS}(?=(?:{_OTHER})*+{_ENDS}))*+(?:{_OTHER})*+"
+
 _PATTERNS = {
-    "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    # A local part starts behind no letter or digit unless a find ends there, so a long run without @ is read once.
+    "email": rf"(?:(?<![A-Za-z0-9])|\G)[A-Za-z0-9][A-Za-z0-9._%+-]*+@{_LABELS}\.[A-Za-z]{{2,}}",
     "iban": rf"\b(?:{_OWN_LENGTH}|[A-Z]{{2}}[0-9]{{2}}(?: ?[0-9]{{4}}){{2,6}}(?: ?[0-9]{{1,3}})?)\b",
     "date": r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4})\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
     "phone": f"{_AMERICAN}|{_ABROAD}|{_TRUNK}",
     "ipv4": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
-    "card": r"\b[0-9](?:[ -]?[0-9]){12,}\b",
+    "card": r"\b[0-9](?:[ -]?[0-9]){12}[0-9]*+\b(?:[ -][0-9]++\b)*+",
 }
 ANY = "|".join(_PATTERNS.values())
 
